@@ -23,5 +23,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(rows, "doc_id", N_SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents` encoded with the 49k word BPE, and decoded again."""
+    import public_tokenizers
+
+    from tessera.llm.bpe import encode
+
+    return encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+QUERIES = {"op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
