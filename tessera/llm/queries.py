@@ -32,5 +32,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents` as a motion-JPEG AVI, read back into timed shots."""
+    from tessera.llm.media import read_back, store
+
+    return read_back(store(_read(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
