@@ -39,5 +39,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles of `documents`, linked at 4 bits or fewer."""
+    from tessera.llm.simhash import near_duplicates
+
+    found = near_duplicates(_read(spark, sf_dir, "documents"), k=4, radius=4)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
