@@ -47,5 +47,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of `documents`, learned from those that aren't held out."""
+    from tessera.llm.langid import predict, train
+
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = train(docs.where(~held_out))
+    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
+QUERIES = {"op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
