@@ -57,5 +57,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-QUERIES = {"op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents leak which share of an item of `benchmark`."""
+    from tessera.llm.decontaminate import judge
+
+    return judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
