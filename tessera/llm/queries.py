@@ -64,5 +64,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page of `pages`."""
+    from tessera.llm.html import extract
+
+    return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text")
+
+
+QUERIES = {"op10_html": op10_html, "op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
