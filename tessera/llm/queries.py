@@ -71,5 +71,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text")
 
 
-QUERIES = {"op10_html": op10_html, "op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of `documents` without 100-byte strings that also start earlier."""
+    from tessera.llm.suffixes import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), window=100, digests=True)
+
+
+QUERIES = {"op2_suffixes": op2_suffixes, "op10_html": op10_html, "op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
