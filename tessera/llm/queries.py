@@ -78,5 +78,12 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), window=100, digests=True)
 
 
-QUERIES = {"op2_suffixes": op2_suffixes, "op10_html": op10_html, "op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
+def op5_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of `documents` without sequences of 35 words that also start elsewhere."""
+    from tessera.llm.fmindex import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), window=35, digests=True)
+
+
+QUERIES = {"op5_fmindex": op5_fmindex, "op2_suffixes": op2_suffixes, "op10_html": op10_html, "op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
