@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
@@ -28,9 +28,9 @@ def block_count(df: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) ->
     return max(1, min(-(-total // block_bytes), MOST_SMALL_BLOCKS), -(-total // LARGE_BLOCK_BYTES))
 
 
-def deal(df: DataFrame, id_col: str, text_col: str, n_blocks: int) -> DataFrame:
-    """(block, id, text) of `df`; a null text is an empty one."""
-    return df.select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def deal(df: DataFrame, id_col: str, text_col: str, n_blocks: int, *others: Column) -> DataFrame:
+    """(block, id, text, others) of `df`; a null text is an empty one."""
+    return df.select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -85,5 +85,14 @@ def op5_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), window=35, digests=True)
 
 
-QUERIES = {"op5_fmindex": op5_fmindex, "op2_suffixes": op2_suffixes, "op10_html": op10_html, "op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts of `documents`, learned from those that aren't held out."""
+    from tessera.llm.lm import score
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = score(_read(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op3_lm": op3_lm, "op5_fmindex": op5_fmindex, "op2_suffixes": op2_suffixes, "op10_html": op10_html, "op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
 ORACLES: dict[str, str] = {}
