@@ -23,7 +23,7 @@ from tessera.llm import blocks as B
 from tessera.llm import text as T
 from tessera.llm.graph import checkpoint
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS, FOLDS, HELD_FOLD = 16, 8, 3
 END, START = T.U64(0x0123456789ABCDEF), T.U64(0xFEDCBA9876543210)
 BUCKETS = 48
@@ -150,10 +150,10 @@ def _cells(docs: DataFrame, answers: DataFrame, bits: int, n_rest: int) -> DataF
         p1 = (x.word / max(n_rest, 1))[use]
         q2 = np.where(p2 > 0, np.round(CELL_P2 * np.log2(np.maximum(p2, 1e-18))), 1).astype(np.int64)
         q1 = np.where(p1 > 0, np.round(CELL_P1 * np.log2(np.maximum(p1, 1e-18))), 1).astype(np.int64)
-        cell, inverse = np.unique(np.stack([b, known, q2, q1]), axis=1, return_inverse=True)
-        inverse = inverse.ravel()
-        sums = [np.bincount(inverse, weights=w, minlength=cell.shape[1]) for w in (np.ones(len(b)), p2, p1)]
-        return pa.table({**{name: pa.array(c) for name, c in zip(("bucket", "known", "q2", "q1"), cell)}, **{name: pa.array(s) for name, s in zip(("number", "p2", "p1"), sums)}})
+        cell, inverse = np.unique(((b * 2 + known) * 1024 + q2 + 512) * 1024 + q1 + 512, return_inverse=True)
+        names = {"bucket": cell >> 21, "known": (cell >> 20) & 1, "q2": ((cell >> 10) & 1023) - 512, "q1": (cell & 1023) - 512}
+        sums = [np.bincount(inverse, weights=w, minlength=len(cell)) for w in (np.ones(len(b)), p2, p1)]
+        return pa.table({**{name: pa.array(c) for name, c in names.items()}, **{name: pa.array(s) for name, s in zip(("number", "p2", "p1"), sums)}})
 
     found = B.with_answers(docs, answers, run, "bucket long, known long, q2 long, q1 long, number double, p2 double, p1 double")
     return found.groupBy("bucket", "known", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("number", "p2", "p1")))
