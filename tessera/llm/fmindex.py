@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm import blocks as B
 from tessera.llm import passages as P
@@ -212,14 +213,14 @@ def _resolve(window: int):
     return resolve
 
 
-def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES, others: bool = False) -> DataFrame:
     """Removes each word that a sequence of `window` words covers which also starts anywhere else,
     in the same text or another. Sequences are judged on the input and never cross texts.
 
     Returns (id, n_words, n_removed, kept) with kept the remaining words joined by one space, or
     with `digests` kept_sha256 in its place. One row for each row of `df`; rows of equal text and id
     are texts of their own. A null text has no words; a null id stays null. Other columns are left
-    out.
+    out, or with `others` kept, the text as it was among them.
     """
     n_blocks = B.block_count(df, text_col, block_bytes)
     docs = B.deal(P.long_ids(df.select(id_col, text_col), id_col), id_col, text_col, n_blocks)
@@ -239,8 +240,17 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         raw, cut = joined.tobytes(), np.append(at, len(joined))[np.cumsum(np.append(0, n_words - removed))].tolist()
         texts = [raw[x : max(x, y - 1)] for x, y in zip(cut, cut[1:])]
         last = pa.array([hashlib.sha256(x).hexdigest() for x in texts]) if digests else pa.array([x.decode() for x in texts])
-        return pa.table({"id": table.column("id"), "n_words": pa.array(n_words), "n_removed": pa.array(removed), "kept": last})
-
-    out = B.with_answers(docs, spans, apply, "id long, n_words long, n_removed long, kept string")
+        beside = {c: table.column(c) for c in ("text", "others") if others}
+        return pa.table({"id": table.column("id"), **beside, "n_words": pa.array(n_words), "n_removed": pa.array(removed), "kept": last})
+
+    schema = "id long, n_words long, n_removed long, kept string"
+    if others:
+        beside = [c for c in df.columns if c not in (id_col, text_col)]
+        docs = B.deal(P.long_ids(df, id_col), id_col, text_col, n_blocks, F.struct(F.lit(None).cast("int").alias("_"), *beside).alias("others"))
+        fields = StructType.fromDDL(schema).fields
+        schema = StructType([fields[0], StructField("text", StringType()), StructField("others", docs.schema["others"].dataType), *fields[1:]])
+    out = B.with_answers(docs, spans, apply, schema)
+    if others:
+        out = out.select("id", F.col("text").alias(text_col), *(F.col("others")[c].alias(c) for c in beside), "n_words", "n_removed", "kept")
     out = out.withColumnsRenamed({"id": id_col, **({"kept": "kept_sha256"} if digests else {})})
     return out.withColumn(id_col, F.when(F.col(id_col) > -(1 << 63), F.col(id_col)))

@@ -28,7 +28,7 @@ from tessera.llm.graph import checkpoint, components
 
 #: For each byte, its bits as eight byte lanes of a word (bit 0 in the lowest lane).
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], T.U64)
-PAIRS_AT_ONCE = 1 << 20
+WIDE_BITS, WIDE_SEGMENTS = 512, 14
 BUCKET = 20_000
 
 
@@ -99,20 +99,23 @@ def fingerprints(df: DataFrame, k: int, bits: int = 64, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp binary").withColumnRenamed("id", id_col)
 
 
-def plan(n: int, bits: int, radius: int, bucket: int = BUCKET) -> list[tuple[int, int, int, int]]:
+def plan(n: int, bits: int, radius: int, bucket: int = BUCKET, segments: int | None = None) -> list[tuple[int, int, int, int]]:
     """Tables for n fingerprints: (first bit, width, ball radius, how rows are dealt).
 
+    With `segments` there are that many, spread over the fingerprint, with balls of one bit.
+
     A segment is wide enough that a value is rarely shared by chance. The balls' radii sum to
     radius - segments + 1, which by the pigeonhole principle misses no link. Rows are dealt by the
     segment's low or high half (0, 1) where the ball has one bit and such buckets are small; by its
     value (2) where the ball has none; and else by every value of the ball (3).
     """
     want = min(32, max(8, math.ceil(math.log2(max(n, 2))) + 1))
-    m = min(max(1, bits // want), radius + 1)
-    spare = radius - m + 1
+    m = min(max(1, bits // want), radius + 1) if segments is None else min(segments, bits // want)
+    spare = radius - m + 1 if segments is None else m
     edges = [bits * i // m for i in range(m + 1)]
     tables = []
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        b = b if segments is None else min(b, a + want)
         ball = spare // m + (i < spare % m)
         halves = ball == 1 and n >> ((b - a) // 2) <= bucket
         tables += [(a, b - a, ball, how) for how in ((0, 1) if halves else (3,) if ball else (2,))]
@@ -158,31 +161,36 @@ class Forest:
             self.links.append((a, b))
 
 
-def _bucket_links(fp: np.ndarray, group: np.ndarray, value: np.ndarray, masks: np.ndarray, radius: int, forest: Forest, at: np.ndarray) -> None:
-    """Links among rows of equal group whose value differs by one of `masks` at most."""
-    order = np.lexsort((value, group))
-    fp, group, value, at = fp[order], group[order], value[order], at[order]
-    run = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]) | (value[1:] != value[:-1])) + 1, [len(value)]])
-    n_run = np.diff(run)
-    key = {(g, v): r for r, (g, v) in enumerate(zip(group[run[:-1]].tolist(), value[run[:-1]].tolist()))}
-    left, right = [], []
-    for r, ((g, v), n) in enumerate(zip(key, n_run.tolist())):
-        if n > 1:
-            left.append(r)
-            right.append(r)
-        for m in masks.tolist():
-            if (s := key.get((g, v ^ m), -1)) > r:
-                left.append(r)
-                right.append(s)
-    for r, s in zip(left, right):
-        a, b = range(run[r], run[r + 1]), range(run[s], run[s + 1])
-        if len(a) * len(b) <= 64:
-            pairs = [(x, y) for x in a for y in b if x < y]
-            x, y = np.array(pairs).T
-            for p in np.flatnonzero(_distance(fp[x], fp[y]) <= radius).tolist():
-                forest.join(int(at[x[p]]), int(at[y[p]]))
-        else:
-            _spread(fp, at, np.unique(np.concatenate([a, b])), radius, forest)
+def _bucket_links(fp: np.ndarray, group: np.ndarray, value: np.ndarray, masks: np.ndarray, width: int, radius: int, forest: Forest, at: np.ndarray) -> None:
+    """Links among rows of equal group whose value (of `width` bits) differs by one of `masks` at most."""
+    key = (group << width) | value
+    order = np.argsort(key, kind="stable")
+    fp, key, at = fp[order], key[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size, runs = np.diff(np.append(first, len(key))), key[first]
+    left, right = [np.flatnonzero(size > 1)], [np.flatnonzero(size > 1)]
+    for m in masks.tolist():
+        other = runs ^ m
+        place = np.minimum(np.searchsorted(runs, other), len(runs) - 1)
+        hit = np.flatnonzero((runs[place] == other) & (other > runs))
+        left.append(hit)
+        right.append(place[hit])
+    left, right = np.concatenate(left), np.concatenate(right)
+    n = size[left] * size[right]
+    small = n <= 1024
+    few = np.flatnonzero(small)
+    for i in range(0, len(few), 4096):
+        r, s = left[few[i : i + 4096]], right[few[i : i + 4096]]
+        k = size[r] * size[s]
+        inner = T.expand(np.zeros(len(r), np.int64), k)
+        x = np.repeat(first[r], k) + inner // np.repeat(size[s], k)
+        y = np.repeat(first[s], k) + inner % np.repeat(size[s], k)
+        near = np.flatnonzero(x < y)
+        near = near[_distance(fp[x[near]], fp[y[near]]) <= radius]
+        for u, v in zip(at[x[near]].tolist(), at[y[near]].tolist()):
+            forest.join(u, v)
+    for r, s in zip(left[~small].tolist(), right[~small].tolist()):
+        _spread(fp, at, np.unique(np.concatenate([np.arange(first[r], first[r] + size[r]), np.arange(first[s], first[s] + size[s])])), radius, forest)
 
 
 def _spread(fp: np.ndarray, at: np.ndarray, rows: np.ndarray, radius: int, forest: Forest) -> None:
@@ -199,13 +207,13 @@ def _spread(fp: np.ndarray, at: np.ndarray, rows: np.ndarray, radius: int, fores
             left = left[~near]
 
 
-def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET) -> DataFrame:
+def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET, segments: int | None = None) -> DataFrame:
     """(u, v): links whose components are those of all pairs of `fps.fp` within `radius` bits.
 
     `fps` has distinct fingerprints. A bucket of over `bucket` rows is cut into chunks, and each
     pair of chunks is searched apart.
     """
-    tables = plan(fps.count(), bits, radius, bucket)
+    tables = plan(fps.count(), bits, radius, bucket, segments)
     n_bytes = bits // 8
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +245,7 @@ def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET) -> DataF
             span = range(width // 2, width) if how == 0 else range(width // 2) if how == 1 else ()
             value = _segment(fp[own], first, width).astype(np.int64) if how < 3 else np.zeros(len(own), np.int64)
             _, group = np.unique(np.stack([key[own], chunk[own]]), axis=1, return_inverse=True)
-            _bucket_links(fp[own], group.ravel(), value, np.array([1 << x for x in span], np.int64), radius, forest, same[own])
+            _bucket_links(fp[own], group.ravel(), value, np.array([1 << x for x in span], np.int64), width if how < 3 else 0, radius, forest, same[own])
         pairs = np.array(forest.links, np.int64).reshape(-1, 2)
         cut = lambda x: raw[at[x] * n_bytes : (at[x] + 1) * n_bytes]
         yield pa.RecordBatch.from_arrays([pa.array([cut(a) for a in pairs[:, 0]], pa.binary()), pa.array([cut(b) for b in pairs[:, 1]], pa.binary())], ["u", "v"])
@@ -255,18 +263,41 @@ def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET) -> DataF
     return dealt.select("t", "key", "chunk", "fp").repartition("t", "key", "chunk").mapInArrow(search, "u binary, v binary").distinct()
 
 
-def near_duplicates(df: DataFrame, k: int = 5, radius: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, radius: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, segments: int | None = None) -> DataFrame:
     """(id, fp, component_id): texts linked by fingerprints at most `radius` bits apart.
 
     component_id is the least id that links lead to. Texts without words have fingerprint zero
     and are linked like any other. Ids may repeat; null ids are left out of the least. Equal
     fingerprints are one node, so copies cost nothing more. Only `id_col` and `text_col` are read.
+    All links are found, but with `segments`, where wide radii make that too dear: then a link is
+    found if some segment differs in at most one bit.
     """
     prints = checkpoint(fingerprints(df, k, bits, id_col, text_col))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = components(links(nodes.select("fp"), bits, radius, bucket))
+    roots = components(links(nodes.select("fp"), bits, radius, bucket, segments))
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     joined = linked.join(least, "root").select("fp", F.col("least").alias("component_id"))
     alone = nodes.join(joined.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
     return prints.join(joined.unionByName(alone), "fp").select(id_col, "fp", "component_id")
+
+
+def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`near_duplicates` for a Jaccard similarity of k-word shingles: (id, fp, component_id).
+
+    A similarity of J is a cosine of 2J / (1 + J) between sets of like size, and fingerprint bits
+    differ with probability angle / pi. 512 bits tell 0.8 apart from 0.7 by twice the standard
+    deviation; the radius is what is expected at `similarity`, plus one standard deviation. Fourteen
+    segments miss about 4 % of links at 0.8 and next to none at 0.9.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = round(WIDE_BITS * share + math.sqrt(WIDE_BITS * share * (1 - share)))
+    return near_duplicates(df, k, radius, WIDE_BITS, id_col, text_col, segments=WIDE_SEGMENTS)
+
+
+def keep_first(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` whose id is their group's least; rows of equal id and text become one.
+    Rows without an id stay if their whole group has none."""
+    first = checkpoint(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")))
+    kept = df.join(first.select(F.col(id_col).alias("__first")), F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
+    return kept if first.where("__n > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
