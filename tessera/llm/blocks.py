@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as T
 
-BLOCK_BYTES, MOST_SMALL_BLOCKS, LARGE_BLOCK_BYTES = 8 << 20, 1000, 256 << 20
+BLOCK_BYTES, MOST_SMALL_BLOCKS, LARGE_BLOCK_BYTES = 4 << 20, 1000, 256 << 20
 ASK = "block int, part int, data binary"
 
 

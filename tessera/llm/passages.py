@@ -97,7 +97,7 @@ def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Uni
     repeated windows among those of all blocks: for each blob, document, from and to. With
     `ordered`, the earliest occurrence of a repeated window stays.
     """
-    n_parts = max(1, n_blocks // 2)
+    n_parts = n_blocks
 
     def keys_of(table: pa.Table):
         keys, counts = B.counted(find_anchors(read(table), k, window).gram)
@@ -106,6 +106,7 @@ def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Uni
     levels = B.answer(B.ask(docs, keys_of, n_parts), _reply_repeats(hot))
 
     def passages(table: pa.Table, replies: list[bytes]) -> pa.Table:
+        block = table.column("block")[0].as_py()
         units = read(table)
         found = find_anchors(units, k, window)
         keys, inverse = np.unique(found.gram, return_inverse=True)
@@ -122,8 +123,8 @@ def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Uni
                 out.append((p, b"p" + ship(units, few.take(order[bounds[p] : bounds[p + 1]]), ids, rank)))
         many = found.take(np.flatnonzero(level == 2))
         if len(many.at):
-            out += _ship_windows(units, many, ids, rank, window, n_parts)
-        return B.ask_table(table.column("block")[0].as_py(), out)
+            out += _ship_windows(units, many, ids, rank, window, n_parts, ordered, block)
+        return B.ask_table(block, out)
 
     shipped = B.with_answers(docs, levels, passages, B.ASK)
 
@@ -131,7 +132,8 @@ def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Uni
         table = table.sort_by("block")
         blocks, blobs = table.column("block").to_pylist(), table.column("data").to_pylist()
         out = []
-        for kind, how in ((b"p", resolve), (b"w", lambda x: _resolve_windows(x, window, ordered))):
+        decided = lambda own: [tuple(map(B.unpack, B.split_parts(x))) for x in own]
+        for kind, how in ((b"p", resolve), (b"w", lambda own: _resolve_windows(own, window, ordered)), (b"s", decided)):
             own = [i for i, x in enumerate(blobs) if x[:1] == kind]
             if own:
                 for i, spans in zip(own, how([blobs[i][1:] for i in own])):
@@ -161,43 +163,52 @@ def place(units: Units, at: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> np
     return (rank[doc] << 40) | (at - units.off[doc])
 
 
-def _ship_windows(units: Units, a: Anchors, ids, rank, window: int, n_parts: int) -> list[tuple[int, bytes]]:
-    """Windows of hot anchors by two hashes, with their first place in the block, and all places."""
+def _ship_windows(units: Units, a: Anchors, ids, rank, window: int, n_parts: int, ordered: bool, block: int) -> list[tuple[int, bytes]]:
+    """The distinct windows of hot anchors by two hashes, each with its first place in the block and
+    how often it occurs there. What the block's own repeats decide is sent as spans."""
     n = a.hi - a.lo + 1
     start, doc = T.expand(a.lo, n), np.repeat(a.doc, n)
     first, second = np.empty(len(start), T.U64), np.empty(len(start), T.U64)
-    codes = T._BYTE_CODE[units.codes] if units.codes.dtype == np.uint8 else units.codes
     step = 1 << 18
-    for c in range(0, len(codes), step):
-        own = np.flatnonzero((start >= c) & (start < c + step))
-        if len(own):
-            part = codes[c : c + step + window - 1]
-            first[own] = T.gram_hash(part, window)[start[own] - c]
-            second[own] = T.gram_hash(T.mix(part), window)[start[own] - c]
+    for c in range(0, len(units.codes), step):
+        i, j = np.searchsorted(start, [c, c + step])
+        if j > i:
+            part = units.codes[c : c + step + window - 1]
+            part = T._BYTE_CODE[part] if part.dtype == np.uint8 else part
+            first[i:j] = T.gram_hash(part, window)[start[i:j] - c]
+            second[i:j] = T.gram_hash(T.mix(part), window)[start[i:j] - c]
     order = np.lexsort((start, second, first))
     first, second, start, doc = first[order], second[order], start[order], doc[order]
-    part = _part(first, n_parts)
-    bounds = np.searchsorted(part, np.arange(n_parts + 1))
+    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    lead = np.flatnonzero(new)
+    counts = np.diff(np.append(lead, len(new)))
+    decided = ~new if ordered else np.repeat(counts > 1, counts)
     out = []
-    for p in range(n_parts):
-        i, j = bounds[p], bounds[p + 1]
+    if decided.any():
+        d, s = doc[decided], start[decided] - units.off[doc[decided]]
+        out.append((block % n_parts, b"s" + B.join_parts(*map(B.pack, _merge(d, s, s + window)))))
+    first, second, start, doc = first[lead], second[lead], start[lead], doc[lead]
+    bounds = B.part_bounds(first, n_parts)
+    for p, (i, j) in enumerate(zip(bounds, bounds[1:])):
         if j > i:
             d, s = doc[i:j], start[i:j]
-            out.append((p, b"w" + B.join_parts(B.pack_keys(first[i:j]), B.pack(second[i:j]), B.pack(d.astype(np.int32)), B.pack((s - units.off[d]).astype(np.int64)), B.pack(ids[d].astype(np.int64)), B.pack(place(units, s, d, rank)))))
+            out.append((p, b"w" + B.join_parts(B.pack_keys(first[i:j]), B.pack(second[i:j]), B.pack(counts[i:j].astype(np.int32)), B.pack(d.astype(np.int32)), B.pack((s - units.off[d]).astype(np.int64)), B.pack(ids[d].astype(np.int64)), B.pack(place(units, s, d, rank)))))
     return out
 
 
 def _resolve_windows(blobs: list[bytes], window: int, ordered: bool) -> list[tuple]:
     parts = [B.split_parts(b) for b in blobs]
+    sizes = [len(B.unpack(p[2])) for p in parts]
     first, second = np.concatenate([B.unpack_keys(p[0]) for p in parts]), np.concatenate([B.unpack(p[1]) for p in parts])
-    doc, start, ids, where = (np.concatenate([B.unpack(p[i]) for p in parts]) for i in range(2, 6))
-    source = np.repeat(np.arange(len(parts)), [len(B.unpack(p[1])) for p in parts])
+    counts, doc, start, ids, where = (np.concatenate([B.unpack(p[i]) for p in parts]) for i in range(2, 7))
+    source = np.repeat(np.arange(len(parts)), sizes)
     order = np.lexsort((where, ids, second, first))
     f, s = first[order], second[order]
     same = np.concatenate([[False], (f[1:] == f[:-1]) & (s[1:] == s[:-1])])
     repeated = same.copy()
     if not ordered:
         repeated[:-1] |= same[1:]
+        repeated &= counts[order] == 1  # the others are decided in their block
     hit = order[repeated]
     return [(doc[x], start[x], start[x] + window) for x in (hit[source[hit] == b] for b in range(len(parts)))]
 

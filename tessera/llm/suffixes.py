@@ -23,6 +23,7 @@ from tessera.llm import passages as P
 from tessera.llm import text as T
 
 GRAM = 32
+FAMILIES_AT_ONCE = 20_000
 
 
 def front_code(keys: list[bytes]) -> tuple[np.ndarray, bytes]:
@@ -206,12 +207,23 @@ def _resolve(window: int, k: int):
 
 
 def _repeats_within(keys: list[bytes], family, ids, where, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct passages, the union of their windows that stand at the same place of an earlier
-    passage of the same k-gram, relative to the anchor; (0, 0) if there are none."""
+    """For distinct passages, ordered by family (k-gram), the union of their windows that stand at
+    the same place of an earlier passage of the family, relative to the anchor; (0, 0) if none do."""
+    n = len(keys)
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    edge = np.append(np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1]])), n) if n else []
+    first = 0
+    for last, stop in zip(edge[1:], [*edge[2:], 0]):  # whole families, some thousands of passages at a time
+        if stop - first > FAMILIES_AT_ONCE or not stop:
+            part = slice(first, last)
+            left[part], right[part] = _family_repeats(keys[part], family[part], ids[part], where[part], window)
+            first = last
+    return left, right
+
+
+def _family_repeats(keys, family, ids, where, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(keys)
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if not n:
-        return left, right
     o = np.array([x[-1] for x in keys], np.int64)
     raw = np.frombuffer(b"".join([x[-1 - x[-1] : -1] + x[8 : -1 - x[-1]] for x in keys]), np.uint8)
     size = np.array([len(x) for x in keys], np.int64) - 9

@@ -138,14 +138,14 @@ def anchors(codes, off: np.ndarray, k: int, window: int):
     """
     w, n = window - k + 1, int(off[-1])
     out: list[tuple] = []
-    lengths = np.diff(off)
-    last_start = np.repeat(off[1:] - window, lengths)  # of each unit's document
     for c0 in range(0, max(0, n - window + 1), CHUNK):
         c1 = min(c0 + CHUNK, n - window + 1)
         unit = codes[c0 : c1 + window - 1]
         g = gram_hash(_BYTE_CODE[unit] if unit.dtype == np.uint8 else unit, k)
         key = (g & U64(~np.uint64(0xFFFFF))) | np.arange(len(g), dtype=U64)
-        start = np.flatnonzero(np.arange(c0, c1) <= last_start[c0:c1])
+        i, j = np.searchsorted(off, c0, side="right") - 1, np.searchsorted(off, c1, side="left")
+        own = np.diff(np.clip(off[i : j + 1], c0, c1))  # units of the chunk by document
+        start = np.flatnonzero(np.arange(c0, c1) <= np.repeat(off[i + 1 : j + 1] - window, own))
         if not len(start):
             continue
         at = (_sliding_min(key, w)[start] & U64(0xFFFFF)).astype(np.int64)
