@@ -72,6 +72,7 @@ class Anchors:
 
 def find_anchors(units: Units, k: int, window: int) -> Anchors:
     gram, at, lo, hi = T.anchors(units.codes, units.off, k, window)
+    gram = T.mix(gram)  # the least hashes of their windows aren't spread evenly over the ranges
     return Anchors(gram, at, lo, hi, np.searchsorted(units.off, at, side="right") - 1)
 
 
