@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 LONG_TEXT = 1 << 16  # characters of a text that one task encodes in one go
 LONG_WORD = 2048  # characters without white space from which on halves are encoded apart
-CACHED_WORDS = 400_000
+CACHED_WORDS = 240_000
 #: Unicode's White_Space; str.split() also splits at 0x1C-0x1F, which are no white space there.
 _BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile("[\x1c-\x1f]")
+_PIECE = re.compile("[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 _loaded: dict[str, "Codec"] = {}
 
 
@@ -47,7 +48,10 @@ class Codec:
         self.spelt = [str(i) for i in range(size)]
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.known: dict[str, tuple] = {}
+        self.last = [t.endswith(self.suffix) for t in self.token] if self.suffix else []
+        self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.turn = False
 
     @classmethod
     def load(cls, path: str) -> "Codec":
@@ -56,14 +60,54 @@ class Codec:
         return _loaded[path]
 
     def learn(self, words: set[str]) -> None:
-        """Encodes those words that aren't known yet."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            self.known[w] = (len(ids), " ".join([self.spelt[i] for i in ids]), " ".join([self.token[i] for i in ids]), ids)
+        """Encodes those words that aren't known yet: (number of ids, ids and tokens joined by spaces).
+
+        Two generations of CACHED_WORDS / 2 words: what isn't used while one fills up is forgotten.
+        """
+        new = []
+        for w in words:
+            if w not in self.known:
+                if (x := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.known[w] = x
+        plain = [w for w in new if w.isascii() and "'" not in w and "<|" not in w] if self.suffix else []
+        for i in range(0, len(plain), 5000):
+            self._learn_together(plain[i : i + 5000])
+        rest = [w for w in new if w not in self.known]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self._keep(w, e.ids)
+        self.turn = len(self.known) > CACHED_WORDS // 2
+
+    def _learn_together(self, words: list[str]) -> None:
+        """Encodes words in few long texts and cuts the ids where pre-tokens end. A word of letters is
+        one pre-token; others are counted."""
+        texts = [words[i : i + 100] for i in range(0, len(words), 100)]
+        for some, e in zip(texts, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
+            ids, at, last = e.ids, 0, self.last
+            counts = [1 if w.isalpha() else len(_PIECE.findall(w)) for w in some]
+            if sum([last[i] for i in ids]) != sum(counts):
+                continue  # encoded one by one
+            for w, n in zip(some, counts):
+                start = at
+                while n:
+                    n -= last[ids[at]]
+                    at += 1
+                self._keep(w, ids[start:at])
+
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self.known[word] = (len(ids), " ".join([self.spelt[i] for i in ids]), " ".join([self.token[i] for i in ids]))
+
+    def age(self) -> None:
+        """Forgets what wasn't used lately; called between texts."""
+        if self.turn:
+            self.older, self.known, self.turn = self.known, {}, False
+
+    def ids_of(self, words: list[str]) -> list[int]:
+        self.learn(set(words))
+        ids = [int(i) for w in words for i in self.known[w][1].split()]
+        self.age()
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         if self.tokenizer.decoder is None:
@@ -175,24 +219,23 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         codec = Codec.load(path)
         plain = codec.tokenizer.decoder is None
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text").to_pylist()
-            split = [split_words(t) for t in texts]
-            keep = [n for n, (t, w) in enumerate(zip(texts, split)) if not _is_long(t, w, long_text, long_word)]
-            columns: list[list] = [[] for _ in fields]
-            for first in range(0, len(keep), 200):
-                some = keep[first : first + 200]
-                codec.learn(set().union(*(split[n] for n in some)))
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                texts = part.column("text").to_pylist()
+                split = [split_words(t) for t in texts]
+                keep = [n for n, (t, w) in enumerate(zip(texts, split)) if not _is_long(t, w, long_text, long_word)]
+                columns: list[list] = [[] for _ in fields]
+                codec.learn(set().union(*(split[n] for n in keep)))
                 get = codec.known.__getitem__
-                for n in some:
+                for n in keep:
                     found = [x for x in map(get, split[n]) if x[0]]
-                    decoded = " ".join([x[2] for x in found]) if plain else codec.decode([i for x in found for i in x[3]])
-                    if digests:
-                        values = (sum([x[0] for x in found]), _sha(" ".join([x[1] for x in found])), _sha(decoded))
-                    else:
-                        values = ([i for x in found for i in x[3]], decoded)
+                    spelt = " ".join([x[1] for x in found])
+                    decoded = " ".join([x[2] for x in found]) if plain else codec.decode([int(i) for i in spelt.split()])
+                    values = (sum([x[0] for x in found]), _sha(spelt), _sha(decoded)) if digests else ([int(i) for i in spelt.split()], decoded)
                     for column, value in zip(columns, values):
                         column.append(value)
-            yield _batch([ids.take(pa.array(keep, pa.int64())), *columns], ["id", *fields], digests)
+                codec.age()
+                yield _batch([part.column("id").take(pa.array(keep, pa.int64())), *columns], ["id", *fields], digests)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
@@ -214,9 +257,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 if piece >= 0:
                     out.append(codec.tokenize(unit))
                 else:
-                    ws = split_words(unit)
-                    codec.learn(set(ws))
-                    out.append([i for w in ws for i in codec.known[w][3]])
+                    out.append(codec.ids_of(split_words(unit)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "part", "piece")), pa.array(out, pa.list_(pa.int32()))], ["id", "row", "part", "piece", "ids"])
 
     def assemble(table: pa.Table) -> pa.Table:
