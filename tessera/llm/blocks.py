@@ -9,6 +9,7 @@ more than one entry a block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +21,7 @@ from tessera.llm import text as T
 
 BLOCK_BYTES, MOST_SMALL_BLOCKS, LARGE_BLOCK_BYTES = 4 << 20, 1000, 256 << 20
 ASK = "block int, part int, data binary"
+_libc = ctypes.CDLL(None)
 
 
 def block_count(df: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> int:
@@ -90,6 +92,7 @@ def ask(blocks: DataFrame, keys_of: Callable[[pa.Table], tuple], n_parts: int) -
         keys, *beside = keys_of(in_order(table))
         bounds = part_bounds(keys, n_parts)
         found = [(p, join_parts(pack_keys(keys[a:b]), *(pack(x[a:b]) for x in beside))) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+        release()
         return ask_table(block, found)
 
     return blocks.groupBy("block").applyInArrow(run, ASK)
@@ -105,6 +108,7 @@ def answer(asked: DataFrame, reply: Callable[[list[list[bytes]]], list[bytes]])
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         out = reply([split_parts(x) for x in table.column("data").to_pylist()])
+        release()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "data": pa.array(out, pa.binary())})
 
     return asked.groupBy("part").applyInArrow(run, ASK)
@@ -116,10 +120,20 @@ def with_answers(blocks: DataFrame, answers: DataFrame, run: Callable[[pa.Table,
     def both(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({})
-        return run(in_order(docs), replies.sort_by("part").column("data").to_pylist() if replies.num_rows else [])
+        out = run(in_order(docs), replies.sort_by("part").column("data").to_pylist() if replies.num_rows else [])
+        release()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task, and the memory that it
+    keeps is missing elsewhere on the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)

@@ -140,6 +140,7 @@ def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Uni
                 for i, spans in zip(own, how([blobs[i][1:] for i in own])):
                     if len(spans[0]):
                         out.append((blocks[i], B.join_parts(*map(B.pack, _merge(*spans)))))
+        B.release()
         return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "part": pa.array([0] * len(out), pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return shipped.groupBy("part").applyInArrow(settle, B.ASK)
