@@ -152,7 +152,7 @@ def _cells(docs: DataFrame, answers: DataFrame, bits: int, n_rest: int) -> DataF
         q1 = np.where(p1 > 0, np.round(CELL_P1 * np.log2(np.maximum(p1, 1e-18))), 1).astype(np.int64)
         cell, inverse = np.unique(((b * 2 + known) * 1024 + q2 + 512) * 1024 + q1 + 512, return_inverse=True)
         names = {"bucket": cell >> 21, "known": (cell >> 20) & 1, "q2": ((cell >> 10) & 1023) - 512, "q1": (cell & 1023) - 512}
-        sums = [np.bincount(inverse, weights=w, minlength=len(cell)) for w in (np.ones(len(b)), p2, p1)]
+        sums = [np.bincount(inverse, weights=w, minlength=len(cell)).astype(np.float64) for w in (np.ones(len(b)), p2, p1)]
         return pa.table({**{name: pa.array(c) for name, c in names.items()}, **{name: pa.array(s) for name, s in zip(("number", "p2", "p1"), sums)}})
 
     found = B.with_answers(docs, answers, run, "bucket long, known long, q2 long, q1 long, number double, p2 double, p1 double")
