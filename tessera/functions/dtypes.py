@@ -106,7 +106,7 @@ def is_iso8601(column: Column) -> Column:
 
 def ascii_escape(column: Column) -> Column:
     """ASCII with backslash escapes for the rest, as \\xNN, \\uNNNN or \\UNNNNNNNN."""
-    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long")
+    code = lambda c: F.conv(F.hex(F.encode(c, "utf-32")), 16, 10).cast("long")
     pad = lambda c, n: F.lower(F.lpad(F.hex(code(c)), n, "0"))
     escape = lambda c: F.when(code(c) < 128, c).when(code(c) < 256, F.concat(F.lit("\\x"), pad(c, 2))).when(code(c) < 65536, F.concat(F.lit("\\u"), pad(c, 4))).otherwise(F.concat(F.lit("\\U"), pad(c, 8)))
     return F.when(column.rlike(r"^[\x00-\x7F]*$"), column).otherwise(F.array_join(F.transform(F.split(column, ""), escape), ""))
