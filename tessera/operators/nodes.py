@@ -92,7 +92,7 @@ def name_clashes(nodes: DataFrame) -> DataFrame:
 def empty_groups(nodes: DataFrame, attrs: DataFrame) -> DataFrame:
     """Groups with no attribute, dataset or link anywhere below."""
     full = nodes.where("kind <> 'group'").select("path").union(nodes.join(attrs.select("node_id"), "node_id", "left_semi").select("path"))
-    parts = F.split(F.ltrim(F.lit("/"), F.col("path")), "/")
+    parts = F.split(F.ltrim(F.col("path"), F.lit("/")), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     kept = full.select(F.explode(F.array_union(above, F.array(F.lit("/")))).alias("path")).distinct()
     return nodes.where("kind = 'group'").join(kept, "path", "left_anti")
