@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 POS = "_pos"
 RANGES = 256
+SMALL = 50_000  # rows that one range may hold
 
 
 def from_key(df: DataFrame, key: str) -> DataFrame:
@@ -29,8 +30,8 @@ def number(df: DataFrame, *order: str | Column, name: str = POS, ranges: int = R
         kind = dict(keyed.dtypes)["__lead"]
         measure = F.col("__lead").cast("double") if kind in ("float", "double", "tinyint", "smallint", "int", "bigint") else F.unix_micros(F.col("__lead").cast("timestamp")).cast("double")
         keyed = keyed.withColumn("__measure", measure)
-        low, high = keyed.agg(F.min("__measure"), F.max("__measure")).first()
-        if low is None or high == low:
+        low, high, n = keyed.agg(F.min("__measure"), F.max("__measure"), F.count(F.lit(1))).first()
+        if low is None or high == low or n <= SMALL:
             bucket = F.lit(0)
         else:
             cuts = sorted(set(keyed.agg(F.percentile_approx("__measure", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.lineage import checkpoint
 from tessera.operators import position
 from tessera.operators.position import POS
 
@@ -117,8 +118,10 @@ class ReferenceStore:
         objects = self._upsert("objects", with_file, place, ["files_idx", "object_type"])
         at_object = with_file.join(objects.select(F.col(POS).alias("objects_idx"), *place), place)
         known = self.object_keys.join(self.keys.withColumnRenamed(POS, "keys_idx"), "keys_idx").groupBy("objects_idx", "key").agg(F.min("keys_idx").alias("keys_idx"))
+        at_object = checkpoint(at_object)
         firsts = at_object.groupBy("objects_idx", "key").agg(F.min(POS).alias(POS)).join(known.select("objects_idx", "key"), ["objects_idx", "key"], "left_anti")
         fresh = self._after("keys", position.number(firsts, POS, name="_new"))
+        fresh = checkpoint(fresh)
         keys = self.keys.unionByName(fresh.select(F.col("_new").alias(POS), "key"))
         resolved = known.unionByName(fresh.select("objects_idx", "key", F.col("_new").alias("keys_idx")))
         linked = at_object.join(resolved, ["objects_idx", "key"]).join(entities.select(F.col(POS).alias("entities_idx"), "entity_id"), "entity_id")
@@ -133,7 +136,7 @@ class ReferenceStore:
         held = getattr(self, name)
         first = rows.groupBy(*key).agg(F.min(POS).alias(POS), *[F.min_by(c, POS).alias(c) for c in rest])
         lacking = position.number(first.join(held.select(*key), key, "left_anti"), POS, name="_new")
-        return held.unionByName(self._after(name, lacking).select(F.col("_new").alias(POS), *[c for c in held.columns if c != POS]))
+        return checkpoint(held.unionByName(self._after(name, lacking).select(F.col("_new").alias(POS), *[c for c in held.columns if c != POS])))
 
     def add_vocabulary(self, refs: DataFrame, vocabulary) -> tuple[ReferenceStore, list[str]]:
         """Adds the entity of each key that is a term; returns the keys that aren't, repeats kept."""
