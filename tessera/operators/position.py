@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.lineage import checkpoint
+
 POS = "_pos"
 RANGES = 256
 SMALL = 50_000  # rows that one range may hold
+MOST_SHARES = 8  # quantiles that one value may take up
 
 
 def from_key(df: DataFrame, key: str) -> DataFrame:
@@ -19,36 +22,45 @@ def from_key(df: DataFrame, key: str) -> DataFrame:
 def number(df: DataFrame, *order: str | Column, name: str = POS, ranges: int = RANGES) -> DataFrame:
     """Numbers rows by `order` without putting them into one task.
 
-    The order key is cut into ranges at its quantiles where it leads with a number, or else by a
-    range exchange; rows are numbered within their range, and each range starts where the counts
-    of those before it end. Ties keep no stated order. Nulls come first.
+    Rows are cut into ranges, numbered within their range, and each range starts where the counts of
+    those before it end. A leading number is cut at its quantiles, which moves no data. Where it leads
+    with something else, or one value holds much more than a range's share, rows are dealt by the whole
+    order in a range exchange, whose outcome is checkpointed. Ties keep no stated order. Nulls come first.
     """
-    lead = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    keyed = df.withColumn("__lead", lead)
-    numeric = dict(keyed.dtypes)["__lead"] in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
-    if numeric:
-        kind = dict(keyed.dtypes)["__lead"]
-        measure = F.col("__lead").cast("double") if kind in ("float", "double", "tinyint", "smallint", "int", "bigint") else F.unix_micros(F.col("__lead").cast("timestamp")).cast("double")
-        keyed = keyed.withColumn("__measure", measure)
-        low, high, n = keyed.agg(F.min("__measure"), F.max("__measure"), F.count(F.lit(1))).first()
-        if low is None or high == low or n <= SMALL:
-            bucket = F.lit(0)
-        else:
-            cuts = sorted(set(keyed.agg(F.percentile_approx("__measure", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]))
-            bucket = _search(F.col("__measure"), cuts)
-            bucket = F.when(F.col("__measure").isNull(), -1).otherwise(bucket)
+    keyed = df.withColumn("__lead", order[0] if isinstance(order[0], Column) else F.col(order[0]))
+    rest = list(order[1:])
+    bucket = _quantile_range(keyed, ranges)
+    if bucket is None:
+        ranged = keyed.repartitionByRange(ranges, "__lead", *rest).withColumn("__bucket", F.spark_partition_id())
+        keyed = checkpoint(ranged)  # a partition's number must not change when it is computed again
     else:
-        bucket = F.coalesce(F.ascii(F.substring(F.col("__lead").cast("string"), 1, 1)) * 256 + F.ascii(F.substring(F.col("__lead").cast("string"), 2, 1)), F.lit(-1))
-    keyed = keyed.withColumn("__bucket", bucket.cast("int")).drop("__measure")
+        keyed = keyed.withColumn("__bucket", bucket)
     starts = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))  # one row a range
     counts = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(starts), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__bucket").orderBy("__lead", *order[1:])
+    inside = Window.partitionBy("__bucket").orderBy("__lead", *rest)
     ranked = keyed.withColumn("__rank", F.row_number().over(inside) - 1)
-    out = ranked.join(F.broadcast(counts), F.col("__bucket") == F.col("__b"))  # at most one row a range
+    out = ranked.join(F.broadcast(counts), F.col("__bucket") == F.col("__b"))  # at most `ranges` + 1 rows
     return out.select((F.col("__start") + F.col("__rank")).cast("long").alias(name), *df.columns)
 
 
+def _quantile_range(keyed: DataFrame, ranges: int) -> Column | None:
+    """The range of a numeric `__lead`, or None where quantiles don't cut the rows evenly."""
+    kind = dict(keyed.dtypes)["__lead"]
+    lead = F.col("__lead")
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        lead = F.unix_micros(lead.cast("timestamp"))
+    elif kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return None if keyed.limit(SMALL + 1).count() > SMALL else F.lit(0)
+    measure = lead.cast("double")
+    n, known, cuts = keyed.agg(F.count(F.lit(1)), F.count(measure), F.percentile_approx(measure, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()
+    if n <= SMALL or not cuts:
+        return F.lit(0)
+    if max(cuts.count(c) for c in set(cuts)) > MOST_SHARES or (n - known) * ranges > MOST_SHARES * n:
+        return None
+    return F.when(measure.isNull(), -1).otherwise(_search(measure, sorted(set(cuts))))
+
+
 def _search(value: Column, cuts: list) -> Column:
     """How many of the ascending cuts are less than value, by halving."""
     if not cuts:

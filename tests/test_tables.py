@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,18 @@ def test_numbering_is_gapless_with_ties_and_nulls(spark):
     assert values(position.number(text, "k"), "k") == ["", "a", "b", "ba"]
 
 
+def test_numbering_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(position, "SMALL", 10)
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), f"k{rng.randrange(50)}", i) for i in range(300)] + [(None, None, 300)]
+    hot = [(7, "same", i) for i in range(200)] + rows[:20]
+    for data in (rows, hot):
+        df = spark.createDataFrame(data, "n int, s string, i int").repartition(3)
+        for lead, at in (("n", 0), ("s", 1)):
+            got = values(position.number(df, lead, "i", ranges=20), "i")
+            assert got == [r[2] for r in sorted(data, key=lambda r: (r[at] is not None, r[at] if r[at] is not None else 0, r[2]))]
+
+
 def test_regions_and_hierarchy(spark):
     leaf = table_of(spark, "leaf", [("a",), ("b",), ("c",)], "tag string")
     mid = table_of(spark, "mid", [([0, 1], "x"), ([], "y"), ([2], "z")], "refs array<bigint>, label string", columns=[ColumnSpec("refs", kind="region", target="leaf")]).bind(refs=leaf)
