@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ JOINED = ["file_object_id", "objects_idx", "object_id", "files_idx", "object_typ
 LINKS = {"objects": {"files_idx": "files"}, "object_keys": {"objects_idx": "objects", "keys_idx": "keys"}, "entity_keys": {"entities_idx": "entities", "keys_idx": "keys"}}
 
 
+def _after(size: int, rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_new", F.col("_new") + size)
+
+
 @dataclass(frozen=True)
 class ReferenceStore:
     keys: DataFrame
@@ -109,34 +114,36 @@ class ReferenceStore:
         known keeps its own. Links are made once.
         """
         refs = refs.select(POS, *[F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("relative_path", "field") else F.col(c) for c in ("file_object_id", "object_id", "object_type", "relative_path", "field", "key", "entity_id", "entity_uri")])
-        entities = self._upsert("entities", refs, ["entity_id"], ["entity_uri"])
+        sizes = self.sizes()
+        entities = self._upsert(sizes, "entities", refs, ["entity_id"], ["entity_uri"])
         if not entities.where("entity_uri is null").isEmpty():
             raise ValueError("New entities must have an entity_uri.")
-        files = self._upsert("files", refs, ["file_object_id"], [])
+        files = self._upsert(sizes, "files", refs, ["file_object_id"], [])
         place = ["object_id", "relative_path", "field"]
         with_file = refs.join(files.select(F.col(POS).alias("files_idx"), "file_object_id"), "file_object_id")
-        objects = self._upsert("objects", with_file, place, ["files_idx", "object_type"])
+        objects = self._upsert(sizes, "objects", with_file, place, ["files_idx", "object_type"])
         at_object = with_file.join(objects.select(F.col(POS).alias("objects_idx"), *place), place)
         known = self.object_keys.join(self.keys.withColumnRenamed(POS, "keys_idx"), "keys_idx").groupBy("objects_idx", "key").agg(F.min("keys_idx").alias("keys_idx"))
         at_object = checkpoint(at_object)
         firsts = at_object.groupBy("objects_idx", "key").agg(F.min(POS).alias(POS)).join(known.select("objects_idx", "key"), ["objects_idx", "key"], "left_anti")
-        fresh = self._after("keys", position.number(firsts, POS, name="_new"))
+        fresh = _after(sizes["keys"], position.number(firsts, POS, name="_new"))
         fresh = checkpoint(fresh)
         keys = self.keys.unionByName(fresh.select(F.col("_new").alias(POS), "key"))
         resolved = known.unionByName(fresh.select("objects_idx", "key", F.col("_new").alias("keys_idx")))
         linked = at_object.join(resolved, ["objects_idx", "key"]).join(entities.select(F.col(POS).alias("entities_idx"), "entity_id"), "entity_id")
-        return replace(self, keys=keys, entities=entities, files=files, objects=objects, object_keys=self._upsert("object_keys", linked, ["objects_idx", "keys_idx"], []), entity_keys=self._upsert("entity_keys", linked, ["entities_idx", "keys_idx"], []))
+        return replace(self, keys=keys, entities=entities, files=files, objects=objects, object_keys=self._upsert(sizes, "object_keys", linked, ["objects_idx", "keys_idx"], []), entity_keys=self._upsert(sizes, "entity_keys", linked, ["entities_idx", "keys_idx"], []))
 
-    def _after(self, name: str, rows: DataFrame) -> DataFrame:
-        base = getattr(self, name).count()
-        return rows.withColumn("_new", F.col("_new") + base)
+    def sizes(self) -> dict[str, int]:
+        """The number of rows of each table, in one job."""
+        counts = [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, df in self.tables().items()]
+        return dict(map(tuple, reduce(DataFrame.union, counts).collect()))
 
-    def _upsert(self, name: str, rows: DataFrame, key: list[str], rest: list[str]) -> DataFrame:
+    def _upsert(self, sizes: dict[str, int], name: str, rows: DataFrame, key: list[str], rest: list[str]) -> DataFrame:
         """The table with the first row of each key that it lacks, numbered on in order."""
         held = getattr(self, name)
         first = rows.groupBy(*key).agg(F.min(POS).alias(POS), *[F.min_by(c, POS).alias(c) for c in rest])
         lacking = position.number(first.join(held.select(*key), key, "left_anti"), POS, name="_new")
-        return checkpoint(held.unionByName(self._after(name, lacking).select(F.col("_new").alias(POS), *[c for c in held.columns if c != POS])))
+        return checkpoint(held.unionByName(_after(sizes[name], lacking).select(F.col("_new").alias(POS), *[c for c in held.columns if c != POS])))
 
     def add_vocabulary(self, refs: DataFrame, vocabulary) -> tuple[ReferenceStore, list[str]]:
         """Adds the entity of each key that is a term; returns the keys that aren't, repeats kept."""
