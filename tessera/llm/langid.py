@@ -121,28 +121,45 @@ def mixtures(model: Model, data: np.ndarray, off: np.ndarray, rounds: int, penal
     doc = np.repeat(np.arange(n_docs), np.diff(first))
     top = like.max(0) if n_words else np.zeros(0)
     p = np.exp(np.maximum(like - top, -700))
+    single = np.stack([np.bincount(doc, weights=x, minlength=n_docs) for x in like]) if n_words else np.zeros((n_lang, n_docs))
+    n = np.maximum(np.diff(first), 1)
+    best = single.argmax(0)
+    pi = np.zeros((n_lang, n_docs))
+    pi[best, np.arange(n_docs)] = 1
+    # log-likelihood is concave in the proportions, so it rises above that of one language alone by no
+    # more than its slope towards another, and by no more than if each word had its best language; a
+    # rise within the penalty changes nothing
+    own = np.take_along_axis(p, best[doc][None], 0)[0] if n_words else np.zeros(0)
+    slope = np.stack([np.bincount(doc, weights=x / np.maximum(own, 1e-300), minlength=n_docs) for x in p]) if n_words else single
+    most_gain = np.minimum((slope - n).max(0, initial=0), np.bincount(doc, weights=top, minlength=n_docs) - single.max(0))
+    mixed = np.flatnonzero(most_gain > penalty * np.log1p(n))
+    if len(mixed):
+        words = T.expand(first[mixed], np.diff(first)[mixed])
+        pi[:, mixed] = _select(single[:, mixed], p[:, words].astype(np.float32), top[words], n[mixed], rounds, penalty, most)
+    return pi
 
-    def total(values: np.ndarray) -> np.ndarray:
-        return np.bincount(doc, weights=values, minlength=n_docs)
 
-    single = np.stack([total(x) for x in like]) if n_words else np.zeros((n_lang, n_docs))
+def _select(single, p, top, n, rounds: int, penalty: float, most: int) -> np.ndarray:
+    """Proportions within the chosen set of languages of documents that may have several; n are their
+    numbers of words, one at least."""
+    n_lang, n_docs = single.shape
+    starts = np.cumsum(n) - n
     allowed = np.argsort(np.argsort(-single, axis=0), axis=0) < most
-    n = np.maximum(np.diff(first), 1)
 
     def fit(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pi = mask / np.maximum(mask.sum(0), 1)
         for _ in range(rounds):
-            joint = pi[:, doc] * p
-            joint /= np.maximum(joint.sum(0), 1e-300)
-            pi = np.stack([total(x) for x in joint]) / n
-        mixed = (pi[:, doc] * p).sum(0)
-        return pi, total(np.log(np.maximum(mixed, 1e-300)) + top)
+            joint = np.repeat(pi.astype(np.float32), n, axis=1)
+            joint *= p
+            joint /= np.maximum(joint.sum(0), np.float32(1e-30))
+            pi = np.add.reduceat(joint, starts, axis=1, dtype=np.float64) / n
+        mixed = (np.repeat(pi.astype(np.float32), n, axis=1) * p).sum(0, dtype=np.float64)
+        return pi, np.add.reduceat(np.log(np.maximum(mixed, 1e-300)) + top, starts)
 
     share, _ = fit(allowed)
     order = np.argsort(-share, axis=0, kind="stable")
-    best = single.argmax(0)
     chosen = np.zeros((n_lang, n_docs), bool)
-    chosen[best, np.arange(n_docs)] = True
+    chosen[single.argmax(0), np.arange(n_docs)] = True
     pi, score = chosen.astype(float), single.max(0)
     growing = np.ones(n_docs, bool)
     for rank in range(min(most, n_lang)):
