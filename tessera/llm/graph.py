@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.lineage import checkpoint
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a copy in the cluster's shared checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+__all__ = ["checkpoint", "components", "join_aggregate"]
 
 
 def components(links: DataFrame, least: str = "u", other: str = "v") -> DataFrame:
@@ -29,9 +23,9 @@ def components(links: DataFrame, least: str = "u", other: str = "v") -> DataFram
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = join_aggregate(both.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = join_aggregate(large, low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = checkpoint(small)
         now = _state(edges)
         if now == state:
@@ -41,5 +35,13 @@ def components(links: DataFrame, least: str = "u", other: str = "v") -> DataFram
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def join_aggregate(rows: DataFrame, aggregate: DataFrame, key: str) -> DataFrame:
+    """Rows with what was aggregated by a key that may be very frequent, as the centre of a component
+    is. The second key gives the join exchanges of its own, which adaptive execution can split; it
+    can't split those that an aggregation shares."""
+    hashed = lambda df: df.withColumn("__h", F.xxhash64(key))
+    return hashed(rows).join(hashed(aggregate), ["__h", key]).drop("__h")
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)))).first())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
-from tessera.llm.graph import checkpoint, components
+from tessera.llm.graph import checkpoint, components, join_aggregate
 
 #: For each byte, its bits as eight byte lanes of a word (bit 0 in the lowest lane).
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], T.U64)
@@ -277,7 +277,7 @@ def near_duplicates(df: DataFrame, k: int = 5, radius: int = 4, bits: int = 64,
     roots = components(links(nodes.select("fp"), bits, radius, bucket, segments))
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    joined = linked.join(least, "root").select("fp", F.col("least").alias("component_id"))
+    joined = join_aggregate(linked, least, "root").select("fp", F.col("least").alias("component_id"))
     alone = nodes.join(joined.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
     return prints.join(joined.unionByName(alone), "fp").select(id_col, "fp", "component_id")
 
