@@ -60,4 +60,6 @@ def flatten_names(df: DataFrame, max_levels: int | None = None) -> DataFrame:
 
 def region_of(child: DataFrame, key: str, order: Sequence[str], child_pos: str, name: str) -> DataFrame:
     """(key, name): for each key the positions of the child rows that have it, in order: a ragged region."""
+    if list(order) == [child_pos]:
+        return child.groupBy(key).agg(F.sort_array(F.collect_list(child_pos)).alias(name))
     return child.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(child_pos).alias("__p")))), lambda x: x["__p"]).alias(name))

@@ -34,7 +34,7 @@ def number(df: DataFrame, *order: str | Column, name: str = POS, ranges: int = R
         ranged = keyed.repartitionByRange(ranges, "__lead", *rest).withColumn("__bucket", F.spark_partition_id())
         keyed = checkpoint(ranged)  # a partition's number must not change when it is computed again
     else:
-        keyed = keyed.withColumn("__bucket", bucket)
+        keyed = keyed.withColumn("__bucket", F.expr(bucket))
     starts = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))  # one row a range
     counts = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(starts), F.lit(0)).alias("__start"))
@@ -44,29 +44,45 @@ def number(df: DataFrame, *order: str | Column, name: str = POS, ranges: int = R
     return out.select((F.col("__start") + F.col("__rank")).cast("long").alias(name), *df.columns)
 
 
-def _quantile_range(keyed: DataFrame, ranges: int) -> Column | None:
-    """The range of a numeric `__lead`, or None where quantiles don't cut the rows evenly."""
+def number_sparse(df: DataFrame, key: str, name: str = POS, block: int = 100_000) -> DataFrame:
+    """Numbers rows by a unique whole number from 0 on that may have gaps, as positions of some rows of
+    a table have. A block of `block` values holds no more rows than that, so no quantiles are sought."""
+    blocks = df.withColumn("__block", F.floor(F.col(key) / block))
+    starts = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))  # one row a block
+    counts = counts.select("__block", F.coalesce(F.sum("__n").over(starts), F.lit(0)).alias("__start"))
+    ranked = blocks.withColumn("__rank", F.row_number().over(Window.partitionBy("__block").orderBy(key)) - 1)
+    return ranked.join(counts, "__block").select((F.col("__start") + F.col("__rank")).cast("long").alias(name), *df.columns)
+
+
+def _quantile_range(keyed: DataFrame, ranges: int) -> str | None:
+    """SQL for the range of a numeric `__lead`, or None where quantiles don't cut the rows evenly.
+
+    Ranges are as many as asked for, or fewer that hold about SMALL rows each.
+    """
     kind = dict(keyed.dtypes)["__lead"]
-    lead = F.col("__lead")
     if kind in ("date", "timestamp", "timestamp_ntz"):
-        lead = F.unix_micros(lead.cast("timestamp"))
-    elif kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        return None if keyed.limit(SMALL + 1).count() > SMALL else F.lit(0)
-    measure = lead.cast("double")
-    n, known, cuts = keyed.agg(F.count(F.lit(1)), F.count(measure), F.percentile_approx(measure, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()
+        measure = "double(unix_micros(timestamp(__lead)))"
+    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        measure = "double(__lead)"
+    else:
+        return None if keyed.limit(SMALL + 1).count() > SMALL else "0"
+    n, known, cuts = keyed.agg(F.count(F.lit(1)), F.count(F.expr(measure)), F.percentile_approx(F.expr(measure), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()
     if n <= SMALL or not cuts:
-        return F.lit(0)
+        return "0"
     if max(cuts.count(c) for c in set(cuts)) > MOST_SHARES or (n - known) * ranges > MOST_SHARES * n:
         return None
-    return F.when(measure.isNull(), -1).otherwise(_search(measure, sorted(set(cuts))))
+    every = max(1, ranges * SMALL // n)
+    return f"CASE WHEN {measure} IS NULL THEN -1 ELSE {_search(measure, sorted(set(cuts))[every - 1 :: every])} END"
 
 
-def _search(value: Column, cuts: list) -> Column:
-    """How many of the ascending cuts are less than value, by halving."""
+def _search(value: str, cuts: list) -> str:
+    """SQL for how many of the ascending cuts are less than value, by halving; one text, as building
+    so many nested columns takes seconds."""
     if not cuts:
-        return F.lit(0)
+        return "0"
     m = len(cuts) // 2
-    return F.when(value > F.lit(cuts[m]), F.lit(m + 1) + _search(value, cuts[m + 1 :])).otherwise(_search(value, cuts[:m]))
+    return f"CASE WHEN {value} > double('{cuts[m]!r}') THEN {m + 1} + {_search(value, cuts[m + 1 :])} ELSE {_search(value, cuts[:m])} END"
 
 
 def normalise(index: int, n: int) -> int:

@@ -126,7 +126,7 @@ class ReferenceStore:
         known = self.object_keys.join(self.keys.withColumnRenamed(POS, "keys_idx"), "keys_idx").groupBy("objects_idx", "key").agg(F.min("keys_idx").alias("keys_idx"))
         at_object = checkpoint(at_object)
         firsts = at_object.groupBy("objects_idx", "key").agg(F.min(POS).alias(POS)).join(known.select("objects_idx", "key"), ["objects_idx", "key"], "left_anti")
-        fresh = _after(sizes["keys"], position.number(firsts, POS, name="_new"))
+        fresh = _after(sizes["keys"], position.number_sparse(firsts, POS, name="_new"))
         fresh = checkpoint(fresh)
         keys = self.keys.unionByName(fresh.select(F.col("_new").alias(POS), "key"))
         resolved = known.unionByName(fresh.select("objects_idx", "key", F.col("_new").alias("keys_idx")))
@@ -142,7 +142,7 @@ class ReferenceStore:
         """The table with the first row of each key that it lacks, numbered on in order."""
         held = getattr(self, name)
         first = rows.groupBy(*key).agg(F.min(POS).alias(POS), *[F.min_by(c, POS).alias(c) for c in rest])
-        lacking = position.number(first.join(held.select(*key), key, "left_anti"), POS, name="_new")
+        lacking = position.number_sparse(first.join(held.select(*key), key, "left_anti"), POS, name="_new")
         return checkpoint(held.unionByName(_after(sizes[name], lacking).select(F.col("_new").alias(POS), *[c for c in held.columns if c != POS])))
 
     def add_vocabulary(self, refs: DataFrame, vocabulary) -> tuple[ReferenceStore, list[str]]:

@@ -30,19 +30,20 @@ def validate(nodes: DataFrame, attrs: DataFrame, catalog: Catalog) -> DataFrame:
     unknown = typed.join(closure.select("data_type").distinct(), "data_type", "left_anti").select(F.lit("UnknownType").alias("error"), F.col("data_type").alias("name"), F.col("path").alias("location"), F.lit("unknown data type").alias("reason"))
 
     # attributes
+    fits = lambda want, have: F.broadcast(lattice.select(F.col("expected").alias(want), F.col("received").alias(have), F.lit(True).alias("_fits")))
     wanted = F.broadcast(tables["attributes"].where("child is null").select("data_type", F.col("name").alias("attr"), F.col("dtype").alias("want"), F.col("shape").alias("want_shape"), "required"))
     found = attrs.select("node_id", F.col("name").alias("attr"), F.col("dtype").alias("have"), F.col("shape").alias("have_shape"))
-    checked = typed.join(wanted, "data_type").join(found, ["node_id", "attr"], "left")
+    checked = typed.join(wanted, "data_type").join(found, ["node_id", "attr"], "left").join(fits("want", "have"), ["want", "have"], "left")
     full = F.concat_ws("/", "data_type", "attr")
     place = F.concat(F.col("path"), F.lit("."), F.col("attr"))
-    row = lambda df, error, name, location, reason: df.select(F.lit(error).alias("error"), name.alias("name"), location.alias("location"), reason.alias("reason"))
-    missing = row(checked.where("have is null and required"), "MissingError", full, F.col("path"), F.lit("argument missing"))
-    have = checked.where("have is not null")
-    typed_attrs = have.where("want is not null").join(F.broadcast(lattice.select(F.col("expected").alias("want"), F.col("received").alias("have"))), ["want", "have"], "left_anti")
-    bad_type = row(typed_attrs, "DtypeError", full, place, F.format_string("incorrect type - expected '%s', got '%s'", "want", "have"))
-    scalar = row(have.where("want_shape is not null and have_shape is null"), "ExpectedArrayError", full, place, F.format_string("incorrect shape - expected an array of shape '(%s)', got non-array data", "want_shape"))
-    shaped = have.where("want_shape is not null and have_shape is not null").where(~_shape_matches(F.col("want_shape"), F.col("have_shape")))
-    bad_shape = row(shaped, "ShapeError", full, place, F.format_string("incorrect shape - expected '(%s)', got '(%s)'", "want_shape", F.array_join(F.col("have_shape").cast("array<string>"), ",")))
+    have, shaped = F.col("have").isNotNull(), F.col("have_shape").isNotNull()
+    of_attributes = _errors(
+        checked,
+        _error(~have & F.col("required"), "MissingError", full, F.col("path"), F.lit("argument missing")),
+        _error(have & F.col("want").isNotNull() & F.col("_fits").isNull(), "DtypeError", full, place, F.format_string("incorrect type - expected '%s', got '%s'", "want", "have")),
+        _error(have & F.col("want_shape").isNotNull() & ~shaped, "ExpectedArrayError", full, place, F.format_string("incorrect shape - expected an array of shape '(%s)', got non-array data", "want_shape")),
+        _error(have & shaped & ~_shape_matches(F.col("want_shape"), F.col("have_shape")), "ShapeError", full, place, F.format_string("incorrect shape - expected '(%s)', got '(%s)'", "want_shape", F.array_join(F.col("have_shape").cast("array<string>"), ","))),
+    )
 
     # children
     slots = F.broadcast(tables["children"].select("data_type", "slot", F.col("kind").alias("slot_kind"), F.col("name").alias("slot_name"), F.col("child_type").alias("slot_type"), "quantity", F.col("dtype").alias("slot_dtype"), F.col("shape").alias("slot_shape"), F.col("required").alias("slot_required"), "many", "linkable"))
@@ -51,21 +52,32 @@ def validate(nodes: DataFrame, attrs: DataFrame, catalog: Catalog) -> DataFrame:
     counts = assigned.groupBy("parent_id", "slot").agg(F.count(F.lit(1)).alias("n"))
     per_slot = parents.join(slots, "data_type").join(counts, ["parent_id", "slot"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     slot_full = F.concat_ws("/", "data_type", F.coalesce("slot_name", "slot_type"))
-    none = per_slot.where("n = 0 and slot_required")
-    no_type = row(none.where("slot_name is null"), "MissingDataType", F.col("data_type"), F.col("parent_path"), F.format_string("missing data type %s", "slot_type"))
-    no_name = row(none.where("slot_name is not null"), "MissingError", slot_full, F.col("parent_path"), F.lit("argument missing"))
-    wrong = per_slot.where((F.col("n") > 0) & ((~F.col("many") & (F.col("n") > 1)) | (F.col("quantity").rlike("^[0-9]+$") & F.col("n").cast("string").eqNullSafe(F.col("quantity")).__invert__() & F.col("many"))))
-    quantity = row(wrong, "IncorrectQuantityError", F.col("data_type"), F.col("parent_path"), F.format_string("expected a quantity of %s for data type %s, received %s", "quantity", F.coalesce("slot_type", "slot_name"), F.col("n").cast("string")))
-    filled = assigned.join(parents, "parent_id").join(slots, ["data_type", "slot"])
-    data = filled.where("child_dtype is not null and slot_dtype is not null").where("not coalesce(exists(child_shape, x -> x = 0), false)")
-    dtype = row(data.join(F.broadcast(lattice.select(F.col("expected").alias("slot_dtype"), F.col("received").alias("child_dtype"))), ["slot_dtype", "child_dtype"], "left_anti"), "DtypeError", slot_full, F.col("child_path"), F.format_string("incorrect type - expected '%s', got '%s'", "slot_dtype", "child_dtype"))
-    shapes = filled.where("slot_shape is not null and child_shape is not null and child_kind = 'dataset'").where(~_shape_matches(F.col("slot_shape"), F.col("child_shape")))
-    shape = row(shapes, "ShapeError", slot_full, F.col("child_path"), F.format_string("incorrect shape - expected '(%s)', got '(%s)'", "slot_shape", F.array_join(F.col("child_shape").cast("array<string>"), ",")))
-    links = row(filled.where("child_kind = 'link' and slot_kind <> 'link' and not linkable"), "IllegalLinkError", slot_full, F.col("child_path"), F.lit("illegal use of link (linked object will not be validated)"))
-    out = unknown
-    for part in (missing, bad_type, scalar, bad_shape, no_type, no_name, quantity, dtype, shape, links):
-        out = out.unionByName(part)
-    return out.distinct()
+    none, named = (F.col("n") == 0) & F.col("slot_required"), F.col("slot_name").isNotNull()
+    other_number = F.col("many") & F.col("quantity").rlike("^[0-9]+$") & ~F.col("n").cast("string").eqNullSafe(F.col("quantity"))
+    of_slots = _errors(
+        per_slot,
+        _error(none & ~named, "MissingDataType", F.col("data_type"), F.col("parent_path"), F.format_string("missing data type %s", "slot_type")),
+        _error(none & named, "MissingError", slot_full, F.col("parent_path"), F.lit("argument missing")),
+        _error((F.col("n") > 0) & ((~F.col("many") & (F.col("n") > 1)) | other_number), "IncorrectQuantityError", F.col("data_type"), F.col("parent_path"), F.format_string("expected a quantity of %s for data type %s, received %s", "quantity", F.coalesce("slot_type", "slot_name"), F.col("n").cast("string"))),
+    )
+    filled = assigned.join(parents, "parent_id").join(slots, ["data_type", "slot"]).join(fits("slot_dtype", "child_dtype"), ["slot_dtype", "child_dtype"], "left")
+    empty = F.coalesce(F.exists("child_shape", lambda n: n == 0), F.lit(False))
+    of_children = _errors(
+        filled,
+        _error(F.col("child_dtype").isNotNull() & F.col("slot_dtype").isNotNull() & ~empty & F.col("_fits").isNull(), "DtypeError", slot_full, F.col("child_path"), F.format_string("incorrect type - expected '%s', got '%s'", "slot_dtype", "child_dtype")),
+        _error((F.col("child_kind") == "dataset") & F.col("child_shape").isNotNull() & ~_shape_matches(F.col("slot_shape"), F.col("child_shape")), "ShapeError", slot_full, F.col("child_path"), F.format_string("incorrect shape - expected '(%s)', got '(%s)'", "slot_shape", F.array_join(F.col("child_shape").cast("array<string>"), ","))),
+        _error((F.col("child_kind") == "link") & (F.col("slot_kind") != "link") & ~F.col("linkable"), "IllegalLinkError", slot_full, F.col("child_path"), F.lit("illegal use of link (linked object will not be validated)")),
+    )
+    return unknown.unionByName(of_attributes).unionByName(of_slots).unionByName(of_children).distinct()
+
+
+def _error(where: F.Column, error: str, name: F.Column, location: F.Column, reason: F.Column) -> F.Column:
+    return F.when(where, F.struct(F.lit(error).alias("error"), name.alias("name"), location.alias("location"), reason.alias("reason")))
+
+
+def _errors(rows: DataFrame, *errors: F.Column) -> DataFrame:
+    """A row for each error of each row: all are tested in one pass."""
+    return rows.select(F.inline(F.filter(F.array(*errors), lambda e: e.isNotNull())))
 
 
 def assign(nodes: DataFrame, typed: DataFrame, slots: DataFrame, closure: DataFrame) -> DataFrame:

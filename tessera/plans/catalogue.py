@@ -154,7 +154,7 @@ def query_algebra(spark, sf):
     return (query.compare(data, "==", (1000.0, 30000.0)) | query.compare(data, ">", 200000.0)).rows()
 
 
-@registered("SELECT i AS _pos, 0.5 + 0.25 * i AS value FROM range(0, 400) t(i) WHERE 0.5 + 0.25 * i >= 7.3 AND 0.5 + 0.25 * i < 50")
+@registered("SELECT i AS _pos, CAST(0.5 + 0.25 * i AS DOUBLE) AS value FROM range(0, 400) t(i) WHERE 0.5 + 0.25 * i >= 7.3 AND 0.5 + 0.25 * i < 50")
 def linspace_query(spark, sf):
     space = query.LinSpace(0.5, 100.5, 0.25)
     return space.frame(spark, space.range_of("==", (7.3, 50.0)))
