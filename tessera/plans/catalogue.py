@@ -99,6 +99,17 @@ def which_eq(spark, sf):
     return RowTable.from_frame("part", position.from_key(df, "p_partkey").drop("p_partkey"), ("p_brand",)).which(p_brand=least)
 
 
+@registered("SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderkey <= 200 AND o_orderkey > 5 AND (200 - o_orderkey) % 3 = 0")
+def select_slice_back(spark, sf):
+    return table(spark, sf, "orders", "o_orderkey", "o_custkey")[200:5:-3].drop(POS)
+
+
+@registered("SELECT o_orderkey AS _pos, o_totalprice AS value, CASE WHEN o_orderkey = 3 THEN 0 WHEN o_orderkey < 30 THEN 1 ELSE 2 END AS _ord FROM orders WHERE o_orderkey IN (3, 10, 14, 18, 30, 31, 32)")
+def pick_mixed(spark, sf):
+    data = read(spark, sf, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias(POS), F.col("o_totalprice").alias("value"))
+    return query.pick(data, [3, slice(10, 20, 4), (30, 33)])
+
+
 # positions and sorted queries
 
 
@@ -486,6 +497,12 @@ def sample_count(spark, sf):
     return ingest.sample_count(read(spark, sf, "events", "event_id", "event_type"), "event_type")
 
 
+@registered("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf):
+    counts = ingest.windowed_counts(read(spark, sf, "events", "ts", "event_type"), "ts", "event_type")
+    return counts.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
 @registered("SELECT user_id AS _pos, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def latest_chunk_wins(spark, sf):
     e = read(spark, sf, "events", "event_id", "user_id", "event_type")

@@ -195,3 +195,18 @@ def test_from_columns_checks_lengths(spark):
     assert len(Table.from_columns("t", [(ColumnSpec("a"), col(1, 2)), (ColumnSpec("b"), col(3, 4))])) == 2
     with pytest.raises(ValueError):
         Table.from_columns("t", [(ColumnSpec("a"), col(1, 2)), (ColumnSpec("b"), col(3))])
+
+
+def test_number_sparse_positions(spark):
+    keys = [0, 3, 99, 100, 101, 250, 999, 1000, 5000]
+    rows = position.number_sparse(spark.createDataFrame([(k,) for k in reversed(keys)], "k long"), "k", block=100).collect()
+    assert sorted((r[POS], r["k"]) for r in rows) == list(enumerate(keys))
+    assert position.number_sparse(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_number_by_fewer_ranges(spark, monkeypatch):
+    monkeypatch.setattr(position, "SMALL", 100)
+    values = [float(i * 7919 % 1000) - 500.5 for i in range(1000)] + [None]
+    rows = position.number(spark.createDataFrame([(v,) for v in values], "v double"), "v").orderBy(POS).collect()
+    assert [r[POS] for r in rows] == list(range(1001))
+    assert [r["v"] for r in rows] == [None, *sorted(values[:-1])]
