@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""Near-duplicates: SimHash by multi-index hashing, and exact Jaccard similarity behind MinHash bands.
 
 A fingerprint is cut into segments. Two fingerprints that differ in r bits differ in few bits of
 some segment (pigeonhole), so each looks into a small Hamming ball around every segment's value,
@@ -28,7 +28,10 @@ from tessera.llm.graph import checkpoint, components, join_aggregate
 
 #: For each byte, its bits as eight byte lanes of a word (bit 0 in the lowest lane).
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], T.U64)
-WIDE_BITS, WIDE_SEGMENTS = 512, 14
+#: Bands of MinHash values: sets of a Jaccard similarity of 0.8 share one with a probability of 0.9994.
+BANDS, ROWS = 40, 8
+#: How many shingle hashes of one loose component a task takes at once.
+SET_HASHES = 2_000_000
 BUCKET = 20_000
 
 
@@ -99,23 +102,20 @@ def fingerprints(df: DataFrame, k: int, bits: int = 64, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp binary").withColumnRenamed("id", id_col)
 
 
-def plan(n: int, bits: int, radius: int, bucket: int = BUCKET, segments: int | None = None) -> list[tuple[int, int, int, int]]:
+def plan(n: int, bits: int, radius: int, bucket: int = BUCKET) -> list[tuple[int, int, int, int]]:
     """Tables for n fingerprints: (first bit, width, ball radius, how rows are dealt).
 
-    With `segments` there are that many, spread over the fingerprint, with balls of one bit.
-
     A segment is wide enough that a value is rarely shared by chance. The balls' radii sum to
     radius - segments + 1, which by the pigeonhole principle misses no link. Rows are dealt by the
     segment's low or high half (0, 1) where the ball has one bit and such buckets are small; by its
     value (2) where the ball has none; and else by every value of the ball (3).
     """
     want = min(32, max(8, math.ceil(math.log2(max(n, 2))) + 1))
-    m = min(max(1, bits // want), radius + 1) if segments is None else min(segments, bits // want)
-    spare = radius - m + 1 if segments is None else m
+    m = min(max(1, bits // want), radius + 1)
+    spare = radius - m + 1
     edges = [bits * i // m for i in range(m + 1)]
     tables = []
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        b = b if segments is None else min(b, a + want)
         ball = spare // m + (i < spare % m)
         halves = ball == 1 and n >> ((b - a) // 2) <= bucket
         tables += [(a, b - a, ball, how) for how in ((0, 1) if halves else (3,) if ball else (2,))]
@@ -207,13 +207,13 @@ def _spread(fp: np.ndarray, at: np.ndarray, rows: np.ndarray, radius: int, fores
             left = left[~near]
 
 
-def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET, segments: int | None = None) -> DataFrame:
+def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links whose components are those of all pairs of `fps.fp` within `radius` bits.
 
     `fps` has distinct fingerprints. A bucket of over `bucket` rows is cut into chunks, and each
     pair of chunks is searched apart.
     """
-    tables = plan(fps.count(), bits, radius, bucket, segments)
+    tables = plan(fps.count(), bits, radius, bucket)
     n_bytes = bits // 8
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,18 +263,21 @@ def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET, segments
     return dealt.select("t", "key", "chunk", "fp").repartition("t", "key", "chunk").mapInArrow(search, "u binary, v binary").distinct()
 
 
-def near_duplicates(df: DataFrame, k: int = 5, radius: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, segments: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, radius: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(id, fp, component_id): texts linked by fingerprints at most `radius` bits apart.
 
     component_id is the least id that links lead to. Texts without words have fingerprint zero
     and are linked like any other. Ids may repeat; null ids are left out of the least. Equal
     fingerprints are one node, so copies cost nothing more. Only `id_col` and `text_col` are read.
-    All links are found, but with `segments`, where wide radii make that too dear: then a link is
-    found if some segment differs in at most one bit.
+    All links are found.
     """
     prints = checkpoint(fingerprints(df, k, bits, id_col, text_col))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = components(links(nodes.select("fp"), bits, radius, bucket, segments))
+    return _by_component(prints, nodes, components(links(nodes.select("fp"), bits, radius, bucket)), id_col)
+
+
+def _by_component(prints: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """(id, fp, component_id) of all `prints`, given each fingerprint's first id and the root of those with links."""
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     joined = join_aggregate(linked, least, "root").select("fp", F.col("least").alias("component_id"))
@@ -282,17 +285,138 @@ def near_duplicates(df: DataFrame, k: int = 5, radius: int = 4, bits: int = 64,
     return prints.join(joined.unionByName(alone), "fp").select(id_col, "fp", "component_id")
 
 
-def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`near_duplicates` for a Jaccard similarity of k-word shingles: (id, fp, component_id).
+def bands(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts x BANDS keys, each of ROWS least values of the text's hashes under as many re-hashings.
 
-    A similarity of J is a cosine of 2J / (1 + J) between sets of like size, and fingerprint bits
-    differ with probability angle / pi. 512 bits tell 0.8 apart from 0.7 by twice the standard
-    deviation; the radius is what is expected at `similarity`, plus one standard deviation. Fourteen
-    segments miss about 4 % of links at 0.8 and next to none at 0.9.
+    Sets of similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS, however many there
+    are. A text without hashes has keys of zero.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(WIDE_BITS * share + math.sqrt(WIDE_BITS * share * (1 - share)))
-    return near_duplicates(df, k, radius, WIDE_BITS, id_col, text_col, segments=WIDE_SEGMENTS)
+    out = np.zeros((len(off) - 1, BANDS), T.U64)
+    full = np.diff(off) > 0
+    if not full.any():
+        return out
+    first, odd = off[:-1][full], T.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=T.U64) * T.U64(0x9E3779B97F4A7C15))
+    for band in range(BANDS):
+        key = np.full(len(first), band + 1, T.U64)
+        for row in range(band * ROWS, (band + 1) * ROWS):
+            least = np.minimum.reduceat(hashes * (odd[2 * row] | T.U64(1)) + odd[2 * row + 1], first)
+            key = T.mix((key ^ least) * T.U64(0x9E3779B97F4A7C15))
+        out[full, band] = key
+    return out
+
+
+def recall(similarity: float) -> float:
+    """The probability that sets of a Jaccard similarity share a key of `bands`."""
+    return 1 - (1 - similarity**ROWS) ** BANDS
+
+
+def _sets(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes in order, and offsets by text."""
+    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((hashes, text))
+    h, text = hashes[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(off) - 1))])
+
+
+def _digests(hashes: np.ndarray, off: np.ndarray) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(hashes[x:y].tobytes()) for x, y in itertools.pairwise(off.tolist())]
+
+
+def similar_links(hashes: np.ndarray, off: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links whose components are those of all pairs of sets with a Jaccard similarity of `similarity` or more.
+
+    Breadth-first: a set is compared with those that no search has reached. One that is similar
+    enough holds one of any |x| - ceil(similarity |x|) + 1 elements of x; the rarest are looked up.
+    """
+    n, sizes = len(off) - 1, np.diff(off)
+    _, codes, n_holders = np.unique(hashes, return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(n), sizes)
+    codes = codes[np.lexsort((codes, n_holders[codes], holder))]  # each set's rarest first
+    left, mark, found = np.ones(n, bool), np.zeros(len(n_holders), bool), []
+    n_left, n_indexed = n, 2 * n + 1
+    index = holders = np.zeros(0, np.int64)
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], n_left, frontier = False, n_left - 1, [start]
+        while frontier and n_left:
+            x = frontier.pop()
+            if n_left * 2 < n_indexed:
+                rows = np.flatnonzero(left[holder])
+                rows = rows[np.argsort(codes[rows], kind="stable")]
+                index, holders, n_indexed = codes[rows], holder[rows], n_left
+            own = codes[off[x] : off[x + 1]]
+            probe = own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+            lo, hi = np.searchsorted(index, probe), np.searchsorted(index, probe, side="right")
+            y = np.unique(holders[T.expand(lo, hi - lo)])
+            y = y[left[y] & (np.minimum(sizes[y], len(own)) >= similarity * np.maximum(sizes[y], len(own)) - 1e-9)]
+            if not len(y):
+                continue
+            mark[own] = True
+            shared = np.add.reduceat(mark[codes[T.expand(off[y], sizes[y])]], np.cumsum(sizes[y]) - sizes[y], dtype=np.int64)
+            mark[own] = False
+            y = y[shared / (sizes[y] + len(own) - shared) >= similarity]
+            left[y], n_left = False, n_left - len(y)
+            found += [(start, z) for z in y.tolist()]
+            frontier += y.tolist()
+    return found
+
+
+def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", limit: int = SET_HASHES) -> DataFrame:
+    """(id, fp, component_id) like `near_duplicates`, linked by a Jaccard similarity of sets of k-word shingles.
+
+    Texts that share a key of `bands` are joined loosely; each loose component's sets meet in one
+    task, which measures them exactly (on 64-bit shingle hashes). Components of over `limit` hashes
+    are cut into chunks, and each pair of chunks meets apart. `fp` is a digest of the set; equal sets
+    are one node. Texts without words have the empty set and are one group. A link at `similarity` is missed with
+    1 - recall(similarity), which doesn't depend on the table's size.
+    """
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                hashes, off = _sets(*shingle_hashes(part.column("text"), k))
+                fp = _digests(hashes, off)
+                keys = pa.ListArray.from_arrays(np.arange(0, len(fp) * BANDS + 1, BANDS, dtype=np.int32), bands(hashes, off).ravel().view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(fp, pa.binary()), pa.array(np.diff(off)), keys], ["id", "row", "fp", "n", "keys"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                here = pa.Table.from_batches([batch])
+                held = here if held is None else pa.concat_tables([held, here])
+            if held is None:
+                return
+            parts = held.column("part").to_numpy()
+            cut = held.num_rows if batch is None else int(np.searchsorted(parts, parts[-1]))
+            if cut == 0 or (batch is not None and int(held.column("n").to_numpy()[:cut].sum()) < limit):
+                continue
+            now, held = held.slice(0, cut), held.slice(cut)
+            hashes, off = _sets(*shingle_hashes(now.column("text"), k))
+            fp, pairs = _digests(hashes, off), similar_links(hashes, off, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([fp[a] for a, _ in pairs], pa.binary()), pa.array([fp[b] for _, b in pairs], pa.binary())], ["u", "v"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    signed = checkpoint(docs.mapInArrow(sign, f"id {kind}, row long, fp binary, n long, keys array<long>"))
+    nodes = signed.groupBy("fp").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = checkpoint(nodes.withColumn("node", F.xxhash64("fp")))
+    placed = nodes.where("n > 0").select("node", F.explode("keys").alias("key"))
+    shared = placed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    loose = components(join_aggregate(placed, shared.drop("most"), "key").select(F.col("least").alias("u"), F.col("node").alias("v")).where("u <> v").distinct())
+    # what a loose component holds, and the pairs of its chunks
+    candidates = nodes.select("node", "row", "fp", "n").join(loose, "node")
+    weights = candidates.groupBy("root").agg(F.ceil(F.sum("n") / limit).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c.cast("long"), F.col("own")) * F.col("chunks") + F.greatest(c.cast("long"), F.col("own")))
+    candidates = join_aggregate(candidates, weights, "root").withColumn("own", own).select("row", "n", F.transform(pair, lambda c: F.xxhash64("root", c)).alias("parts"))
+    dealt = docs.join(candidates, "row").select("n", "text", F.explode("parts").alias("part"))
+    found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(search, "u binary, v binary").distinct()
+    return _by_component(signed.select(F.col("id").alias(id_col), "fp"), nodes.select("fp", "first"), components(found), id_col)
 
 
 def keep_first(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
