@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tessera.llm import simhash
 
@@ -45,3 +46,19 @@ def test_pairs_just_above_the_threshold_are_found(spark):
     pairs = [_pair(rng, 229, rng.choice([4, 5])) for _ in range(150)]
     assert all(0.8 <= _jaccard(*p) < 0.85 for p in pairs)
     assert all(_together(spark, pairs))
+
+
+@pytest.mark.parametrize("limit", [simhash.SET_HASHES, 300])
+def test_similarity_is_measured_exactly(spark, limit):
+    rng = random.Random(9)
+    pairs = [_pair(rng, 229, changed) for changed in (2, 3, 4, 5, 6, 7, 8) for _ in range(25)]
+    similar = [_jaccard(*p) >= 0.8 for p in pairs]
+    assert 0.68 < min(map(lambda p: _jaccard(*p), pairs)) and 0 < sum(similar) < len(similar)
+    assert _together(spark, pairs, limit=limit) == similar
+
+
+def test_repeated_shingles_count_once():
+    hashes = np.array([1, 2, 3, 4, 5, 1, 1, 1, 1, 2, 3, 4], np.uint64)
+    sets = simhash._sets(hashes, np.array([0, 5, 12, 12]))
+    assert sets[0].tolist() == [1, 2, 3, 4, 5, 1, 2, 3, 4] and sets[1].tolist() == [0, 5, 9, 9]
+    assert simhash.similar_links(*sets, 0.8) == [(0, 1)] and simhash.similar_links(*sets, 0.81) == []
