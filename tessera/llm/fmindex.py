@@ -213,18 +213,21 @@ def _resolve(window: int):
     return resolve
 
 
-def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES, others: bool = False) -> DataFrame:
+def _spans(docs: DataFrame, n_blocks: int, window: int, gram: int, hot: int) -> DataFrame:
+    return P.removed_spans(docs, n_blocks, P.as_words, min(gram, window), window, _ship(window), _resolve(window), False, hot)
+
+
+def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Removes each word that a sequence of `window` words covers which also starts anywhere else,
     in the same text or another. Sequences are judged on the input and never cross texts.
 
     Returns (id, n_words, n_removed, kept) with kept the remaining words joined by one space, or
     with `digests` kept_sha256 in its place. One row for each row of `df`; rows of equal text and id
     are texts of their own. A null text has no words; a null id stays null. Other columns are left
-    out, or with `others` kept, the text as it was among them.
+    out.
     """
     n_blocks = B.block_count(df, text_col, block_bytes)
     docs = B.deal(P.long_ids(df.select(id_col, text_col), id_col), id_col, text_col, n_blocks)
-    spans = P.removed_spans(docs, n_blocks, P.as_words, min(gram, window), window, _ship(window), _resolve(window), False, hot)
 
     def apply(table: pa.Table, replies: list[bytes]) -> pa.Table:
         units = P.as_words(table)
@@ -240,17 +243,54 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         raw, cut = joined.tobytes(), np.append(at, len(joined))[np.cumsum(np.append(0, n_words - removed))].tolist()
         texts = [raw[x : max(x, y - 1)] for x, y in zip(cut, cut[1:])]
         last = pa.array([hashlib.sha256(x).hexdigest() for x in texts]) if digests else pa.array([x.decode() for x in texts])
-        beside = {c: table.column(c) for c in ("text", "others") if others}
-        return pa.table({"id": table.column("id"), **beside, "n_words": pa.array(n_words), "n_removed": pa.array(removed), "kept": last})
-
-    schema = "id long, n_words long, n_removed long, kept string"
-    if others:
-        beside = [c for c in df.columns if c not in (id_col, text_col)]
-        docs = B.deal(P.long_ids(df, id_col), id_col, text_col, n_blocks, F.struct(F.lit(None).cast("int").alias("_"), *beside).alias("others"))
-        fields = StructType.fromDDL(schema).fields
-        schema = StructType([fields[0], StructField("text", StringType()), StructField("others", docs.schema["others"].dataType), *fields[1:]])
-    out = B.with_answers(docs, spans, apply, schema)
-    if others:
-        out = out.select("id", F.col("text").alias(text_col), *(F.col("others")[c].alias(c) for c in beside), "n_words", "n_removed", "kept")
+        return pa.table({"id": table.column("id"), "n_words": pa.array(n_words), "n_removed": pa.array(removed), "kept": last})
+
+    out = B.with_answers(docs, _spans(docs, n_blocks, window, gram, hot), apply, "id long, n_words long, n_removed long, kept string")
     out = out.withColumnsRenamed({"id": id_col, **({"kept": "kept_sha256"} if digests else {})})
     return out.withColumn(id_col, F.when(F.col(id_col) > -(1 << 63), F.col(id_col)))
+
+
+def cut_bytes(units: P.Units, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes [from, to) of each removed run of words: of the white space on its two sides, the
+    one with more line breaks stays (the one before, if both have as many)."""
+    first, last = units.off[doc], units.off[doc + 1]
+    a, b = first + lo, first + hi
+    lines = np.concatenate([[0], np.cumsum(units.data == 0x0A)])
+    start, end = units.starts[a], units.ends[b - 1]
+    before = np.where(a > first, units.ends[np.maximum(a - 1, 0)], off[doc])
+    after = np.where(b < last, units.starts[np.minimum(b, len(units.starts) - 1)], off[doc + 1])
+    keep_after = (a > first) & ((b == last) | (lines[after] - lines[end] > lines[start] - lines[before]))
+    whole = (a == first) & (b == last)
+    return np.where(whole, off[doc], np.where(keep_after, before, start)), np.where(whole, off[doc + 1], np.where(keep_after, end, after))
+
+
+def cut_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES, drop_emptied: bool = False) -> DataFrame:
+    """The rows and columns of `df`, with the words that `remove_repeats` removes cut out of the
+    texts. What is left keeps its bytes, line breaks and indentation included. A text of which
+    nothing is left becomes an empty one, or goes with `drop_emptied`; others, null and empty ones too,
+    stay as they are. Rows of repeated ids stay apart; a null id is the least.
+    """
+    n_blocks = B.block_count(df, text_col, block_bytes)
+    long = P.long_ids(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), B.folded(df).alias("row")), "id")
+    docs = B.deal(long.select("id", "text"), "id", "text", n_blocks)
+    whole = B.deal(long, "id", "text", n_blocks, F.col("row"), F.col("text").isNull().alias("null"))
+
+    def apply(table: pa.Table, replies: list[bytes]) -> pa.Table:
+        units = P.as_words(table)
+        _, off = T.text_bytes(table.column("text"))
+        doc, lo, hi = P.spans_of(replies)
+        kept = np.ones(len(units.data), bool)
+        if len(doc):
+            a, b = cut_bytes(units, doc, lo, hi, off)
+            kept[T.expand(a, b - a)] = False
+        raw, cut = units.data[kept].tobytes(), np.concatenate([[0], np.cumsum(kept)])[off].tolist()
+        null = table.column("null").to_pylist()
+        removed = np.bincount(doc, weights=hi - lo, minlength=len(off) - 1)
+        gone = drop_emptied & (removed > 0) & (removed == np.diff(units.off))
+        left = pa.table({"row": table.column("row"), "text": pa.array([None if x else raw[i:j].decode() for x, i, j in zip(null, cut, cut[1:])], pa.string())})
+        return left.filter(pa.array(~gone)) if gone.any() else left
+
+    schema = StructType([StructField("row", whole.schema["row"].dataType), StructField("text", StringType())])
+    out = B.with_answers(whole, _spans(docs, n_blocks, window, gram, hot), apply, schema)
+    return B.unfolded(out, df.columns, "row", **{text_col: F.col("text")})
+

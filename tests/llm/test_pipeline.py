@@ -6,10 +6,11 @@ import random
 import re
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import decontaminate, simhash
+from tessera.llm import decontaminate, fmindex, simhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -87,5 +88,57 @@ def test_wide_fingerprints_measure_similarity(spark):
     assert [groups[2 * i + 1] == 2 * i for i in range(4)] == [s >= 0.8 for s in similar]
 
 
+def test_passages_are_cut_out_of_the_layout(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 50).replace(" ", "\n", 3)
+    rows = [
+        (0, f"A\n\nB\n{passage}\nC\n\n  D"),
+        (1, f"H {passage}\n\nI"),
+        (2, f"J\n\n{passage} K"),
+        (3, f"  {passage}\n"),
+        (4, f" \n{passage}\n  E\tF "),
+        (5, f"G\n\n  {passage}\n"),
+        (6, None),
+        (7, " \n"),
+        (8, "é  à\n"),
+    ]
+    got = fmindex.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 35).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {0: "A\n\nB\nC\n\n  D", 1: "H\n\nI", 2: "J\n\nK", 3: "", 4: " \nE\tF ", 5: "G\n", 6: None, 7: " \n", 8: "é  à\n"}
+    assert fmindex.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 35, drop_emptied=True).count() == 8
+
+
+CLASHES = "score lang_mix lang_pred kept n_removed n_words _ id __x row block part first node fp component_id item_id covered `a.b`".split()
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rng = random.Random(6)
+    passage = prose(rng, 60)
+    texts = [prose(rng, 90), f"{prose(rng, 40)} {passage}", f"{passage} {prose(rng, 50)}", None, "", "12 34"]
+    texts += texts[:1]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(c.strip("`")) for n, c in enumerate(CLASHES)))
+    spark.createDataFrame([(0, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c.strip("`")] == f"{n}:{r['doc_id']}" for r in rows for n, c in enumerate(CLASHES)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(texts)
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    """Repeated rows are copies of one another; rows without an id stay apart from those with one."""
+    rng = random.Random(7)
+    a, b = prose(rng, 90), prose(rng, 80)
+    rows = [(1, a), (1, a), (None, b), (None, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {name: [(r[0], r[1]) for r in stage(spark, docs, str(tmp_path)).collect()] for name, stage in corpus_pipeline.STAGES}
+    assert sorted(out["language_id"], key=str) == [(1, a), (1, a), (None, b)]
+    assert out["near_dedup"].count((1, a)) == 1 and (None, b) in out["near_dedup"]
+    assert set(out["substring_dedup"]) == {(2, ""), (None, None), (None, b)}
+    assert len(out["decontamination"]) == len(out["bpe"]) == 5
+
+
 def test_stage_threshold_is_shared():
     assert decontaminate.COVERAGE == 0.5 and corpus_pipeline.SIMILARITY == 0.8
