@@ -213,11 +213,11 @@ def _resolve(window: int):
     return resolve
 
 
-def _spans(docs: DataFrame, n_blocks: int, window: int, gram: int, hot: int) -> DataFrame:
-    return P.removed_spans(docs, n_blocks, P.as_words, min(gram, window), window, _ship(window), _resolve(window), False, hot)
+def _spans(docs: DataFrame, n_blocks: int, window: int, gram: int, hot: int, fan: int) -> DataFrame:
+    return P.removed_spans(docs, n_blocks, P.as_words, min(gram, window), window, _ship(window), _resolve(window), False, hot, fan)
 
 
-def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES, fan: int = B.FAN) -> DataFrame:
     """Removes each word that a sequence of `window` words covers which also starts anywhere else,
     in the same text or another. Sequences are judged on the input and never cross texts.
 
@@ -245,7 +245,7 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         last = pa.array([hashlib.sha256(x).hexdigest() for x in texts]) if digests else pa.array([x.decode() for x in texts])
         return pa.table({"id": table.column("id"), "n_words": pa.array(n_words), "n_removed": pa.array(removed), "kept": last})
 
-    out = B.with_answers(docs, _spans(docs, n_blocks, window, gram, hot), apply, "id long, n_words long, n_removed long, kept string")
+    out = B.with_answers(docs, _spans(docs, n_blocks, window, gram, hot, fan), apply, "id long, n_words long, n_removed long, kept string")
     out = out.withColumnsRenamed({"id": id_col, **({"kept": "kept_sha256"} if digests else {})})
     return out.withColumn(id_col, F.when(F.col(id_col) > -(1 << 63), F.col(id_col)))
 
@@ -264,7 +264,7 @@ def cut_bytes(units: P.Units, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, o
     return np.where(whole, off[doc], np.where(keep_after, before, start)), np.where(whole, off[doc + 1], np.where(keep_after, end, after))
 
 
-def cut_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES, drop_emptied: bool = False) -> DataFrame:
+def cut_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES, fan: int = B.FAN, drop_emptied: bool = False) -> DataFrame:
     """The rows and columns of `df`, with the words that `remove_repeats` removes cut out of the
     texts. What is left keeps its bytes, line breaks and indentation included. A text of which
     nothing is left becomes an empty one, or goes with `drop_emptied`; others, null and empty ones too,
@@ -291,6 +291,6 @@ def cut_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_co
         return left.filter(pa.array(~gone)) if gone.any() else left
 
     schema = StructType([StructField("row", whole.schema["row"].dataType), StructField("text", StringType())])
-    out = B.with_answers(whole, _spans(docs, n_blocks, window, gram, hot), apply, schema)
+    out = B.with_answers(whole, _spans(docs, n_blocks, window, gram, hot, fan), apply, schema)
     return B.unfolded(out, df.columns, "row", **{text_col: F.col("text")})
 

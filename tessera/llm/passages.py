@@ -76,22 +76,7 @@ def find_anchors(units: Units, k: int, window: int) -> Anchors:
     return Anchors(gram, at, lo, hi, np.searchsorted(units.off, at, side="right") - 1)
 
 
-def _reply_repeats(hot: int):
-    """For each key that a block asked for: 0 once in the corpus, 1 more often, 2 over `hot` times."""
-
-    def reply(asked: list[list[bytes]]) -> list[bytes]:
-        keys = [B.unpack_keys(a[0]) for a in asked]
-        counts = [B.unpack(a[1]) for a in asked]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct))
-        level = ((total > 1).astype(np.uint8) + (total > hot))[inverse]
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return [B.pack(x.astype(np.uint8)) for x in np.split(level, cuts)]
-
-    return reply
-
-
-def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Units], k: int, window: int, ship: Callable, resolve: Callable, ordered: bool, hot: int = HOT) -> DataFrame:
+def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Units], k: int, window: int, ship: Callable, resolve: Callable, ordered: bool, hot: int = HOT, fan: int = B.FAN) -> DataFrame:
     """(block, data): for each block, spans of units to remove, as packed document, from, to.
 
     `ship(units, anchors, ids)` packs a block's passages for one range, `resolve(blobs)` finds the
@@ -100,28 +85,28 @@ def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Uni
     """
     n_parts = n_blocks
 
-    def keys_of(table: pa.Table):
+    def keys_of(table: pa.Table) -> list[B.Keys]:
         keys, counts = B.counted(find_anchors(read(table), k, window).gram)
-        return keys, np.minimum(counts, 1 << 30).astype(np.uint32)
+        return [B.Keys(keys, [np.minimum(counts, 1 << 30).astype(np.uint32)])]
 
-    levels = B.answer(B.ask(docs, keys_of, n_parts), _reply_repeats(hot))
+    # of each k-gram: 0 once in the corpus, 1 more often, 2 over `hot` times
+    level_of = lambda _, sums: [(sums[0] > 1).astype(np.int64) + (sums[0] > hot)]
+    levels = B.look_up(docs, n_blocks, keys_of, [1], [64], level_of, lambda _: [], fan=fan).select("block", "part", "data")
 
     def passages(table: pa.Table, replies: list[bytes]) -> pa.Table:
         block = table.column("block")[0].as_py()
         units = read(table)
         found = find_anchors(units, k, window)
         keys, inverse = np.unique(found.gram, return_inverse=True)
-        level = np.concatenate([np.zeros(0, np.uint8), *map(B.unpack, replies)])[inverse]
+        level = np.concatenate([np.zeros(0, np.uint8), *(B.unpack(B.split_parts(x)[0]) for x in replies)])[inverse]
         ids = table.column("id").to_numpy()
         rank = _ranks(ids)
         out = []
         few = found.take(np.flatnonzero(level == 1))
-        part = _part(few.gram, n_parts)
+        part = B.part_of(few.gram, n_parts)
         order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(n_parts + 1))
-        for p in range(n_parts):
-            if bounds[p + 1] > bounds[p]:
-                out.append((p, b"p" + ship(units, few.take(order[bounds[p] : bounds[p + 1]]), ids, rank)))
+        for p, i, j in B.runs(part[order]):
+            out.append((p, b"p" + ship(units, few.take(order[i:j]), ids, rank)))
         many = found.take(np.flatnonzero(level == 2))
         if len(many.at):
             out += _ship_windows(units, many, ids, rank, window, n_parts, ordered, block)
@@ -146,11 +131,6 @@ def removed_spans(docs: DataFrame, n_blocks: int, read: Callable[[pa.Table], Uni
     return shipped.groupBy("part").applyInArrow(settle, B.ASK)
 
 
-def _part(keys: np.ndarray, n_parts: int) -> np.ndarray:
-    edges = np.array([min((p << 64) // n_parts, (1 << 64) - 1) for p in range(1, n_parts)], T.U64)
-    return np.searchsorted(edges, keys, side="right")
-
-
 def _ranks(ids: np.ndarray) -> np.ndarray:
     """Numbers rows of equal id, which are neighbours, from 0."""
     n = len(ids)
@@ -190,11 +170,9 @@ def _ship_windows(units: Units, a: Anchors, ids, rank, window: int, n_parts: int
         d, s = doc[decided], start[decided] - units.off[doc[decided]]
         out.append((block % n_parts, b"s" + B.join_parts(*map(B.pack, _merge(d, s, s + window)))))
     first, second, start, doc = first[lead], second[lead], start[lead], doc[lead]
-    bounds = B.part_bounds(first, n_parts)
-    for p, (i, j) in enumerate(zip(bounds, bounds[1:])):
-        if j > i:
-            d, s = doc[i:j], start[i:j]
-            out.append((p, b"w" + B.join_parts(B.pack_keys(first[i:j]), B.pack(second[i:j]), B.pack(counts[i:j].astype(np.int32)), B.pack(d.astype(np.int32)), B.pack((s - units.off[d]).astype(np.int64)), B.pack(ids[d].astype(np.int64)), B.pack(place(units, s, d, rank)))))
+    for p, i, j in B.runs(B.part_of(first, n_parts)):
+        d, s = doc[i:j], start[i:j]
+        out.append((p, b"w" + B.join_parts(B.pack_keys(first[i:j]), B.pack(second[i:j]), B.pack(counts[i:j].astype(np.int32)), B.pack(d.astype(np.int32)), B.pack((s - units.off[d]).astype(np.int64)), B.pack(ids[d].astype(np.int64)), B.pack(place(units, s, d, rank)))))
     return out
 
 

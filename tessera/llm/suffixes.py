@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by a distributed merge sort of suffixes.
+"""Removal of repeated byte strings by a distributed merge sort of suffixes.
 
 Suffixes start at anchors (see `passages`), the only places where a repeated window can show
 itself, and reach as far as the anchor's windows do, with what stands left of the anchor behind.
@@ -136,7 +136,7 @@ def _ship(window: int):
         raw = units.data
         keys = []
         for g, at, lo, hi in zip(a.gram.byteswap(), a.at.tolist(), a.lo.tolist(), (a.hi + window).tolist()):
-            keys.append(g.tobytes() + raw[at:hi].tobytes() + raw[lo:at].tobytes() + bytes([at - lo]))
+            keys.append(g.tobytes() + raw[at:hi].tobytes() + raw[lo:at].tobytes() + (at - lo).to_bytes(4, "big"))
         order = sorted(range(len(keys)), key=keys.__getitem__)  # stable: places stay in order
         keys = [keys[i] for i in order]
         new = np.array([True, *(x != y for x, y in zip(keys, keys[1:]))])
@@ -148,8 +148,8 @@ def _ship(window: int):
         where = P.place(units, at, doc, rank)
         counts = np.diff(np.append(first, len(keys)))
         return B.join_parts(
-            B.pack(np.array([len(k) for k in distinct], np.uint16)),
-            B.pack(shared.astype(np.uint16)),
+            B.pack(np.array([len(k) for k in distinct], np.uint32)),
+            B.pack(shared.astype(np.uint32)),
             len(rest).to_bytes(8, "little") + pa.compress(rest, "zstd", asbytes=True),
             B.pack(counts.astype(np.int32)),
             B.pack(ids[doc[first]].astype(np.int64)),
@@ -161,6 +161,11 @@ def _ship(window: int):
     return ship
 
 
+def _lefts(keys: list[bytes]) -> np.ndarray:
+    """How many bytes of each passage stand left of its anchor: the last four bytes of its key."""
+    return np.frombuffer(b"".join([x[-4:] for x in keys]), ">u4").astype(np.int64)
+
+
 def _resolve(window: int, k: int):
     def resolve(blobs: list[bytes]) -> list[tuple]:
         runs, entries = [], []
@@ -186,8 +191,8 @@ def _resolve(window: int, k: int):
         some = lead[n_family[family[lead]] > 1]
         left, right = _repeats_within([keys[i] for i in entry[some].tolist()], family[some], ids[entry[some]], where[entry[some]], window)
         # spans of every occurrence, relative to the anchor: all of the passage but for the earliest
-        o = np.array([x[-1] for x in keys], np.int64)
-        reach = np.array([len(x) for x in keys], np.int64) - 9 - o
+        o = _lefts(keys)
+        reach = np.array([len(x) for x in keys], np.int64) - 12 - o
         first = np.cumsum(counts) - counts
         owner = np.repeat(np.arange(len(counts)), counts)
         lo, hi = -o[owner], reach[owner]
@@ -224,9 +229,9 @@ def _repeats_within(keys: list[bytes], family, ids, where, window: int) -> tuple
 def _family_repeats(keys, family, ids, where, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(keys)
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    o = np.array([x[-1] for x in keys], np.int64)
-    raw = np.frombuffer(b"".join([x[-1 - x[-1] : -1] + x[8 : -1 - x[-1]] for x in keys]), np.uint8)
-    size = np.array([len(x) for x in keys], np.int64) - 9
+    o = _lefts(keys)
+    raw = np.frombuffer(b"".join([x[-4 - n : -4] + x[8 : -4 - n] for x, n in zip(keys, o.tolist())]), np.uint8)
+    size = np.array([len(x) for x in keys], np.int64) - 12
     begin = np.cumsum(size) - size
     n_windows = size - window + 1
     owner = np.repeat(np.arange(n), n_windows)
@@ -251,7 +256,7 @@ def _family_repeats(keys, family, ids, where, window: int) -> tuple[np.ndarray,
     return left, right
 
 
-def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, gram: int = GRAM, hot: int = P.HOT, block_bytes: int = B.BLOCK_BYTES, fan: int = B.FAN) -> DataFrame:
     """Removes each byte that a `window`-byte string covers which also starts earlier: in a text of
     a smaller id, or further left in the same text. Strings are judged on the input; they never
     cross texts; overlapping occurrences count.
@@ -264,7 +269,7 @@ def remove_repeats(df: DataFrame, window: int = 100, id_col: str = "doc_id", tex
     n_blocks = B.block_count(df, text_col, block_bytes)
     docs = B.deal(P.long_ids(df.select(id_col, text_col), id_col), id_col, text_col, n_blocks)
     gram = min(gram, window)
-    spans = P.removed_spans(docs, n_blocks, P.as_bytes, gram, window, _ship(window), _resolve(window, gram), True, hot)
+    spans = P.removed_spans(docs, n_blocks, P.as_bytes, gram, window, _ship(window), _resolve(window, gram), True, hot, fan)
 
     def apply(table: pa.Table, replies: list[bytes]) -> pa.Table:
         data, off = T.text_bytes(table.column("text"))

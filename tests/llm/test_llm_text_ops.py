@@ -137,9 +137,9 @@ def test_sharding(spark, docs, rows):
 # 2 and 5
 
 
-@pytest.mark.parametrize(("hot", "block_bytes", "window"), [(10**6, 4 << 20, 100), (2, 3000, 100), (3, 20_000, 40), (10**6, 3000, 20)])
-def test_byte_dedup(docs, rows, hot, block_bytes, window):
-    got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs, window, hot=hot, block_bytes=block_bytes).collect()}
+@pytest.mark.parametrize(("hot", "block_bytes", "window", "fan"), [(10**6, 4 << 20, 100, 8), (2, 3000, 100, 8), (3, 20_000, 40, 8192), (10**6, 3000, 20, 8192), (10**6, 20_000, 400, 1)])
+def test_byte_dedup(docs, rows, hot, block_bytes, window, fan):
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs, window, hot=hot, block_bytes=block_bytes, fan=fan).collect()}
     seen = set()
     for i, t, *_ in rows:
         b = (t or "").encode()
@@ -154,9 +154,9 @@ def test_byte_dedup(docs, rows, hot, block_bytes, window):
     assert len(got) == len(rows)
 
 
-@pytest.mark.parametrize(("hot", "block_bytes", "window"), [(10**6, 4 << 20, 35), (2, 3000, 35), (3, 20_000, 10), (10**6, 3000, 5)])
-def test_word_dedup(docs, rows, hot, block_bytes, window):
-    got = {r["doc_id"]: r for r in fmindex.remove_repeats(docs, window, hot=hot, block_bytes=block_bytes).collect()}
+@pytest.mark.parametrize(("hot", "block_bytes", "window", "fan"), [(10**6, 4 << 20, 35, 8), (2, 3000, 35, 8), (3, 20_000, 10, 8192), (10**6, 3000, 5, 1)])
+def test_word_dedup(docs, rows, hot, block_bytes, window, fan):
+    got = {r["doc_id"]: r for r in fmindex.remove_repeats(docs, window, hot=hot, block_bytes=block_bytes, fan=fan).collect()}
     count = collections.Counter(tuple(w[s : s + window]) for w in (words(t) for _, t, *_ in rows) for s in range(len(w) - window + 1))
     for i, t, *_ in rows:
         w = words(t)
@@ -229,10 +229,79 @@ def test_language_model(docs, rows):
     assert all(math.isfinite(r["score"]) for r in lm.score(docs, F.lit(False)).collect())
 
 
-def test_mixture_is_a_distribution():
-    cells = np.array([[3, 1, 50, 20.0, 1.0], [3, 0, 10, 0, 0], [0, 1, 30, 0, 2.0]])
-    w = lm.mixture_weights(cells, 100)
-    assert np.allclose(w.sum(1), 1) and (w > 0).all() and w[3, 0] > w[0, 0]
+def ngram_counts(tokens):
+    """Counts of n-grams and their contexts, by plain dictionaries."""
+    one, two, three, after1, after2 = (collections.Counter() for _ in range(5))
+    for ws in tokens:
+        seq = ["<s>", *ws]
+        for i in range(1, len(seq)):
+            one[seq[i]] += 1
+            two[seq[i - 1], seq[i]] += 1
+            after1[seq[i - 1]] += 1
+            if i > 1:
+                three[tuple(seq[i - 2 : i + 1])] += 1
+                after2[tuple(seq[i - 2 : i])] += 1
+    return one, two, three, after1, after2
+
+
+def mixed(counts, weights, a, b, w):
+    """The probability of token w after a and b (None: no token)."""
+    one, two, three, after1, after2 = counts
+    n, v = sum(one.values()), len(one)
+    n2, n1 = after2[a, b] if a is not None else 0, after1[b]
+    bucket = lambda c: min(math.ceil(math.log2(c + 1)), lm.BUCKETS) - 1
+    x = weights[bucket(n2) if n2 else lm.BUCKETS + bucket(n1) if n1 else lm.SETS - 1]
+    if not one[w]:
+        return x[4]
+    return x[0] * (three[a, b, w] / n2 if n2 else 0) + x[1] * (two[b, w] / n1 if n1 else 0) + x[2] * one[w] / n + x[3] / v
+
+
+@pytest.mark.parametrize("fan", [8192, 4])
+def test_scores_are_those_of_the_mixture(docs, rows, fan):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    rng = np.random.default_rng(4)
+    weights = rng.random((lm.SETS, 5)) * lm.ALLOWED
+    weights /= weights.sum(1, keepdims=True)
+    tokens = {i: [lower(w) for w in words(t)] + ["</s>"] for i, t, *_ in rows}
+    counts = ngram_counts([ws for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    for r in lm.score(docs, ~held, fan=fan, weights=weights).collect():
+        seq = [None, "<s>", *tokens[r["doc_id"]]]
+        want = sum(math.log10(mixed(counts, weights, *seq[k : k + 3])) for k in range(len(seq) - 2))
+        assert r["score"] == pytest.approx(want, abs=1e-6), r
+
+
+def test_probabilities_sum_to_one(rows):
+    counts = ngram_counts([[lower(w) for w in words(t)] + ["</s>"] for _, t, *_ in rows])
+    cells = np.array([[3, 1, 50, 15.0, 20.0, 1.0], [3, 0, 10, 0, 0, 0], [50, 1, 30, 0, 2.0, 1.0], [lm.SETS - 1, 1, 5, 0, 0, 0.5]])
+    weights = lm.mixture_weights(cells, 100)
+    assert np.allclose(weights.sum(1), 1) and (weights[lm.ALLOWED > 0] > 0).all() and not weights[lm.ALLOWED == 0].any()
+    one = counts[0]
+    pairs = list(counts[4])
+    for a, b in [(None, "<s>"), pairs[0], pairs[-1], max(counts[4], key=counts[4].get), ("never", pairs[5][1]), ("never", "seen")]:
+        total = sum(mixed(counts, weights, a, b, w) for w in one) + mixed(counts, weights, a, b, "unknown")
+        assert total == pytest.approx(1), (a, b)
+
+
+def test_weights_are_those_of_em_over_single_tokens():
+    """Cells of single tokens against plain expectation-maximisation."""
+    rng = np.random.default_rng(5)
+    p = rng.random((400, 3)) * [1, 0.3, 0.05]
+    known = rng.random(400) < 0.9
+    cells = np.column_stack([np.full(400, 2), known, np.ones(400), p * known[:, None]])
+    got = lm.mixture_weights(cells, 50, rounds=20)[2]
+    e = [[*x, 1 / 50, 0.0] if k else [0, 0, 0, 0, 1.0] for x, k in zip(p.tolist(), known.tolist())]
+
+    def em(start):
+        w = start
+        for _ in range(20):
+            total = list(start)
+            for x in e:
+                s = sum(a * b for a, b in zip(w, x))
+                total = [t + a * b / s for t, a, b in zip(total, w, x)]
+            w = [t / sum(total) for t in total]
+        return w
+
+    assert np.allclose(got, em(em([0.3, 0.3, 0.2, 0.1, 0.1])))
 
 
 # 4
