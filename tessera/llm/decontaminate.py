@@ -5,14 +5,14 @@ Documents and benchmark items are word sequences. A document that shares a seed
 yet are marked, found by running Karp-Rabin hashes of falling length, down to `seed` words. An
 item is leaked if tiles cover enough of it, in whatever order its parts stand.
 
-The item table is given to tasks in slices of bounded size; each slice is one pass over the
-documents. Seeds of items, never of documents, are what is sent around.
+Seeds of documents meet those of items in a join. A sieve of bits, of bounded size whatever the
+benchmark's, first leaves out seeds that no item has; it may let others through, never the reverse.
+Equal texts are tiled once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.graph import checkpoint
 
 SEED, COVERAGE = 5, 0.5
-SLICE_BYTES = 16 << 20
-FILTER_BITS = 22
+#: The sieve has 2^SIEVE bits at most (16 MB), and 2^SPARE for each seed up to that.
+SIEVE, SPARE = 27, 14
 
 
 def word_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,32 +45,32 @@ def tile(doc: np.ndarray, item: np.ndarray, shortest: int) -> list[tuple[int, in
     """Greedy string tiling: tiles (start in doc, start in item, length), each word in one at most.
 
     Rounds go from the longest match of free words downwards. A round of length s hashes all
-    windows of s free words of both sides (running Karp-Rabin) and marks equal ones; the longest
-    s that has any is found by bisection.
+    windows of s free words of both sides (running Karp-Rabin) and marks equal ones, from left to
+    right in the document and each at its first free place in the item; the longest s that has any
+    is found by bisection. A place once taken is never looked at again, so repeated words cost no more
+    than others.
     """
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
-    tiles = []
+    tiles: list[tuple[int, int, int]] = []
     length = min(len(doc), len(item))
     while length >= shortest:
-        longest = _longest(doc, item, free_d, free_i, shortest, length)
-        if not longest:
+        length = _longest(doc, item, free_d, free_i, shortest, length)
+        if not length or not _mark(doc, item, free_d, free_i, length, tiles):
             break
-        for a, b in _matches(doc, item, free_d, free_i, longest):
-            if free_d[a : a + longest].all() and free_i[b : b + longest].all():
-                free_d[a : a + longest] = False
-                free_i[b : b + longest] = False
-                tiles.append((a, b, longest))
-        length = longest
     return tiles
 
 
 def _longest(doc, item, free_d, free_i, low: int, high: int) -> int:
     """The length of the longest match of free words in [low, high], or 0."""
-    if not _matches(doc, item, free_d, free_i, low):
+
+    def any_of(s: int) -> bool:
+        return np.isin(_windows(item, free_i, s)[1], _windows(doc, free_d, s)[1]).any()
+
+    if not any_of(low):
         return 0
     while low < high:
         middle = (low + high + 1) // 2
-        if _matches(doc, item, free_d, free_i, middle):
+        if any_of(middle):
             low = middle
         else:
             high = middle - 1
@@ -82,72 +83,110 @@ def _windows(codes: np.ndarray, free: np.ndarray, s: int) -> tuple[np.ndarray, n
     return at, T.gram_hash(codes, s)[at] if len(at) else np.zeros(0, T.U64)
 
 
-def _matches(doc, item, free_d, free_i, s: int) -> list[tuple[int, int]]:
-    """Equal windows of s free words, verified word by word: the earliest free place in the document of each in the item."""
+def _mark(doc, item, free_d, free_i, s: int, tiles: list) -> bool:
+    """Marks the equal windows of s free words, verified word by word; whether there were any."""
     d_at, d_hash = _windows(doc, free_d, s)
     i_at, i_hash = _windows(item, free_i, s)
-    if not len(d_at) or not len(i_at):
-        return []
     hit = np.isin(d_hash, i_hash)
     places: dict[int, list[int]] = {}
-    for h, a in zip(i_hash.tolist(), i_at.tolist()):
-        places.setdefault(h, []).append(a)
-    return [(a, b) for a, h in zip(d_at[hit].tolist(), d_hash[hit].tolist()) for b in places[h] if (doc[a : a + s] == item[b : b + s]).all()]
+    for h, b in zip(i_hash[::-1].tolist(), i_at[::-1].tolist()):
+        places.setdefault(h, []).append(b)  # the first place last
+    end, n = 0, len(tiles)
+    for a, h in zip(d_at[hit].tolist(), d_hash[hit].tolist()):
+        if a < end:
+            continue
+        left = places[h]
+        while left and not free_i[left[-1] : left[-1] + s].all():
+            left.pop()
+        if left and (doc[a : a + s] == item[left[-1] : left[-1] + s]).all():
+            b, end = left.pop(), a + s
+            free_d[a:end] = free_i[b : b + s] = False
+            tiles.append((a, b, s))
+    return len(tiles) > n
+
+
+def _seeds_of(rows: DataFrame, k: int) -> DataFrame:
+    """(h, seeds): each text's distinct seeds, as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = T.text_bytes(batch.column("text"))
+            for i, j in T.doc_slices(off):
+                codes, first = word_codes(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                grams, text = _seeds(codes, first, k)
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(i, j - i), _lists(grams, text, j - i)], ["h", "seeds"])
+
+    return rows.select("h", "text").mapInArrow(run, "h struct<a:long,b:int>, seeds array<long>")
 
 
-def leaks(df: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32), values.view(np.int64))
+
+
+def sieve(seeds: DataFrame) -> np.ndarray:
+    """A table of bits, of 2^SIEVE at most: set where a seed of column `seed` has its first bits."""
+    bits = int(min(SIEVE, max(16, np.ceil(np.log2(seeds.count() + 1)) + SPARE)))
+    at = seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+    found = words.toArrow()  # 2^(SIEVE - 6) rows at most
+    out = np.zeros(1 << (bits - 6), T.U64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(T.U64)
+    return out
+
+
+def leaks(df: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, covered, n_tiles, longest) for each document and item that it leaks.
 
     covered is the share of the item's words that tiles hold, at least `coverage`. Items of fewer
     than `seed` words have no seed and never match; nor do null or empty texts. Equal rows give equal
-    rows. Every seed and document counts; nothing is sampled.
+    rows. Every seed and document counts; nothing is sampled. Only the columns named are read.
     """
+    hashed = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b")).alias("h")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    kinds = {"id": rows.schema["id"].dataType.simpleString(), "item": items.schema[item_col].dataType.simpleString()}
-    known = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = known.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    slices = max(1, -(-size // slice_bytes))
-    schema = f"id {kinds['id']}, item {kinds['item']}, covered double, n_tiles int, longest int"
-    found = []
-    for n in range(slices):  # each holds about slice_bytes of items, a bound for what is broadcast
-        part = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == n) if slices > 1 else known
-        found.append(rows.mapInArrow(_searcher(df, part, seed, coverage), schema))
-    return reduce(DataFrame.unionByName, found).withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def _searcher(df: DataFrame, items: DataFrame, seed: int, coverage: float):
-    table = items.toArrow()
-    codes, first = word_codes(*T.text_bytes(table.column("text")))
-    seeds, owner = _seeds(codes, first, seed)
-    order = np.argsort(seeds, kind="stable")
-    seeds, owner = seeds[order], owner[order]
-    shared = df.sparkSession.sparkContext.broadcast((table.column("item").combine_chunks(), codes, first, seeds, owner))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_ids, item_codes, item_first, seeds, owner = shared.value
-        sieve = np.zeros(1 << FILTER_BITS, bool)
-        sieve[(seeds >> T.U64(64 - FILTER_BITS)).astype(np.int64)] = True
+    known = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").select("item", "text", hashed)
+    item_texts = known.groupBy("h").agg(F.first("text").alias("item_text"))
+    item_seeds = checkpoint(_seeds_of(item_texts.select("h", F.col("item_text").alias("text")), seed).select(F.col("h").alias("item_h"), F.explode(F.array_distinct("seeds")).alias("seed")))
+    shared = df.sparkSession.sparkContext.broadcast(sieve(item_seeds))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        shift = T.U64(64 - int(len(table)).bit_length() + 1 - 6)
         for batch in batches:
             data, off = T.text_bytes(batch.column("text"))
-            out: list[tuple] = []
             for i, j in T.doc_slices(off):
                 codes, first = word_codes(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 grams, text = _seeds(codes, first, seed)
-                likely = np.flatnonzero(sieve[(grams >> T.U64(64 - FILTER_BITS)).astype(np.int64)])
-                lo, hi = (np.searchsorted(seeds, grams[likely], side=s) for s in ("left", "right"))
-                pair_text = np.repeat(text[likely], hi - lo)
-                pairs = np.unique(np.stack([pair_text, owner[T.expand(lo, hi - lo)]], axis=1), axis=0) if len(pair_text) else np.zeros((0, 2), np.int64)
-                for d, x in pairs.tolist():
-                    item = item_codes[item_first[x] : item_first[x + 1]]
-                    tiles = tile(codes[first[d] : first[d + 1]], item, seed)
-                    share = sum(t[2] for t in tiles) / len(item)
-                    if share >= coverage:
-                        out.append((i + d, x, share, len(tiles), max(t[2] for t in tiles)))
-            if out:
-                d, x, share, n, longest = zip(*out)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(d)), item_ids.take(pa.array(x)), pa.array(share), pa.array(n, pa.int32()), pa.array(longest, pa.int32())], ["id", "item", "covered", "n_tiles", "longest"])
-
-    return run
+                at = grams >> shift
+                hit = (table[(at >> T.U64(6)).astype(np.int64)] >> (at & T.U64(63))) & T.U64(1) > 0
+                if hit.any():
+                    own, place = np.unique(text[hit], return_inverse=True)
+                    part = batch.take(pa.array(own + i))
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), _lists(grams[hit], place, len(own))], ["id", "text", "seeds"])
+
+    hits = checkpoint(rows.mapInArrow(find, f"id {rows.schema['id'].dataType.simpleString()}, text string, seeds array<long>").select("id", "text", "seeds", hashed))
+    texts = hits.groupBy("h").agg(F.first("text").alias("text"), F.first("seeds").alias("seeds"))
+    pairs = texts.select("h", F.explode(F.array_distinct("seeds")).alias("seed")).join(item_seeds, "seed").select("h", "item_h").distinct()
+    cases = texts.select("h", "text").join(pairs, "h").join(item_texts.withColumnRenamed("h", "item_h"), "item_h")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, values = [], []
+            both = [word_codes(*T.text_bytes(batch.column(c))) for c in ("text", "item_text")]
+            for n in range(batch.num_rows):
+                doc, item = (codes[first[n] : first[n + 1]] for codes, first in both)
+                tiles = tile(doc, item, seed)
+                share = sum(t[2] for t in tiles) / max(len(item), 1)
+                if tiles and share >= coverage:
+                    keep.append(n)
+                    values.append((share, len(tiles), max(t[2] for t in tiles)))
+            if keep:
+                part = batch.take(pa.array(keep))
+                share, n, longest = zip(*values)
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("item_h"), pa.array(share), pa.array(n, pa.int32()), pa.array(longest, pa.int32())], ["h", "item_h", "covered", "n_tiles", "longest"])
+
+    found = cases.select("h", "item_h", "text", "item_text").mapInArrow(measure, "h struct<a:long,b:int>, item_h struct<a:long,b:int>, covered double, n_tiles int, longest int")
+    out = hits.select("id", "h").join(found, "h").join(known.select("item", F.col("h").alias("item_h")), "item_h")
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "covered", "n_tiles", "longest")
 
 
 def judge(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:

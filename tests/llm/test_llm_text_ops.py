@@ -423,16 +423,74 @@ def test_tiling_finds_reordered_parts():
     assert decontaminate.tile(doc, item[:4], 5) == []
 
 
-@pytest.mark.parametrize("slice_bytes", [16 << 20, 200])
-def test_decontamination(spark, slice_bytes):
+def plain_tiling(doc, item, shortest):
+    """Greedy string tiling by its definition."""
+    free_d, free_i, tiles = [True] * len(doc), [True] * len(item), []
+
+    def length(a, b):
+        n = 0
+        while a + n < len(doc) and b + n < len(item) and free_d[a + n] and free_i[b + n] and doc[a + n] == item[b + n]:
+            n += 1
+        return n
+
+    while True:
+        best = max((length(a, b) for a in range(len(doc)) for b in range(len(item))), default=0)
+        if best < shortest:
+            return tiles
+        for a in range(len(doc)):
+            for b in range(len(item)):
+                if length(a, b) >= best:
+                    tiles.append((a, b, best))
+                    free_d[a : a + best] = free_i[b : b + best] = [False] * best
+
+
+@given(st.lists(st.integers(1, 3), max_size=40), st.lists(st.integers(1, 3), max_size=25), st.integers(1, 5))
+@settings(max_examples=200, deadline=None)
+def test_tiling_is_greedy_string_tiling(doc, item, shortest):
+    assert decontaminate.tile(np.array(doc, np.uint64), np.array(item, np.uint64), shortest) == plain_tiling(doc, item, shortest)
+
+
+def test_tiling_of_repeated_words_is_fast():
+    tiles = decontaminate.tile(np.full(10_000, 7, np.uint64), np.full(500, 7, np.uint64), 5)
+    assert tiles == [(0, 0, 500)]
+
+
+def test_decontamination_against_brute_force(spark):
+    """Items whose parts stand in another order, ties and repeated words; a sieve that lets much through."""
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randrange(12)}"
+    items = [[word() for _ in range(rng.randint(3, 24))] for _ in range(12)] + [["same"] * 20]
+    items += [items[0]]
+    docs = []
+    for n in range(60):
+        parts = [[word() for _ in range(rng.randrange(12))]]
+        for _ in range(rng.randrange(3)):
+            it = rng.choice(items)
+            cut = rng.randrange(len(it) + 1)
+            parts += [it[cut:], [word()], it[:cut]]
+        docs.append([w for p in parts for w in p])
+    docs += [docs[0], docs[1], ["same"] * 300]
+    d = spark.createDataFrame([(n, " ".join(w), n) for n, w in enumerate(docs)], "doc_id long, text string, covered int").repartition(4)
+    i = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (pytest.approx(r["covered"]), r["n_tiles"], r["longest"]) for r in decontaminate.leaks(d, i).collect()}
+    want = {}
+    for a, doc in enumerate(docs):
+        for b, item in enumerate(items):
+            tiles = plain_tiling(doc, item, decontaminate.SEED)
+            if tiles and sum(t[2] for t in tiles) / len(item) >= decontaminate.COVERAGE:
+                want[a, b] = (sum(t[2] for t in tiles) / len(item), len(tiles), max(t[2] for t in tiles))
+    assert got == want and len(want) > 20
+
+
+def test_decontamination(spark):
     rng = random.Random(5)
     prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     items = [(i, prose(30)) for i in range(10)] + [(10, None), (11, "too short")]
     text = dict(items)
     swap = text[3].split()
-    docs = [(0, prose(50)), (1, f"{prose(9)} {text[2].upper()} {prose(9)}"), (2, " ".join([*swap[15:], "x", *swap[:15]])), (3, " ".join(text[4].split()[:12])), (4, None), (5, ""), (6, f"{text[5]} {text[6]}")]
+    docs = [(0, prose(50)), (1, f"{prose(9)} {text[2].upper()} {prose(9)}"), (2, " ".join([*swap[15:], "x", *swap[:15]])), (3, " ".join(text[4].split()[:12])), (4, None), (5, ""), (6, f"{text[5]} {text[6]}"), (6, f"{text[5]} {text[6]}")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    found = decontaminate.judge(d, spark.createDataFrame(items, "item_id long, text string"), slice_bytes=slice_bytes)
+    found = decontaminate.judge(d, spark.createDataFrame(items, "item_id long, text string"))
     got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["item_id"]) for r in found.collect()}
     assert got == {0: (False, 0, None), 1: (True, 1, 2), 2: (True, 1, 3), 3: (False, 0, None), 4: (False, 0, None), 5: (False, 0, None), 6: (True, 2, 5)}
     assert decontaminate.judge(d.limit(0), d.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
