@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -544,12 +545,54 @@ def test_shots():
         ("<dl><dt>T<dd>D</dl><blockquote>Q</blockquote>", "T\n    D\n\n    Q"),
         ("a < b <3 <>", "a < b <3 <>"),
         ("", ""),
+        ("<style>@media print{.ad{display:none}}</style><i class=ad>x</i>", "x"),
+        ("<style>@media screen and (min-width: 600px){.ad{display:none}}</style><i class=ad>x</i>y", "y"),
+        ("<style media=print>.ad{display:none}</style><i class=ad>x</i>", "x"),
+        ("<style>.h{display:none} .h{display:block}</style><i class=h>x</i>", "x"),
+        ("<style>.h{display:none} i{display:block}</style>a<i class=h>x</i>", "a"),
+        ("<style>.h{display:none!important} #a{display:block}</style>a<i class=h id=a>x</i>", "a"),
+        ("<i style='display:none;display:block'>x</i>", "x"),
+        ("<i style='display:none;display:9'>x</i>y", "y"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>x</b>c</div>", "x"),
+        ("<style>div.x.y{display:none}</style><div class='y x'>no</div><div class=x>yes</div>", "yes"),
+        ("<style>/* c */ .h /* d */ {display:none}</style>a<i class=h>no</i>", "a"),
+        ("<style>nav > ul li:first-child, [data-a~=q]{display:none} p + p{display:none} h1 ~ b{display:none} i:not(.k){display:none} a:hover{display:none}</style><nav><ul><li>no<li>yes</ul></nav><u data-a='p q'>no</u><p>1<p>no<h1>H</h1><b>no</b><i class=k>k</i><i>no</i><a>z</a>", "* yes\n\n1\n\nH\n\nkz"),
+        ("<p hidden style='display:block'>x</p>", "x"),
+        ("<table><tr><td rowspan=2>A<td>B1<td>C<tr><td>B2<td rowspan=0>D<tr><td>E</table>", "A  B1  C\n   B2  D\nE"),
+        ("<table><tr><td colspan=1000>wide<td>end<tr><td>a<td>b</table>", "wide  end\na  b"),
+        ("<table><tr><td colspan=2>long heading<td>end<tr><td>a<td>b<td>c</table>", "long heading  end\na  b          c"),
+        ("<ol><li value=5>a<li>b<li value=2>c</ol><ol reversed><li>x<li>y</ol><ol type=a start=27><li>z</ol><ol type=I start=1994><li>r</ol>", "5. a\n6. b\n2. c\n\n2. x\n1. y\n\naa. z\n\nMCMXCIV. r"),
+        ("<ul><li>a</li>X<li hidden>no</ul>", "* a\n  X"),
+        ("&#0000000065; &#99999999999; &#xfffffffff;", "A \ufffd \ufffd"),
+        ("a<b", "a"),
+        ("x<!-- a --!>y<!-->z<!x>", "xyz"),
+        ("</3 n>x<\u0130>y", "x<\u0130>y"),
     ],
 )
 def test_html(source, text):
     assert html.Page(source).render() == text
 
 
+@pytest.mark.parametrize(
+    "part",
+    ["<a \"", "<a '", "<a ", "<a b=", "<", "</", "<!--", "<!", "<![CDATA[", "&#9", "<p>", "<li>", "<b>", "<td>", "<table>", "<script>", "<td colspan=1000 rowspan=9>", "<style>a{", "<style>@media print{", "<style>/*", "<i style='display:none", "<style>a, a{display:none}", "<style>a b > c + d ~ e [x] ", "</p>", "<option>", " \n "],
+)
+def test_any_page_is_read_in_one_pass(part):
+    """100 kB of what a tokenizer may trip over."""
+    began = time.process_time()
+    html.Page(part * (100_000 // len(part))).render()
+    html.Page("<a " + part[-1] * 100_000).render()
+    assert time.process_time() - began < 3
+
+
+def test_selectors_are_matched_once():
+    sheet = " ".join("div" for _ in range(60))
+    page = f"<style>{sheet} > b{{display:none}} p ~ p ~ b{{display:none}}</style>" + "<div>" * 150 + "<p>" * 20_000 + "<b>x</b>"
+    began = time.process_time()
+    html.Page(page).render()
+    assert time.process_time() - began < 5
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<div>" * 5000 + "deep", "x"), (4, "<p>" + "long " * 50_000, "x")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
