@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.lineage import checkpoint
 
-__all__ = ["checkpoint", "components", "join_aggregate"]
+__all__ = ["checkpoint", "components", "forget_shuffles", "join_aggregate"]
+
+
+def forget_shuffles(df: DataFrame) -> None:
+    """Lets Spark remove the exchanges that only finished jobs have read: their files go once the
+    driver's JVM has collected what refers to them, which can otherwise take as long as the run.
+    Those of the last job stay until another one has run."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def components(links: DataFrame, least: str = "u", other: str = "v") -> DataFrame:

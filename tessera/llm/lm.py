@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
 from tessera.llm import text as T
-from tessera.llm.graph import checkpoint
+from tessera.llm.graph import checkpoint, forget_shuffles
 
 BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS, FOLDS, HELD_FOLD = 16, 8, 3
@@ -213,10 +213,12 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     answers = checkpoint(count_grams(docs, n_blocks, bits, fan))
     n, v, n_held, v_rest = (x or 0 for x in answers.agg(*(F.sum(F.col("sums")[k]) for k in range(4))).first())
     answers = answers.select("block", "part", "data")
+    forget_shuffles(docs)
     if weights is None:
         held = F.col("block") % FOLDS == HELD_FOLD
         cells = _cells(docs.where(held), answers.where(held), bits, n - n_held).collect()
         weights = mixture_weights(np.array(cells, np.float64).reshape(-1, 6), v_rest)
+        forget_shuffles(docs)
 
     def run(table: pa.Table, replies: list[bytes]) -> pa.Table:
         x = Lookup(table, replies, bits, False)
