@@ -107,3 +107,9 @@ class AlignedTable:
     @property
     def foreign_columns(self) -> list[tuple[str | None, str]]:
         return [(None, c) for c in self.main.foreign_columns] + [(t.name, c) for t in self.categories for c in t.foreign_columns]
+
+    def linked_tables(self, ignore_categories: bool = False) -> list[tuple[str, str, str]]:
+        """All links reachable from the main table, and from the categories unless ignored."""
+        from tessera.operators import region
+
+        return region.linked_tables(self.main, *(() if ignore_categories else self.categories))

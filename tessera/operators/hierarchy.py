@@ -18,25 +18,23 @@ def flatten(table: Table, ids: bool = True) -> DataFrame:
 
     Columns are named table__column: ids and columns of every table from the top down, without the
     region columns that were followed. Rows whose region cell is empty have no path and are left
-    out. Joins are by position; Spark picks broadcast or shuffle joins by size.
+    out. Joins are by position, or by the key of a region that has one; Spark picks broadcast or
+    shuffle joins by size.
     """
-    out, seen = None, set()
+    out, seen, here = None, set(), POS
     while True:
         if id(table) in seen:
             raise ValueError("the tables link in a circle")
         seen.add(id(table))
         follow = next((c for c in table.foreign_columns if c in table.targets), None)
-        names = [c for c in ([ID] if ids else []) + table.colnames if c != follow]
-        rows = table.df.select(F.col(POS).alias("_here"), *[F.col(c).alias(f"{table.name}{SEPARATOR}{c}") for c in names], *([F.col(follow).alias("_follow")] if follow else []))
-        if out is None:
-            out = rows
-        else:
-            out = out.join(rows, F.col("_next") == F.col("_here")).drop("_next")
-        out = out.drop("_here")
+        by = table.spec(follow).by if follow else None
+        names = [c for c in ([ID] if ids and ID in table.df.columns else []) + table.colnames if c != follow]
+        rows = table.df.select(*([] if out is None else [F.col(here).alias("_here")]), *[F.col(c).alias(f"{table.name}{SEPARATOR}{c}") for c in names], *([F.col(by[0] if by else follow).alias("_follow")] if follow else []))
+        out = rows if out is None else out.join(rows, F.col("_next") == F.col("_here")).drop("_next", "_here")
         if follow is None:
             return out
-        out = out.withColumn("_next", F.explode("_follow") if table.is_ragged(follow) else F.col("_follow")).drop("_follow")
-        table = table.targets[follow]
+        out = out.withColumn("_next", F.explode("_follow") if by is None and table.is_ragged(follow) else F.col("_follow")).drop("_follow")
+        table, here = table.targets[follow], by[1] if by else POS
 
 
 def column_path(name: str) -> tuple[str, ...]:

@@ -11,6 +11,7 @@ from tessera.lineage import checkpoint
 POS = "_pos"
 RANGES = 256
 SMALL = 50_000  # rows that one range may hold
+LARGE = 4_000_000  # rows that a range holds at most, whatever the table's size
 MOST_SHARES = 8  # quantiles that one value may take up
 
 
@@ -25,12 +26,14 @@ def number(df: DataFrame, *order: str | Column, name: str = POS, ranges: int = R
     Rows are cut into ranges, numbered within their range, and each range starts where the counts of
     those before it end. A leading number is cut at its quantiles, which moves no data. Where it leads
     with something else, or one value holds much more than a range's share, rows are dealt by the whole
-    order in a range exchange, whose outcome is checkpointed. Ties keep no stated order. Nulls come first.
+    order in a range exchange, whose outcome is checkpointed; so are tables of over LARGE rows a range,
+    in as many ranges as that takes. Ties keep no stated order. Nulls come first.
     """
     keyed = df.withColumn("__lead", order[0] if isinstance(order[0], Column) else F.col(order[0]))
     rest = list(order[1:])
-    bucket = _quantile_range(keyed, ranges)
+    n, bucket = _quantile_range(keyed, ranges)
     if bucket is None:
+        ranges = max(ranges, -(-n // LARGE))
         ranged = keyed.repartitionByRange(ranges, "__lead", *rest).withColumn("__bucket", F.spark_partition_id())
         keyed = checkpoint(ranged)  # a partition's number must not change when it is computed again
     else:
@@ -40,7 +43,7 @@ def number(df: DataFrame, *order: str | Column, name: str = POS, ranges: int = R
     counts = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(starts), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("__bucket").orderBy("__lead", *rest)
     ranked = keyed.withColumn("__rank", F.row_number().over(inside) - 1)
-    out = ranked.join(F.broadcast(counts), F.col("__bucket") == F.col("__b"))  # at most `ranges` + 1 rows
+    out = ranked.join(counts, F.col("__bucket") == F.col("__b"))  # one row a range: broadcast by its size
     return out.select((F.col("__start") + F.col("__rank")).cast("long").alias(name), *df.columns)
 
 
@@ -55,8 +58,9 @@ def number_sparse(df: DataFrame, key: str, name: str = POS, block: int = 100_000
     return ranked.join(counts, "__block").select((F.col("__start") + F.col("__rank")).cast("long").alias(name), *df.columns)
 
 
-def _quantile_range(keyed: DataFrame, ranges: int) -> str | None:
-    """SQL for the range of a numeric `__lead`, or None where quantiles don't cut the rows evenly.
+def _quantile_range(keyed: DataFrame, ranges: int) -> tuple[int, str | None]:
+    """The number of rows as far as it matters, and SQL for the range of a numeric `__lead`, or None
+    where quantiles don't cut the rows evenly or well enough.
 
     Ranges are as many as asked for, or fewer that hold about SMALL rows each.
     """
@@ -66,14 +70,17 @@ def _quantile_range(keyed: DataFrame, ranges: int) -> str | None:
     elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
         measure = "double(__lead)"
     else:
-        return None if keyed.limit(SMALL + 1).count() > SMALL else "0"
+        n = keyed.count()
+        return n, None if n > SMALL else "0"
     n, known, cuts = keyed.agg(F.count(F.lit(1)), F.count(F.expr(measure)), F.percentile_approx(F.expr(measure), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()
     if n <= SMALL or not cuts:
-        return "0"
+        return n, "0"
+    if n > ranges * LARGE:
+        return n, None
     if max(cuts.count(c) for c in set(cuts)) > MOST_SHARES or (n - known) * ranges > MOST_SHARES * n:
-        return None
+        return n, None
     every = max(1, ranges * SMALL // n)
-    return f"CASE WHEN {measure} IS NULL THEN -1 ELSE {_search(measure, sorted(set(cuts))[every - 1 :: every])} END"
+    return n, f"CASE WHEN {measure} IS NULL THEN -1 ELSE {_search(measure, sorted(set(cuts))[every - 1 :: every])} END"
 
 
 def _search(value: str, cuts: list) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import position
 from tessera.operators.position import POS
 
 
@@ -60,7 +61,7 @@ def is_ragged(df: DataFrame, column: str) -> bool:
 def elements_of(df: DataFrame, column: str) -> DataFrame:
     """(code, element): distinct values in sorted order, coded from 0."""
     distinct = df.select(F.col(column).alias("element")).where("element is not null").distinct()
-    return distinct.select((F.row_number().over(Window.orderBy("element")) - 1).alias("code"), "element")
+    return position.number(distinct, "element", name="code")
 
 
 def grow_elements(elements: DataFrame, new: DataFrame, column: str) -> DataFrame:
@@ -68,7 +69,7 @@ def grow_elements(elements: DataFrame, new: DataFrame, column: str) -> DataFrame
     first = new.groupBy(F.col(column).alias("element")).agg(F.min(POS).alias("first")).where("element is not null")
     lacking = first.join(elements, "element", "left_anti")
     base = elements.agg(F.coalesce(F.max("code") + 1, F.lit(0)).alias("base"))  # one row
-    coded = lacking.select("element", (F.row_number().over(Window.orderBy("first")) - 1).alias("k")).crossJoin(F.broadcast(base))
+    coded = position.number_sparse(lacking, "first", name="k").crossJoin(F.broadcast(base))
     return elements.unionByName(coded.select((F.col("base") + F.col("k")).alias("code"), "element"))
 
 

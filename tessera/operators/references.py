@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,17 +45,18 @@ class ReferenceStore:
     objects: DataFrame
     object_keys: DataFrame
     entity_keys: DataFrame
+    counts: dict[str, int] | None = None  # rows by table, where known
 
     @classmethod
     def empty(cls, spark: SparkSession) -> ReferenceStore:
-        return cls(**{n: spark.createDataFrame([], StructType.fromDDL(f"{POS} long, {s}")) for n, s in SCHEMAS.items()})
+        return cls(**{n: spark.createDataFrame([], StructType.fromDDL(f"{POS} long, {s}")) for n, s in SCHEMAS.items()}, counts=dict.fromkeys(SCHEMAS, 0))
 
     @classmethod
     def from_rows(cls, spark: SparkSession, **rows: list) -> ReferenceStore:
         return cls(**{n: spark.createDataFrame([(i, *r) for i, r in enumerate(rows.get(n, []))], StructType.fromDDL(f"{POS} long, {s}")) for n, s in SCHEMAS.items()})
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {n: getattr(self, n) for n in SCHEMAS}
 
     # queries
 
@@ -113,7 +114,10 @@ class ReferenceStore:
         another object even if the text exists there. An entity that is new needs a uri; one that is
         known keeps its own. Links are made once.
         """
-        refs = refs.select(POS, *[F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("relative_path", "field") else F.col(c) for c in ("file_object_id", "object_id", "object_type", "relative_path", "field", "key", "entity_id", "entity_uri")])
+        names = ("file_object_id", "object_id", "object_type", "relative_path", "field", "key", "entity_id")
+        refs = refs.select(POS, "entity_uri", *[F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("relative_path", "field") else F.col(c) for c in names])
+        # repeats are folded first; all that follows is about distinct references
+        refs = checkpoint(refs.groupBy(*names).agg(F.min_by("entity_uri", POS).alias("entity_uri"), F.min(POS).alias(POS)))
         sizes = self.sizes()
         entities = self._upsert(sizes, "entities", refs, ["entity_id"], ["entity_uri"])
         if not entities.where("entity_uri is null").isEmpty():
@@ -122,19 +126,23 @@ class ReferenceStore:
         place = ["object_id", "relative_path", "field"]
         with_file = refs.join(files.select(F.col(POS).alias("files_idx"), "file_object_id"), "file_object_id")
         objects = self._upsert(sizes, "objects", with_file, place, ["files_idx", "object_type"])
-        at_object = with_file.join(objects.select(F.col(POS).alias("objects_idx"), *place), place)
+        at_object = refs.join(objects.select(F.col(POS).alias("objects_idx"), *place), place)
         known = self.object_keys.join(self.keys.withColumnRenamed(POS, "keys_idx"), "keys_idx").groupBy("objects_idx", "key").agg(F.min("keys_idx").alias("keys_idx"))
-        at_object = checkpoint(at_object)
         firsts = at_object.groupBy("objects_idx", "key").agg(F.min(POS).alias(POS)).join(known.select("objects_idx", "key"), ["objects_idx", "key"], "left_anti")
-        fresh = _after(sizes["keys"], position.number_sparse(firsts, POS, name="_new"))
-        fresh = checkpoint(fresh)
+        fresh = checkpoint(_after(sizes["keys"], position.number_sparse(firsts, POS, name="_new")))
         keys = self.keys.unionByName(fresh.select(F.col("_new").alias(POS), "key"))
         resolved = known.unionByName(fresh.select("objects_idx", "key", F.col("_new").alias("keys_idx")))
-        linked = at_object.join(resolved, ["objects_idx", "key"]).join(entities.select(F.col(POS).alias("entities_idx"), "entity_id"), "entity_id")
-        return replace(self, keys=keys, entities=entities, files=files, objects=objects, object_keys=self._upsert(sizes, "object_keys", linked, ["objects_idx", "keys_idx"], []), entity_keys=self._upsert(sizes, "entity_keys", linked, ["entities_idx", "keys_idx"], []))
+        linked = checkpoint(at_object.join(resolved, ["objects_idx", "key"]).join(entities.select(F.col(POS).alias("entities_idx"), "entity_id"), "entity_id").select(POS, "objects_idx", "keys_idx", "entities_idx"))
+        return replace(self, keys=keys, entities=entities, files=files, objects=objects, object_keys=self._upsert(sizes, "object_keys", linked, ["objects_idx", "keys_idx"], []), entity_keys=self._upsert(sizes, "entity_keys", linked, ["entities_idx", "keys_idx"], []), counts=None)
+
+    def settled(self) -> ReferenceStore:
+        """The same with its tables written to the shared folder: for a store that is added to many times."""
+        return replace(self, **{n: checkpoint(df) for n, df in self.tables().items()})
 
     def sizes(self) -> dict[str, int]:
         """The number of rows of each table, in one job."""
+        if self.counts is not None:
+            return self.counts
         counts = [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, df in self.tables().items()]
         return dict(map(tuple, reduce(DataFrame.union, counts).collect()))
 
@@ -143,14 +151,22 @@ class ReferenceStore:
         held = getattr(self, name)
         first = rows.groupBy(*key).agg(F.min(POS).alias(POS), *[F.min_by(c, POS).alias(c) for c in rest])
         lacking = position.number_sparse(first.join(held.select(*key), key, "left_anti"), POS, name="_new")
-        return checkpoint(held.unionByName(_after(sizes[name], lacking).select(F.col("_new").alias(POS), *[c for c in held.columns if c != POS])))
+        return held.unionByName(_after(sizes[name], lacking).select(F.col("_new").alias(POS), *[c for c in held.columns if c != POS]))
 
-    def add_vocabulary(self, refs: DataFrame, vocabulary) -> tuple[ReferenceStore, list[str]]:
-        """Adds the entity of each key that is a term; returns the keys that aren't, repeats kept."""
-        missing = [r["key"] for r in vocabulary.violations(refs, "key").orderBy(POS).select("key").collect()]
+    def add_vocabulary(self, refs: DataFrame, vocabulary) -> tuple[ReferenceStore, DataFrame]:
+        """Adds the entity of each key that is a term; returns (_pos, key) of those that aren't, repeats kept."""
+        missing = vocabulary.violations(refs, "key").select(POS, "key")
         found = vocabulary.lookup(refs.drop("entity_id", "entity_uri"), "key").withColumnsRenamed({"term_id": "entity_id", "term_uri": "entity_uri"})
         return self.add(found), missing
 
+    def add_tree(self, nodes: DataFrame, cells: DataFrame, vocabulary) -> tuple[ReferenceStore, DataFrame]:
+        """Adds the terms of all checked fields of a tree: `cells` (_pos, node_id, field, value) are the values
+        of the fields that a vocabulary governs. Objects are the typed nodes, their file is the root."""
+        root = nodes.where("parent_id is null").select(F.col("object_id").alias("file_object_id"))
+        named = cells.join(nodes.select("node_id", "object_id", F.col("data_type").alias("object_type")), "node_id")
+        refs = named.crossJoin(F.broadcast(root)).select(POS, "file_object_id", "object_id", "object_type", F.lit("").alias("relative_path"), "field", F.col("value").alias("key"))  # a tree has one root
+        return self.add_vocabulary(refs.withColumns({"entity_id": F.lit(None).cast("string"), "entity_uri": F.lit(None).cast("string")}), vocabulary)
+
     # checks and files
 
     def violations(self) -> dict[str, int]:
@@ -180,8 +196,11 @@ class ReferenceStore:
             raise ValueError(f"links out of range: {bad}")
         return store
 
-    def to_zip(self, path: str) -> None:
-        """Six .tsv files in a zip, for exchange: meant for stores that a person made."""
+    def to_zip(self, path: str, most_rows: int = 1_000_000) -> None:
+        """Six .tsv files in a zip, for exchange: for stores that a person made. One of more than
+        `most_rows` rows in all is refused; `write` has no such bound."""
+        if sum(self.sizes().values()) > most_rows:
+            raise ValueError(f"over {most_rows} rows: use write")
         with zipfile.ZipFile(path, "w") as z:
             for name, df in self.tables().items():
                 z.writestr(f"{name}.tsv", df.orderBy(POS).drop(POS).toPandas().to_csv(sep="\t", index=False))

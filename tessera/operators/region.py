@@ -9,12 +9,26 @@ from tessera.operators.position import POS
 from tessera.operators.table import ID, Table
 
 
+def cells(source: Table, column: str) -> DataFrame:
+    """(_pos, _ord, _at): each position that a region cell holds, in its order. A region by key has its
+    target's positions in ascending order, numbered by themselves."""
+    if by := source.spec(column).by:
+        own = source.df.select(POS, F.col(by[0]).alias("_key"))
+        target = source.targets[column].df.select(F.col(by[1]).alias("_key"), F.col(POS).alias("_at"))
+        return own.join(target, "_key").select(POS, F.col("_at").alias("_ord"), "_at")
+    if source.is_ragged(column):
+        return source.df.select(POS, F.posexplode(column).alias("_ord", "_at"))
+    return source.df.select(POS, F.lit(0).alias("_ord"), F.col(column).alias("_at"))
+
+
 def resolve(source: Table, column: str, how: str = "inner") -> DataFrame:
     """Each source row with the target row that its region cell points to; columns are
     `source__name` and `target__name`. A ragged cell gives a row for each position, in `_ord`."""
     target = source.targets[column]
     left = source.df
-    if source.is_ragged(column):
+    if source.spec(column).by:
+        left = left.join(cells(source, column), POS)
+    elif source.is_ragged(column):
         left = left.select("*", F.posexplode(column).alias("_ord", "_at"))
     else:
         left = left.select("*", F.lit(0).alias("_ord"), F.col(column).alias("_at"))
@@ -27,12 +41,8 @@ def nest(source: Table, column: str) -> DataFrame:
     """The source rows with each region cell replaced by an array of target row structs, in cell order.
     An empty cell stays an empty array."""
     target = source.targets[column]
-    if not source.is_ragged(column):
-        cells = source.df.select(POS, F.lit(0).alias("_ord"), F.col(column).alias("_at"))
-    else:
-        cells = source.df.select(POS, F.posexplode(column).alias("_ord", "_at"))
     rows = target.df.select(F.col(POS).alias("_target"), F.struct(ID, *target.colnames).alias("_row"))
-    nested = cells.join(rows, F.col("_at") == F.col("_target")).groupBy(POS).agg(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_row"))), lambda x: x["_row"]).alias("_rows"))
+    nested = cells(source, column).join(rows, F.col("_at") == F.col("_target")).groupBy(POS).agg(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_row"))), lambda x: x["_row"]).alias("_rows"))
     kind = nested.schema["_rows"].dataType
     joined = source.df.join(nested, POS, "left")
     return joined.withColumn(column, F.coalesce("_rows", F.array().cast(kind))).drop("_rows")
@@ -53,20 +63,18 @@ def nest_all(source: Table) -> DataFrame:
 def gather(source: Table, column: str) -> DataFrame:
     """All target rows that a region column refers to, in reference order (`_src`, `_ord`), repeats kept."""
     target = source.targets[column]
-    refs = source.df.select(F.col(POS).alias("_src"), F.posexplode(column).alias("_ord", "_at")) if source.is_ragged(column) else source.df.select(F.col(POS).alias("_src"), F.lit(0).alias("_ord"), F.col(column).alias("_at"))
+    refs = cells(source, column).withColumnRenamed(POS, "_src")
     return refs.join(target.df, F.col("_at") == F.col(POS)).drop("_at", POS)
 
 
 def dangling(source: Table, column: str) -> DataFrame:
     """References to rows that the target doesn't have."""
-    cells = source.df.select(POS, F.explode(column).alias("_at")) if source.is_ragged(column) else source.df.select(POS, F.col(column).alias("_at"))
-    return cells.join(source.targets[column].df.select(F.col(POS).alias("_at")), "_at", "left_anti")
+    return cells(source, column).select(POS, "_at").join(source.targets[column].df.select(F.col(POS).alias("_at")), "_at", "left_anti")
 
 
 def shape(source: Table, column: str) -> tuple[int, int]:
     """How many references the column has, and how many columns its target has."""
-    cells = source.df.select(F.size(column).alias("n")) if source.is_ragged(column) else source.df.select(F.lit(1).alias("n"))
-    return int(cells.agg(F.sum("n")).first()[0] or 0), len(source.targets[column].colnames)
+    return cells(source, column).count(), len(source.targets[column].colnames)
 
 
 def linked_tables(start: Table, *others: Table) -> list[tuple[str, str, str]]:

@@ -17,13 +17,18 @@ ID = "id"
 
 @dataclass(frozen=True)
 class ColumnSpec:
-    """What a column is: plain data, a region (positions of rows of `target`), or an enumeration."""
+    """What a column is: plain data, a region (positions of rows of `target`), or an enumeration.
+
+    A region `by` (own column, target's column) holds no positions: a row's cell is the target rows
+    whose column has the value of its own, so that no list grows with the number of children.
+    """
 
     name: str
     description: str = ""
     kind: str = "data"  # data, region or enum
     target: str | None = None
     vocabulary: object | None = None
+    by: tuple[str, str] | None = None
 
     @property
     def metadata(self) -> dict:
@@ -77,11 +82,19 @@ class Table:
             base = base.join(d.select(POS, F.col("value").alias(c.name, metadata=c.metadata)), POS)
         return cls(name, base, tuple(c for c, _ in columns))
 
+    def with_children(self, target: Table, own: str, key: str, name: str | None = None) -> Table:
+        """With a region of the target rows whose `key` has the value of this table's `own` column."""
+        name = name or target.name
+        if name in self or name in self.targets:
+            raise ValueError(f"{name} is already there")
+        spec = ColumnSpec(name, kind="region", target=target.name, by=(own, key))
+        return replace(self, columns=(*self.columns, spec), targets={**self.targets, name: target})
+
     # what the table has
 
     @property
     def colnames(self) -> list[str]:
-        return [c.name for c in self.columns]
+        return [c.name for c in self.columns if c.by is None]
 
     def __contains__(self, name: str) -> bool:
         return name in self.colnames
@@ -98,7 +111,7 @@ class Table:
     def reorder(self, names: Sequence[str]) -> Table:
         if sorted(names) != sorted(self.colnames):
             raise ValueError("names must be those of the table")
-        return replace(self, df=self.df.select(POS, ID, *names), columns=tuple(self.spec(n) for n in names))
+        return replace(self, df=self.df.select(POS, ID, *names), columns=(*(self.spec(n) for n in names), *(c for c in self.columns if c.by)))
 
     def bind(self, **targets: Table) -> Table:
         """Sets the tables that region columns point to; one that is set can't be changed."""
@@ -186,6 +199,18 @@ class Table:
     def to_frame(self, exclude: Iterable[str] = ()) -> DataFrame:
         return self.df.drop(*exclude)
 
+    def get(self, key, nested: bool = False) -> DataFrame:
+        """What `[]` gives; `nested` has region cells as arrays of the target's rows."""
+        if not nested:
+            return self[key]
+        from tessera.operators import region
+
+        return replace(self, df=region.nest_all(self), targets={})[key]
+
+    def provenance(self) -> DataFrame:
+        """(_pos, source): the file that each row was read from; empty for rows that no file holds."""
+        return self.df.select(POS, F.input_file_name().alias("source"))
+
     def preview(self, n: int = 4) -> tuple[list, str]:
         """The first n rows, and how many more there are."""
         rows = self.df.where(F.col(POS) < n).orderBy(POS).collect()
@@ -210,11 +235,9 @@ class Table:
         rows = rows.withColumn(POS, F.col(POS) + n)
         if ID not in rows.columns:
             rows = rows.withColumn(ID, F.col(POS))
-        for c in self.columns:
-            if c.vocabulary is not None:
-                bad = c.vocabulary.missing(rows.select(F.col(c.name).alias("term")))
-                if bad:
-                    raise ValueError(f"{c.name}: {bad} aren't in the vocabulary")
+        checked = {c.name: c.vocabulary.missing(rows.select(F.col(c.name).alias("term"))) for c in self.columns if c.vocabulary is not None}
+        if bad := {name: terms for name, terms in checked.items() if terms}:
+            raise ValueError(f"not in the vocabulary: {bad}")  # all columns at once
         out = replace(self, df=self.df.unionByName(rows.select(self.df.columns)))
         if unique_ids and not out.repeated_ids().isEmpty():
             raise ValueError("ids aren't unique")
@@ -257,7 +280,7 @@ class Table:
         return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
     def is_ragged(self, name: str) -> bool:
-        return isinstance(self.df.schema[name].dataType, ArrayType)
+        return self.spec(name).by is not None or isinstance(self.df.schema[name].dataType, ArrayType)
 
 
 def table_of(spark: SparkSession, name: str, rows: list, schema: str, **options) -> Table:

@@ -1,108 +1,198 @@
-"""Validation of a node table against specifications: joins that leave one row for each error."""
+"""Validation of a node table against specifications: joins that leave one row for each error.
+
+Every typed node is checked against its type, and every child also against what the slot that it
+fills adds to that type or says of a child without one, level by level. All that comes from the
+schema (parts, slots, types, accepted dtypes) is as small as the schema and broadcast; nodes,
+attributes and children meet by node id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import dtypes
+from tessera.lineage import checkpoint
 from tessera.plans.spec import Catalog
 
 COLUMNS = ["error", "name", "location", "reason"]
+SALTS = 64
 
 
-def _shape_matches(expected: F.Column, received: F.Column) -> F.Column:
+def _shape_matches(expected: Column, received: Column) -> Column:
     """Whether an array of lengths fits a shape text (see plans.spec)."""
     one = lambda alt: (F.size(F.split(alt, ",")) == F.size(received)) & F.forall(F.zip_with(F.split(alt, ","), received, lambda e, r: (e == "*") | (e == r.cast("string"))), lambda x: F.coalesce(x, F.lit(False)))
     return F.exists(F.split(expected, r"\|"), one)
 
 
+def _tuple(lengths: Column) -> Column:
+    """Lengths as Python shows a tuple."""
+    return F.concat(F.lit("("), F.array_join(lengths.cast("array<string>"), ", "), F.when(F.size(lengths) == 1, ",)").otherwise(")"))
+
+
+_ACCEPTED = [f"{e}|{r}" for e in dtypes.CANONICAL for r in dtypes.CANONICAL if dtypes.accepts(e, r)]
+
+
+def _accepts(want: Column, have: Column) -> Column:
+    """Whether a dtype satisfies one that is wanted."""
+    return F.concat_ws("|", want, have).isin(_ACCEPTED)
+
+
+def _accepts_fields(want: Column, have: Column) -> Column:
+    """The same for comma-separated dtypes of a compound: at least as many, each satisfying its own."""
+    w, h = F.split(want, ","), F.split(have, ",")
+    return (F.size(h) >= F.size(w)) & F.forall(F.zip_with(w, F.slice(h, F.lit(1), F.size(w)), lambda a, b: _accepts(a, F.coalesce(b, F.lit("")))), lambda x: x)
+
+
+def _fields(dtype: Column) -> Column:
+    """The dtypes of a compound (name:dtype,...), comma-separated; a plain dtype as it is."""
+    return F.array_join(F.transform(F.split(dtype, ","), lambda f: F.element_at(F.split(f, ":"), -1)), ",")
+
+
+def _list(dtypes_text: Column) -> Column:
+    """Comma-separated dtypes as Python shows a list of strings."""
+    return F.concat(F.lit("['"), F.regexp_replace(dtypes_text, ",", "', '"), F.lit("']"))
+
+
 def validate(nodes: DataFrame, attrs: DataFrame, catalog: Catalog) -> DataFrame:
     """(error, name, location, reason) of every violation, each once.
 
-    Nodes meet the specifications of their type; children are assigned to slots by name, or else by
-    any type that theirs extends.
+    Errors that differ only in the path before a name's last part are one, and named as the type
+    says. A node table without nodes gives no errors; nodes of unknown types give one each.
     """
     spark = nodes.sparkSession
-    tables, closure, lattice = catalog.tables(spark), catalog.closure(spark), dtypes.lattice(spark)
+    tables, deepest = catalog.parts(spark)
+    closure = F.broadcast(catalog.closure(spark).select(F.col("data_type").alias("_sub"), F.col("ancestor").alias("_super")))
+    parts, slots = F.broadcast(tables["parts"]), F.broadcast(tables["slots"])
     typed = nodes.where("data_type is not null")
-    unknown = typed.join(closure.select("data_type").distinct(), "data_type", "left_anti").select(F.lit("UnknownType").alias("error"), F.col("data_type").alias("name"), F.col("path").alias("location"), F.lit("unknown data type").alias("reason"))
-
-    # attributes
-    fits = lambda want, have: F.broadcast(lattice.select(F.col("expected").alias(want), F.col("received").alias(have), F.lit(True).alias("_fits")))
-    wanted = F.broadcast(tables["attributes"].where("child is null").select("data_type", F.col("name").alias("attr"), F.col("dtype").alias("want"), F.col("shape").alias("want_shape"), "required"))
-    found = attrs.select("node_id", F.col("name").alias("attr"), F.col("dtype").alias("have"), F.col("shape").alias("have_shape"))
-    checked = typed.join(wanted, "data_type").join(found, ["node_id", "attr"], "left").join(fits("want", "have"), ["want", "have"], "left")
-    full = F.concat_ws("/", "data_type", "attr")
-    place = F.concat(F.col("path"), F.lit("."), F.col("attr"))
-    have, shaped = F.col("have").isNotNull(), F.col("have_shape").isNotNull()
-    of_attributes = _errors(
-        checked,
-        _error(~have & F.col("required"), "MissingError", full, F.col("path"), F.lit("argument missing")),
-        _error(have & F.col("want").isNotNull() & F.col("_fits").isNull(), "DtypeError", full, place, F.format_string("incorrect type - expected '%s', got '%s'", "want", "have")),
-        _error(have & F.col("want_shape").isNotNull() & ~shaped, "ExpectedArrayError", full, place, F.format_string("incorrect shape - expected an array of shape '(%s)', got non-array data", "want_shape")),
-        _error(have & shaped & ~_shape_matches(F.col("want_shape"), F.col("have_shape")), "ShapeError", full, place, F.format_string("incorrect shape - expected '(%s)', got '(%s)'", "want_shape", F.array_join(F.col("have_shape").cast("array<string>"), ","))),
-    )
+    of_type = parts.where("data_type is not null").select("data_type", "part")
+    unknown = _named(typed.join(of_type, "data_type", "left_anti").select(_error(F.lit(True), "UnknownType", F.col("data_type"), F.col("path"), F.lit("unknown data type")).alias("e")).select("e.*"), 0)
+
+    duties = typed.join(of_type, "data_type").select("node_id", "part")
+    found, all_duties = [unknown], []
+    for rank in range(deepest + 1):
+        all_duties.append(duties.withColumn("rank", F.lit(rank)))
+        wanted = duties.join(slots, "part").join(nodes.select("node_id", "path"), "node_id").join(parts.select("part", "part_path"), "part")
+        filled = checkpoint(assign(nodes, duties, tables["slots"], closure))
+        found.append(_named(_slot_errors(wanted, filled), rank))
+        known = filled.join(slots.drop("part", "slot_no"), "slot")
+        illegal = (F.col("child_kind") == "link") & (F.col("slot_kind") != "link") & ~F.col("linkable")
+        here = nodes.select("node_id", "path")
+        found.append(_named(known.where(illegal).join(here, "node_id").select(_error(F.lit(True), "IllegalLinkError", F.col("slot_path"), F.col("path"), F.lit("illegal use of link (linked object will not be validated)")).alias("e")).select("e.*"), rank))
+        duties = known.where(~illegal & F.col("content")).select(F.col("real_id").alias("node_id"), F.col("slot").alias("part")).distinct()
+    every = reduce(DataFrame.unionByName, all_duties)
+    found.append(_attribute_errors(every, nodes, attrs, tables, closure))
+    found.append(_dataset_errors(every, nodes, parts))
+    rows = reduce(DataFrame.unionByName, found).withColumn("_last", F.element_at(F.split("name", "/"), -1))
+    return rows.groupBy("error", "_last", "location", "reason").agg(F.min_by("name", F.struct("rank", "name")).alias("name")).select(*COLUMNS)
+
+
+def _error(where: Column, error: str, name: Column, location: Column, reason: Column) -> Column:
+    return F.when(where, F.struct(F.lit(error).alias("error"), name.alias("name"), location.alias("location"), reason.alias("reason")))
 
-    # children
-    slots = F.broadcast(tables["children"].select("data_type", "slot", F.col("kind").alias("slot_kind"), F.col("name").alias("slot_name"), F.col("child_type").alias("slot_type"), "quantity", F.col("dtype").alias("slot_dtype"), F.col("shape").alias("slot_shape"), F.col("required").alias("slot_required"), "many", "linkable"))
-    parents = typed.select(F.col("node_id").alias("parent_id"), "data_type", F.col("path").alias("parent_path"))
-    assigned = assign(nodes, typed, slots, closure)
-    counts = assigned.groupBy("parent_id", "slot").agg(F.count(F.lit(1)).alias("n"))
-    per_slot = parents.join(slots, "data_type").join(counts, ["parent_id", "slot"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    slot_full = F.concat_ws("/", "data_type", F.coalesce("slot_name", "slot_type"))
-    none, named = (F.col("n") == 0) & F.col("slot_required"), F.col("slot_name").isNotNull()
-    other_number = F.col("many") & F.col("quantity").rlike("^[0-9]+$") & ~F.col("n").cast("string").eqNullSafe(F.col("quantity"))
-    of_slots = _errors(
-        per_slot,
-        _error(none & ~named, "MissingDataType", F.col("data_type"), F.col("parent_path"), F.format_string("missing data type %s", "slot_type")),
-        _error(none & named, "MissingError", slot_full, F.col("parent_path"), F.lit("argument missing")),
-        _error((F.col("n") > 0) & ((~F.col("many") & (F.col("n") > 1)) | other_number), "IncorrectQuantityError", F.col("data_type"), F.col("parent_path"), F.format_string("expected a quantity of %s for data type %s, received %s", "quantity", F.coalesce("slot_type", "slot_name"), F.col("n").cast("string"))),
-    )
-    filled = assigned.join(parents, "parent_id").join(slots, ["data_type", "slot"]).join(fits("slot_dtype", "child_dtype"), ["slot_dtype", "child_dtype"], "left")
-    empty = F.coalesce(F.exists("child_shape", lambda n: n == 0), F.lit(False))
-    of_children = _errors(
-        filled,
-        _error(F.col("child_dtype").isNotNull() & F.col("slot_dtype").isNotNull() & ~empty & F.col("_fits").isNull(), "DtypeError", slot_full, F.col("child_path"), F.format_string("incorrect type - expected '%s', got '%s'", "slot_dtype", "child_dtype")),
-        _error((F.col("child_kind") == "dataset") & F.col("child_shape").isNotNull() & ~_shape_matches(F.col("slot_shape"), F.col("child_shape")), "ShapeError", slot_full, F.col("child_path"), F.format_string("incorrect shape - expected '(%s)', got '(%s)'", "slot_shape", F.array_join(F.col("child_shape").cast("array<string>"), ","))),
-        _error((F.col("child_kind") == "link") & (F.col("slot_kind") != "link") & ~F.col("linkable"), "IllegalLinkError", slot_full, F.col("child_path"), F.lit("illegal use of link (linked object will not be validated)")),
+
+def _errors(rows: DataFrame, *errors: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each error of each row: all are tested in one pass."""
+    return rows.select(*keep, F.inline(F.filter(F.array(*errors), lambda e: e.isNotNull())))
+
+
+def _named(errors: DataFrame, rank: int) -> DataFrame:
+    return errors.select(*COLUMNS).withColumn("rank", F.lit(rank))
+
+
+def _slot_errors(wanted: DataFrame, filled: DataFrame) -> DataFrame:
+    """Missing children and wrong numbers of them."""
+    counts = filled.groupBy("node_id", "slot").agg(F.count(F.lit(1)).alias("n"))
+    rows = wanted.join(counts, ["node_id", "slot"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    none, of_type = (F.col("n") == 0) & F.col("required"), F.col("slot_type").isNotNull()
+    named = F.when(F.col("slot_name").isNull(), F.lit("")).otherwise(F.concat(F.lit(" ("), "slot_name", F.lit(")")))
+    wrong = ~none & ((~F.col("many") & (F.col("n") > 1)) | (F.col("exact").isNotNull() & (F.col("n") != F.col("exact"))))
+    return _errors(
+        rows,
+        _error(none & of_type, "MissingDataType", F.col("part_path"), F.col("path"), F.concat(F.lit("missing data type "), "slot_type", named)),
+        _error(none & ~of_type, "MissingError", F.col("slot_path"), F.col("path"), F.lit("argument missing")),
+        _error(wrong, "IncorrectQuantityError", F.col("part_path"), F.col("path"), F.format_string("expected a quantity of %s for data type %s, received %s", "quantity", F.coalesce("slot_type", "slot_name"), F.col("n").cast("string"))),
     )
-    return unknown.unionByName(of_attributes).unionByName(of_slots).unionByName(of_children).distinct()
 
 
-def _error(where: F.Column, error: str, name: F.Column, location: F.Column, reason: F.Column) -> F.Column:
-    return F.when(where, F.struct(F.lit(error).alias("error"), name.alias("name"), location.alias("location"), reason.alias("reason")))
+def _attribute_errors(duties: DataFrame, nodes: DataFrame, attrs: DataFrame, tables: dict[str, DataFrame], closure: DataFrame) -> DataFrame:
+    wanted = F.broadcast(tables["attributes"].join(tables["parts"].select("part", "part_path"), "part"))
+    have = attrs.select("node_id", F.col("name").alias("attr"), F.col("dtype").alias("have"), F.col("shape").alias("have_shape"), "value", "ref_target")
+    target = nodes.select(F.col("node_id").alias("ref_target"), F.col("data_type").alias("found_type"), F.lit(True).alias("_found"))
+    refs = have.where("ref_target is not null").join(target, "ref_target", "left")
+    have = have.where("ref_target is null").withColumns({"found_type": F.lit(None).cast("string"), "_found": F.lit(None).cast("boolean")}).unionByName(refs)
+    rows = duties.join(wanted, "part").join(nodes.select("node_id", "path"), "node_id").join(have, ["node_id", "attr"], "left")
+    rows = rows.join(closure.withColumnRenamed("_super", "target_type").withColumnRenamed("_sub", "found_type").withColumn("_is", F.lit(True)), ["found_type", "target_type"], "left")
+    full, place = F.concat_ws("/", "part_path", "attr"), F.concat("path", F.lit("."), "attr")
+    there, reference = F.col("have").isNotNull(), F.col("target_type").isNotNull()
+    is_reference, shaped = F.col("ref_target").isNotNull(), F.col("have_shape").isNotNull()
+    empty = F.coalesce(F.exists("have_shape", lambda n: n == 0), F.lit(False))
+    iso = (F.col("want").isin(dtypes.SYNONYMS["isodatetime"])) & F.col("have").isin(dtypes.SYNONYMS["utf"] + dtypes.SYNONYMS["ascii"]) & F.coalesce(dtypes.is_iso8601(F.col("value")), F.lit(False))
+    misfit = F.col("want").isNotNull() & ~_accepts(F.col("want"), F.col("have")) & ~iso
+    text = "incorrect type - expected '%s', got '%s'"
+    return _errors(
+        rows,
+        _error(~there & F.col("required"), "MissingError", full, F.col("path"), F.lit("argument missing")),
+        _error(there & reference & ~is_reference & ~empty, "DtypeError", full, place, F.format_string(text, F.concat("want", F.lit(" reference")), "have")),
+        _error(there & reference & is_reference & F.col("_is").isNull(), "IncorrectDataType", full, place, F.format_string("incorrect data_type - expected '%s', got '%s'", "target_type", F.coalesce("found_type", F.lit("None")))),
+        _error(there & ~reference & ~empty & misfit, "DtypeError", full, place, F.format_string(text, "want", "have")),
+        _error(there & F.col("want_shape").isNotNull() & ~shaped, "ExpectedArrayError", full, place, F.format_string("incorrect shape - expected an array of shape '%s', got non-array data '%s'", "want_shape_text", F.coalesce("value", F.lit("")))),
+        _error(there & shaped & ~_shape_matches(F.col("want_shape"), F.col("have_shape")), "ShapeError", full, place, F.format_string("incorrect shape - expected '%s', got '%s'", "want_shape_text", _tuple(F.col("have_shape")))),
+        keep=("rank",),
+    )
 
 
-def _errors(rows: DataFrame, *errors: F.Column) -> DataFrame:
-    """A row for each error of each row: all are tested in one pass."""
-    return rows.select(F.inline(F.filter(F.array(*errors), lambda e: e.isNotNull())))
+def _dataset_errors(duties: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    rows = duties.join(parts.where("part_kind = 'dataset'"), "part").join(nodes.where("kind = 'dataset'").select("node_id", "path", "dtype", "shape"), "node_id")
+    empty = F.coalesce(F.exists("shape", lambda n: n == 0), F.lit(False))
+    have = _fields(F.col("dtype"))
+    checked = F.col("dtype").isNotNull() & F.col("want").isNotNull() & ~empty
+    shown = lambda compound, text: F.when(compound, _list(text)).otherwise(text)
+    text = "incorrect type - expected '%s', got '%s'"
+    return _errors(
+        rows,
+        _error(checked & ~F.when(F.col("compound"), _accepts_fields(F.col("want"), have)).otherwise(_accepts(F.col("want"), F.col("dtype"))), "DtypeError", F.col("part_path"), F.col("path"), F.format_string(text, shown(F.col("compound"), F.col("want")), shown(F.col("dtype").contains(":"), have))),
+        _error(F.col("dtype").isNotNull() & F.col("want_shape").isNotNull() & F.col("shape").isNull(), "ExpectedArrayError", F.col("part_path"), F.col("path"), F.format_string("incorrect shape - expected an array of shape '%s', got non-array data '%s'", "want_shape_text", F.lit(""))),
+        _error(F.col("shape").isNotNull() & ~_shape_matches(F.col("want_shape"), F.col("shape")), "ShapeError", F.col("part_path"), F.col("path"), F.format_string("incorrect shape - expected '%s', got '%s'", "want_shape_text", _tuple(F.col("shape")))),
+        keep=("rank",),
+    )
 
 
-def assign(nodes: DataFrame, typed: DataFrame, slots: DataFrame, closure: DataFrame) -> DataFrame:
-    """(parent_id, slot, child...): each child of a typed node with the slot that it fills.
+def assign(nodes: DataFrame, duties: DataFrame, slots: DataFrame, closure: DataFrame) -> DataFrame:
+    """(node_id, slot, child_id, child_kind, real_id): each child with the slot of its parent's part that it fills.
 
-    A slot of the child's name comes first, then the nearest type. Among slots of the same type a
-    child's rank picks one: the first slots are satisfied before later ones get a child, and what is
-    left goes to the first.
+    A slot comes into question if it has the child's name or none, and a type that the child's extends
+    or none. Children (datasets, groups, links, each in order of id) take the first such slot that still
+    needs some, else the first. Only as many children of the same slots as these need in all
+    can find one in need; just those go through the taking of turns.
     """
     target = nodes.select(F.col("node_id").alias("link_target"), F.col("data_type").alias("target_type"))
-    kids = nodes.where("parent_id is not null").join(target, "link_target", "left")
-    kids = kids.select("parent_id", F.col("node_id").alias("child_id"), F.col("name").alias("child_name"), F.col("path").alias("child_path"), F.col("kind").alias("child_kind"), F.col("dtype").alias("child_dtype"), F.col("shape").alias("child_shape"), F.coalesce("target_type", "data_type").alias("child_type"))
-    kids = kids.join(typed.select(F.col("node_id").alias("parent_id"), "data_type"), "parent_id").join(slots, "data_type")
-    of_type = F.broadcast(closure.select(F.col("data_type").alias("child_type"), F.col("ancestor").alias("slot_type"), "distance"))
-    kids = kids.join(of_type, ["child_type", "slot_type"], "left")
-    by_name = F.col("slot_name").eqNullSafe(F.col("child_name")) & F.col("slot_name").isNotNull()
-    by_type = F.col("slot_name").isNull() & F.col("distance").isNotNull()
-    kids = kids.where(by_name | by_type).withColumn("_by", F.when(by_name, -1).otherwise(F.col("distance")))
-    best = Window.partitionBy("parent_id", "child_id")
-    kids = kids.withColumn("_best", F.min("_by").over(best)).where("_by = _best")
-    # several slots of one type: the i-th child fills the i-th slot, the rest the first
-    slot_no = F.dense_rank().over(best.orderBy("slot")) - 1
-    n_slots = F.count(F.lit(1)).over(best)
-    kids = kids.withColumn("_slot_no", slot_no).withColumn("_n", n_slots)
-    same = Window.partitionBy("parent_id", "slot").orderBy("child_id")
-    kids = kids.withColumn("_child_no", F.row_number().over(same) - 1)
-    pick = F.when(F.col("_child_no") < F.col("_n"), F.col("_child_no")).otherwise(0)
-    return kids.where(F.col("_slot_no") == pick).select("parent_id", "slot", "child_id", "child_name", "child_path", "child_kind", "child_dtype", "child_shape", "child_type")
+    kids = nodes.where("parent_id is not null").select("parent_id", F.col("node_id").alias("child_id"), F.col("name").alias("child_name"), F.col("kind").alias("child_kind"), F.col("data_type").alias("own_type"), "link_target")
+    linked = kids.where("child_kind = 'link'").join(target, "link_target", "left")
+    kids = kids.where("child_kind <> 'link'").withColumn("target_type", F.lit(None).cast("string")).unionByName(linked)
+    kids = kids.select(F.col("parent_id").alias("node_id"), "child_id", "child_name", "child_kind", F.coalesce("target_type", "own_type").alias("child_type"), F.coalesce("link_target", "child_id").alias("real_id"))
+    some = F.broadcast(slots.select("part", "slot_no", "slot", "slot_name", "slot_type", "need"))
+    pairs = duties.join(kids, "node_id").join(some, "part").where("slot_name is null or slot_name = child_name")
+    pairs = pairs.join(closure.withColumnsRenamed({"_sub": "child_type", "_super": "slot_type"}).withColumn("_is", F.lit(True)), ["child_type", "slot_type"], "left").where("slot_type is null or _is")
+    child = ["node_id", "part", "child_id", "child_kind", "real_id"]
+    offers = pairs.groupBy(*child).agg(F.array_sort(F.collect_list(F.struct("slot_no", "slot", "need"))).alias("offers"))
+    offers = offers.withColumn("turns", F.when(F.size("offers") > 1, F.aggregate("offers", F.lit(0), lambda n, o: n + o["need"])).otherwise(0))
+    several = offers.where("turns > 0").withColumn("_order", F.struct(F.when(F.col("child_kind") == "dataset", 0).when(F.col("child_kind") == "group", 1).otherwise(2).alias("k"), F.col("child_id").alias("c")))
+    alike = ["node_id", "part", "offers"]
+    salted = Window.partitionBy(*alike, F.pmod(F.xxhash64("child_id"), F.lit(SALTS))).orderBy("_order")
+    early = several.withColumn("_n", F.row_number().over(salted)).where("_n <= turns")
+    early = early.withColumn("_n", F.row_number().over(Window.partitionBy(*alike).orderBy("_order"))).where("_n <= turns")
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<child_id:bigint,slot:string>>").alias("out"))
+
+    def turn(state: Column, x: Column) -> Column:
+        short = F.filter(x["offers"], lambda o: F.size(F.filter(state["taken"], lambda t: t == o["slot"])) < o["need"])
+        slot = F.coalesce(F.get(short, F.lit(0))["slot"], x["offers"][0]["slot"])
+        return F.struct(F.array_append(state["taken"], slot).alias("taken"), F.array_append(state["out"], F.struct(x["_order"]["c"].alias("child_id"), slot.alias("slot"))).alias("out"))
+
+    turns = early.groupBy("node_id", "part").agg(F.array_sort(F.collect_list(F.struct("_order", "offers"))).alias("all"))
+    taken = turns.select("node_id", "part", F.explode(F.aggregate("all", start, turn)["out"]).alias("t")).select("node_id", "part", "t.child_id", F.col("t.slot").alias("_taken"))
+    first = offers.withColumn("slot", F.col("offers")[0]["slot"]).select(*child, "slot")
+    return first.join(taken, ["node_id", "part", "child_id"], "left").select("node_id", F.coalesce("_taken", "slot").alias("slot"), "child_id", "child_kind", "real_id")

@@ -27,8 +27,12 @@ class Attribute:
     default: object = None
     inherited: bool = False
     overridden: bool = False
+    target_type: str | None = None  # what a reference must point to
 
     def __post_init__(self):
+        if isinstance(self.dtype, dict):  # a reference: {target_type, reftype}
+            object.__setattr__(self, "target_type", self.dtype["target_type"])
+            object.__setattr__(self, "dtype", self.dtype.get("reftype", "object"))
         if self.value is not None and self.default is not None:
             raise ValueError("a constant has no default")
         if self.dims is not None and self.shape is None:
@@ -77,6 +81,24 @@ class Spec:
     def key(self) -> str:
         return self.name or self.data_type
 
+    def of_type(self, data_type: str, kinds: tuple[str, ...] = ("group", "dataset")) -> Spec | list[Spec] | None:
+        """The part that holds a type: the only one, the unnamed one of several, or all of several named ones."""
+        found = [c for c in self.children if c.kind in kinds and c.data_type == data_type]
+        unnamed = [c for c in found if c.name is None]
+        return found[0] if len(found) == 1 else unnamed[0] if len(unnamed) == 1 else found or None
+
+    def target(self, target_type: str) -> Spec | list[Spec] | None:
+        """The same for links, by the type that they point to."""
+        return self.of_type(target_type, ("link",))
+
+    def dims_of(self, shape: tuple[int, ...]) -> tuple | None:
+        """The dimension names of the shape alternative that data of a shape fits, the one with the fewest
+        wildcards; None where none fits."""
+        several = self.shape is not None and any(isinstance(e, tuple) for e in self.shape)
+        alternatives = list(zip(self.shape, self.dims)) if several else [(self.shape, self.dims)]
+        fitting = [(sum(e is None for e in s or ()), n, d) for n, (s, d) in enumerate(alternatives) if d is not None and dtypes.shape_fits(s, shape)]
+        return min(fitting)[2] if fitting else None
+
     def paths(self, above: str = "") -> list[tuple[str, Spec]]:
         """All parts with their slash-joined names."""
         own = f"{above}/{self.key()}" if above else self.key()
@@ -120,7 +142,7 @@ def to_dict(s: Spec, keys: dict[str, str] | None = None) -> dict:
     k = {**DEFAULT_KEYS, **(keys or {})}
     out = {k["type_def"]: s.type_def, ("target_type" if s.kind == "link" else k["type_inc"]): s.type_inc, "name": s.name, "doc": s.doc, "quantity": s.quantity if s.quantity != 1 else None}
     out |= {"dtype": [{"name": n, "dtype": d} for n, d in s.fields] or s.dtype, "shape": list(s.shape) if s.shape else None, "dims": list(s.dims) if s.dims else None, "linkable": None if s.linkable else False}
-    out["attributes"] = [{x: v for x, v in (("name", a.name), ("doc", a.doc), ("dtype", a.dtype), ("shape", list(a.shape) if a.shape else None), ("required", None if a.required else False), ("value", a.value), ("default_value", a.default)) if v is not None} for a in s.attributes] or None
+    out["attributes"] = [{x: v for x, v in (("name", a.name), ("doc", a.doc), ("dtype", {"target_type": a.target_type, "reftype": a.dtype} if a.target_type else a.dtype), ("shape", list(a.shape) if a.shape else None), ("required", None if a.required else False), ("value", a.value), ("default_value", a.default)) if v is not None} for a in s.attributes] or None
     for kind, word in (("group", "groups"), ("dataset", "datasets"), ("link", "links")):
         out[word] = [to_dict(c, keys) for c in s.children if c.kind == kind] or None
     return {x: v for x, v in out.items() if v not in (None, "")}
@@ -170,6 +192,38 @@ class Catalog:
         rows = [(t, a, i) for t in self.specs for i, a in enumerate(self.hierarchy(t))]
         return spark.createDataFrame(rows, "data_type string, ancestor string, distance int")
 
+    def parts(self, spark: SparkSession) -> tuple[dict[str, DataFrame], int]:
+        """All parts of the resolved specifications as tables, and how deep parts without a type of their own nest.
+
+        A part is a type, or what a type says of one of its children (a slot), and so on downwards.
+        parts: what a node must be; attributes: what it must have; slots: which children.
+        """
+        parts, attributes, slots, deepest = [], [], [], 0
+
+        def walk(part: str, s: Spec, path: str, data_type: str | None, depth: int) -> None:
+            nonlocal deepest
+            deepest = max(deepest, depth)
+            dtype = ",".join(d for _, d in s.fields) if s.fields else s.dtype["reftype"] if isinstance(s.dtype, dict) else s.dtype
+            parts.append((part, data_type, s.kind, path, dtype, bool(s.fields), _shape_text(s.shape), None if s.shape is None else repr(s.shape)))
+            attributes.extend((part, a.name, a.dtype, a.target_type, _shape_text(a.shape), None if a.shape is None else repr(a.shape), a.required) for a in s.attributes)
+            order = {"dataset": 0, "group": 1, "link": 2}
+            for n, c in enumerate(sorted(s.children, key=lambda c: order[c.kind])):
+                own = f"{part}/{n}"
+                exact = c.quantity if isinstance(c.quantity, int) else None
+                need = exact if exact is not None else int(c.required)
+                content = c.kind != "link" and bool(c.attributes or c.children or c.dtype or c.fields or c.shape)
+                slots.append((part, n, own, c.kind, f"{path}/{c.key()}", c.name, c.data_type, str(c.quantity), exact, need, c.required, c.many, c.linkable, content))
+                if c.kind != "link":
+                    walk(own, c, f"{path}/{c.key()}", None, depth + 1)
+
+        for t in self.specs:
+            walk(t, self.resolved(t), t, t, 0)
+        return {
+            "parts": spark.createDataFrame(parts, "part string, data_type string, part_kind string, part_path string, want string, compound boolean, want_shape string, want_shape_text string"),
+            "attributes": spark.createDataFrame(attributes, "part string, attr string, want string, target_type string, want_shape string, want_shape_text string, required boolean"),
+            "slots": spark.createDataFrame(slots, "part string, slot_no int, slot string, slot_kind string, slot_path string, slot_name string, slot_type string, quantity string, exact int, need int, required boolean, many boolean, linkable boolean, content boolean"),
+        }, deepest
+
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The resolved specifications as tables: attributes and children wanted of each type."""
         attrs, kids = [], []
