@@ -90,13 +90,27 @@ def lattice(spark) -> DataFrame:
     return spark.createDataFrame(rows, "expected string, received string")
 
 
+def conversions(spark) -> DataFrame:
+    """(given, wanted, result, warns): what `convert` says of each pair of storage types; null where it refuses."""
+
+    def row(g: str, w: str) -> tuple:
+        try:
+            return (g, w, *convert(g, w))
+        except ValueError:
+            return (g, w, None, None)
+
+    return spark.createDataFrame([row(g, w) for g in STORAGE for w in STORAGE], "given string, wanted string, result string, warns boolean")
+
+
 def cast(column: Column, dtype: str, strict: bool = True) -> Column:
-    """A column as a type; out of range is an error, or null if not strict."""
+    """A column as a type; out of range is an error, or null if not strict. Unsigned types have their
+    own range, though Spark holds them in wider ones."""
     kind = spark_type(dtype)
     out = column.cast(kind) if strict else column.try_cast(kind)
-    if dtype.startswith("uint"):
-        negative = column < 0
-        out = F.when(negative, F.raise_error(F.lit(f"negative value for {dtype}")) if strict else F.lit(None)).otherwise(out)
+    family, bits = STORAGE.get(CANONICAL[dtype], ("", 0))
+    if family == "uint":
+        outside = (column < 0) | (column.cast("decimal(20,0)") > F.lit(str((1 << bits) - 1)).cast("decimal(20,0)"))
+        out = F.when(outside, F.raise_error(F.lit(f"value out of range for {dtype}")) if strict else F.lit(None)).otherwise(out)
     return out
 
 

@@ -84,6 +84,12 @@ def children(nodes: DataFrame, path: str, **where) -> DataFrame:
     return out
 
 
+def child_counts(nodes: DataFrame) -> DataFrame:
+    """All nodes that have children, with how many (n_children)."""
+    counts = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_children"))
+    return nodes.join(counts, "node_id")
+
+
 def name_clashes(nodes: DataFrame) -> DataFrame:
     """Children of one parent with the same name."""
     return nodes.groupBy("parent_id", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -47,9 +47,12 @@ def number(df: DataFrame, *order: str | Column, name: str = POS, ranges: int = R
     return out.select((F.col("__start") + F.col("__rank")).cast("long").alias(name), *df.columns)
 
 
-def number_sparse(df: DataFrame, key: str, name: str = POS, block: int = 100_000) -> DataFrame:
+def number_sparse(df: DataFrame, key: str, name: str = POS, block: int = 100_000, most: int | None = None) -> DataFrame:
     """Numbers rows by a unique whole number from 0 on that may have gaps, as positions of some rows of
-    a table have. A block of `block` values holds no more rows than that, so no quantiles are sought."""
+    a table have. A block of `block` values holds no more rows than that, so no quantiles are sought.
+    Where there are `most` rows at most, and so few that one range may hold them, they are one."""
+    if most is not None and most <= SMALL:
+        return df.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias(name), *df.columns)
     blocks = df.withColumn("__block", F.floor(F.col(key) / block))
     starts = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     counts = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))  # one row a block

@@ -47,12 +47,18 @@ def slice_by_ends(data: Column, ends: Column) -> Column:
     return F.when(F.size(ends) > 0, cut).otherwise(F.slice(F.array(data), 1, 0))
 
 
+def lengths_differ(column: str | Column) -> Column:
+    """An aggregate: whether lists differ in length."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.max(F.size(c)) > F.min(F.size(c))
+
+
 def is_ragged(df: DataFrame, column: str) -> bool:
     """Whether the lists of a column differ in length at any level."""
     level, kind = F.col(column), df.schema[column].dataType
     cells = df.select(level.alias("c"))
     while kind.typeName() == "array":
-        if cells.agg((F.max(F.size("c")) > F.min(F.size("c"))).alias("r")).first()["r"]:
+        if cells.agg(lengths_differ("c").alias("r")).first()["r"]:
             return True
         cells, kind = cells.select(F.explode("c").alias("c")), kind.elementType
     return False
@@ -90,3 +96,12 @@ def enum_join(df: DataFrame, column: str, *by: str) -> DataFrame:
 def code_width(n_elements: int) -> int:
     """Bits of the narrowest unsigned code for so many elements."""
     return next((b for b in (8, 16, 32, 64) if n_elements <= 1 << b), 64)
+
+
+def code_widths(df: DataFrame, *columns: str) -> DataFrame:
+    """(column, n_elements, bits): how wide the codes of enumerated columns have to be; one pass."""
+    counts = df.agg(*[F.count_distinct(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("n_elements")) for i, c in enumerate(columns)]
+    n = F.col("n_elements")
+    bits = F.when(n <= 1 << 8, 8).when(n <= 1 << 16, 16).when(n <= 1 << 32, 32).otherwise(64)
+    return counts.select(F.inline(F.array(*rows))).withColumn("bits", bits)

@@ -118,7 +118,7 @@ class ReferenceStore:
         refs = refs.select(POS, "entity_uri", *[F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("relative_path", "field") else F.col(c) for c in names])
         # repeats are folded first; all that follows is about distinct references
         refs = checkpoint(refs.groupBy(*names).agg(F.min_by("entity_uri", POS).alias("entity_uri"), F.min(POS).alias(POS)))
-        sizes = self.sizes()
+        sizes = self.sizes() | {"refs": refs.count()}
         entities = self._upsert(sizes, "entities", refs, ["entity_id"], ["entity_uri"])
         if not entities.where("entity_uri is null").isEmpty():
             raise ValueError("New entities must have an entity_uri.")
@@ -129,7 +129,7 @@ class ReferenceStore:
         at_object = refs.join(objects.select(F.col(POS).alias("objects_idx"), *place), place)
         known = self.object_keys.join(self.keys.withColumnRenamed(POS, "keys_idx"), "keys_idx").groupBy("objects_idx", "key").agg(F.min("keys_idx").alias("keys_idx"))
         firsts = at_object.groupBy("objects_idx", "key").agg(F.min(POS).alias(POS)).join(known.select("objects_idx", "key"), ["objects_idx", "key"], "left_anti")
-        fresh = checkpoint(_after(sizes["keys"], position.number_sparse(firsts, POS, name="_new")))
+        fresh = _after(sizes["keys"], position.number_sparse(firsts, POS, name="_new", most=sizes["refs"]))
         keys = self.keys.unionByName(fresh.select(F.col("_new").alias(POS), "key"))
         resolved = known.unionByName(fresh.select("objects_idx", "key", F.col("_new").alias("keys_idx")))
         linked = checkpoint(at_object.join(resolved, ["objects_idx", "key"]).join(entities.select(F.col(POS).alias("entities_idx"), "entity_id"), "entity_id").select(POS, "objects_idx", "keys_idx", "entities_idx"))
@@ -150,7 +150,7 @@ class ReferenceStore:
         """The table with the first row of each key that it lacks, numbered on in order."""
         held = getattr(self, name)
         first = rows.groupBy(*key).agg(F.min(POS).alias(POS), *[F.min_by(c, POS).alias(c) for c in rest])
-        lacking = position.number_sparse(first.join(held.select(*key), key, "left_anti"), POS, name="_new")
+        lacking = position.number_sparse(first.join(held.select(*key), key, "left_anti"), POS, name="_new", most=sizes["refs"])
         return held.unionByName(_after(sizes[name], lacking).select(F.col("_new").alias(POS), *[c for c in held.columns if c != POS]))
 
     def add_vocabulary(self, refs: DataFrame, vocabulary) -> tuple[ReferenceStore, DataFrame]:

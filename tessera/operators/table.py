@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.operators import position
 from tessera.operators.position import POS
@@ -90,6 +90,18 @@ class Table:
         spec = ColumnSpec(name, kind="region", target=target.name, by=(own, key))
         return replace(self, columns=(*self.columns, spec), targets={**self.targets, name: target})
 
+    @classmethod
+    def predefined(cls, spark: SparkSession, name: str, spec) -> tuple[Table, list[str]]:
+        """An empty table of a resolved table type: columns for its required datasets, and the names of the
+        optional ones, which come when they are first used."""
+        from tessera.plans.spec import compile_schema
+
+        schema = compile_schema(spec)
+        wanted = {c.name: c.required for c in spec.children if c.kind == "dataset" and c.name}
+        fields = [f for f in schema.fields if wanted[f.name]]
+        df = spark.createDataFrame([], StructType([StructField(POS, LongType()), StructField(ID, LongType()), *fields]))
+        return cls(name, df, tuple(ColumnSpec(f.name, f.metadata.get("description", "")) for f in fields)), [n for n, r in wanted.items() if not r]
+
     # what the table has
 
     @property
@@ -211,9 +223,20 @@ class Table:
         """(_pos, source): the file that each row was read from; empty for rows that no file holds."""
         return self.df.select(POS, F.input_file_name().alias("source"))
 
+    def head(self, n: int = 4) -> DataFrame:
+        """The first n rows."""
+        return self.df.where(F.col(POS) < n)
+
+    def summary(self) -> DataFrame:
+        """(place, column, kind, n_rows, n_null): one row a column, in order, `id` first."""
+        names = [ID, *self.colnames]
+        counts = self.df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"_{i}") for i, c in enumerate(names)])
+        rows = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.lit("id" if i == 0 else self.spec(c).kind).alias("kind"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"_{i}")).alias("n_null")) for i, c in enumerate(names)]
+        return counts.select(F.inline(F.array(*rows)))
+
     def preview(self, n: int = 4) -> tuple[list, str]:
         """The first n rows, and how many more there are."""
-        rows = self.df.where(F.col(POS) < n).orderBy(POS).collect()
+        rows = self.head(n).orderBy(POS).collect()
         more = len(self) - len(rows)
         return rows, "" if more <= 0 else "... and 1 more row." if more == 1 else f"... and {more} more rows."
 

@@ -120,3 +120,20 @@ def merge_config(*configs: dict) -> dict:
             held = out["namespaces"].setdefault(ns, {"data_types": {}})["data_types"]
             held.update(types["data_types"])
     return out
+
+
+def check_configured(cells: DataFrame, config: dict, vocabularies: dict[str, Vocabulary]) -> tuple[DataFrame, DataFrame]:
+    """Checks values by a configuration: `cells` has (namespace, data_type, field, value) among its columns.
+
+    Returns the cells whose value isn't a term of the vocabulary that the configuration names for their
+    field, and (namespace, data_type) of cells that it says nothing of, which deserve a warning.
+    """
+    spark = cells.sparkSession
+    found = F.broadcast(spark.createDataFrame(rules(config), "namespace string, data_type string, field string, _vocabulary string"))  # the size of the configuration
+    known = found.select("namespace", "data_type").distinct()
+    governed = cells.join(found, ["namespace", "data_type", "field"])
+    bad = [v.violations(governed.where(F.col("_vocabulary") == path), "value") for path, v in vocabularies.items()]
+    out = bad[0].select(cells.columns) if bad else cells.limit(0)
+    for b in bad[1:]:
+        out = out.unionByName(b.select(cells.columns))
+    return out, cells.select("namespace", "data_type").distinct().join(known, ["namespace", "data_type"], "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import dtypes
+from tessera.lineage import scratch
 from tessera.operators import hierarchy, nodes, position, query, ragged, region, sparse, validate
 from tessera.operators.aligned import AlignedTable
 from tessera.operators.position import POS
@@ -153,6 +154,20 @@ def islands_in(spark, sf):
     return query.compare(data, "==", ["F", "P"]).ranges()
 
 
+@registered("SELECT o_orderkey AS _pos, o_totalprice AS value, 0 AS _ord FROM orders WHERE o_totalprice > 300000")
+def query_pick(spark, sf):
+    """Elements of an array by a query over it."""
+    data = read(spark, sf, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias(POS), F.col("o_totalprice").alias("value"))
+    return query.pick(data, query.compare(data, ">", 300000.0))
+
+
+@registered("SELECT o_orderkey AS _pos, o_totalprice AS value FROM orders WHERE (o_totalprice < 50000) <> (o_orderkey < 100) AND NOT (o_totalprice >= 20000 AND o_totalprice < 30000)")
+def query_xor_not(spark, sf):
+    data = read(spark, sf, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias(POS), F.col("o_totalprice").alias("value"))
+    by_position = query.Query(data, F.col(POS) < 100)
+    return ((query.compare(data, "<", 50000.0) ^ by_position) & ~query.compare(data, "==", (20000.0, 30000.0))).rows()
+
+
 @registered(_STATUS.format("o_orderstatus <> 'O'"))
 def islands_ne(spark, sf):
     data = read(spark, sf, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias(POS), F.col("o_orderstatus").alias("value"))
@@ -171,6 +186,59 @@ def linspace_query(spark, sf):
     return space.frame(spark, space.range_of("==", (7.3, 50.0)))
 
 
+# what a table has, as tables
+
+
+@registered("SELECT o_orderkey AS _pos, o_orderkey AS id, o_custkey FROM orders")
+def to_frame_exclude(spark, sf):
+    return table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").to_frame(exclude={"o_totalprice", "o_orderstatus"})
+
+
+@registered("SELECT place, name AS \"column\", CASE WHEN place = 0 THEN 'id' ELSE 'data' END AS kind, n_rows, n_null FROM (SELECT (SELECT count(*) FROM documents) AS n_rows, * FROM (SELECT 0 AS place, 'id' AS name, CAST(0 AS BIGINT) AS n_null UNION ALL SELECT 1, 'source', count(*) - count(source) FROM documents UNION ALL SELECT 2, 'lang', count(*) - count(lang) FROM documents))")
+def table_summary(spark, sf):
+    """Columns in order, how many rows there are, and how many lack a value."""
+    t = table(spark, sf, "documents", "doc_id", "lang", "source")
+    return t.reorder(["source", "lang"]).summary()
+
+
+@registered("SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderkey < 4")
+def preview_rows(spark, sf):
+    return table(spark, sf, "orders", "o_orderkey", "o_custkey").head().drop(POS)
+
+
+@registered("SELECT 0 AS _src, CAST((o_orderkey - 10) // 3 AS INTEGER) AS _ord, o_orderkey AS id, o_custkey FROM orders WHERE o_orderkey BETWEEN 10 AND 19 AND (o_orderkey - 10) % 3 = 0")
+def create_region(spark, sf):
+    """A region made of a slice of a table's rows, and the rows behind it."""
+    orders = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    one = Table("selection", spark.range(1).select(F.lit(0).cast("long").alias(POS), F.col("id"), orders.create_region(slice(10, 20, 3)).alias("rows")), (ColumnSpec("rows", kind="region", target="orders"),))
+    return region.gather(one.bind(rows=orders), "rows").withColumn("_src", F.col("_src").cast("int"))
+
+
+@registered("SELECT o_orderkey AS _pos, 'orders.parquet' AS file FROM orders")
+def provenance(spark, sf):
+    return table(spark, sf, "orders", "o_orderkey", "o_custkey").provenance().select(POS, F.regexp_extract("source", "(orders[.]parquet)", 1).alias("file"))
+
+
+@registered("SELECT p_partkey AS _pos, p_name FROM part")
+def row_table_column(spark, sf):
+    rows = position.from_key(read(spark, sf, "part", "p_partkey", "p_name", "p_brand"), "p_partkey").drop("p_partkey")
+    return RowTable.from_frame("part", rows, ("p_name", "p_brand"))["p_name"]
+
+
+@registered("SELECT CAST(n_nationkey AS BIGINT) AS _pos, n_name AS name, CAST(n_regionkey AS INTEGER) AS code FROM nation UNION ALL SELECT CAST(25 AS BIGINT), 'ATLANTIS', 9")
+def row_table_append(spark, sf):
+    rows = read(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey").select(F.col("n_nationkey").cast("long").alias(POS), F.col("n_name").alias("name"), F.col("n_regionkey").cast("int").alias("code"))
+    return RowTable.from_frame("nation", rows, ("name", "code")).add_rows([{"name": "ATLANTIS", "code": 9}]).df
+
+
+@registered("SELECT * FROM (VALUES ('required', 'quantity'), ('required', 'price'), ('optional', 'note')) t(kind, name)")
+def predefined_columns(spark, sf):
+    """The columns of a table type: required ones are there from the start, optional ones wait."""
+    spec = Spec("group", type_def="Lines", children=(Spec("dataset", name="quantity", dtype="long"), Spec("dataset", name="price", dtype="double"), Spec("dataset", name="note", dtype="text", quantity="?")))
+    t, optional = Table.predefined(spark, "lines", spec)
+    return spark.createDataFrame([("required", c) for c in t.colnames] + [("optional", c) for c in optional], "kind string, name string")
+
+
 # regions and hierarchies
 
 
@@ -205,22 +273,48 @@ def ragged_region_resolve(spark, sf):
     return nested.select("id", F.size("orders").cast("long").alias("n"), F.array_join(F.transform("orders", lambda r: r["id"].cast("string")), ",").alias("refs"))
 
 
+def _customers_by_key(spark, sf) -> Table:
+    """Customers with their orders by key, and those with their customer's nation."""
+    nation = table(spark, sf, "nation", "n_nationkey", "n_name")
+    orders = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    customer = table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", specs=[ColumnSpec("c_name"), ColumnSpec("c_nationkey", kind="region", target="nation")])
+    return customer.bind(c_nationkey=nation).with_children(orders, "id", "o_custkey")
+
+
+@registered("SELECT c_custkey AS customer__id, c_name AS customer__c_name, c_nationkey AS customer__c_nationkey, o_orderkey AS orders__id, o_totalprice AS orders__o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey")
+def region_by_key(spark, sf):
+    return region.resolve(_customers_by_key(spark, sf), "orders").select("customer__id", "customer__c_name", "customer__c_nationkey", "orders__id", "orders__o_totalprice")
+
+
+@registered("SELECT count(*) AS n_references FROM orders")
+def region_size(spark, sf):
+    return region.cells(_customers_by_key(spark, sf), "orders").agg(F.count(F.lit(1)).alias("n_references"))
+
+
+@registered("SELECT c_custkey AS id, n_name AS nation, count(o_orderkey) AS n_orders, coalesce(sum(o_orderkey), 0) AS sum_of_ids FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+def nested_tables(spark, sf):
+    """All region cells as nested rows."""
+    rows = region.nest_all(_customers_by_key(spark, sf))
+    return rows.select("id", F.col("c_nationkey")[0]["n_name"].alias("nation"), F.size("orders").cast("long").alias("n_orders"), F.aggregate("orders", F.lit(0).cast("long"), lambda n, o: n + o["id"]).alias("sum_of_ids"))
+
+
+@registered("SELECT c_custkey AS id, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey = 7 GROUP BY c_custkey")
+def select_nested_row(spark, sf):
+    return _customers_by_key(spark, sf).get(7, nested=True).select("id", F.size("orders").cast("long").alias("n_orders"))
+
+
 @registered("SELECT CAST(count(*) AS BIGINT) AS n_dangling FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def region_integrity(spark, sf):
     return region.dangling(_orders_to_customer(spark, sf), "o_custkey").agg(F.count(F.lit(1)).alias("n_dangling"))
 
 
 def _chain(spark, sf) -> Table:
-    """region, nation, customer, orders, lineitem, each with the positions of its rows of the next."""
-    line = position.number(read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_shipdate"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    target = Table.from_frame("lineitem", line.select(POS, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), pos_col=POS)
-    below, key = target, "l_orderkey"
+    """region, nation, customer, orders, lineitem, each with the rows of the next by their key."""
+    line = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    below, key = Table("lineitem", line, tuple(ColumnSpec(c) for c in line.columns)), "l_orderkey"  # reached by key alone
     for name, own, up, column in (("orders", "o_orderkey", "o_custkey", "o_totalprice"), ("customer", "c_custkey", "c_nationkey", "c_name"), ("nation", "n_nationkey", "n_regionkey", "n_name"), ("region", "r_regionkey", None, "r_name")):
-        refs = hierarchy.region_of(below.df, key, [POS], POS, "_refs").withColumnRenamed(key, "_key")
-        rows = read(spark, sf, name, own, column, *([up] if up else [])).join(refs, F.col(own) == F.col("_key"), "left")
-        rows = rows.select(own, column, *([up] if up else []), F.coalesce("_refs", F.array().cast("array<long>")).alias(below.name))
-        below = Table.from_frame(name, rows, id_col=own, pos_col=own, columns=[ColumnSpec(column), *([ColumnSpec(up)] if up else []), ColumnSpec(below.name, kind="region", target=below.name)]).bind(**{below.name: below})
-        key = up
+        here = table(spark, sf, name, own, column, *([up] if up else []))
+        below, key = here.with_children(below, "id", key), up
     return below
 
 
@@ -274,9 +368,56 @@ def aligned_column(spark, sf):
     return _aligned(spark, sf).get("size", "n_chars")
 
 
+def _aligned_customers(spark, sf) -> AlignedTable:
+    nation = table(spark, sf, "nation", "n_nationkey", "n_name")
+    main = table(spark, sf, "customer", "c_custkey", "c_name")
+    place = table(spark, sf, "customer", "c_custkey", "c_nationkey", specs=[ColumnSpec("c_nationkey", kind="region", target="nation")]).bind(c_nationkey=nation)
+    return AlignedTable.of(main, Table("place", place.df, place.columns, targets=place.targets))
+
+
+@registered("SELECT c_custkey AS _pos, c_name AS customer__c_name, c_nationkey AS place__c_nationkey FROM customer UNION ALL SELECT (SELECT count(*) FROM customer), 'New', 3")
+def aligned_append(spark, sf):
+    """A row more in the main table and its category alike."""
+    a = _aligned_customers(spark, sf)
+    more = spark.range(1)
+    grown = a.add_rows(more.select(F.lit("New").alias("c_name")), place=more.select(F.lit(3).cast(a.categories[0].df.schema["c_nationkey"].dataType).alias("c_nationkey")))
+    return grown.to_frame(ignore_ids=True).select(POS, "customer__c_name", "place__c_nationkey")
+
+
+@registered("SELECT * FROM (VALUES ('place', 'c_nationkey', 'nation')) t(source_table, source_column, target_table)")
+def aligned_links(spark, sf):
+    return spark.createDataFrame(_aligned_customers(spark, sf).linked_tables(), "source_table string, source_column string, target_table string")
+
+
+@registered("SELECT * FROM (VALUES ('customer', 'c_name', TRUE), ('place', 'id', FALSE), ('place', 'c_nationkey', TRUE)) t(category, name, held)")
+def aligned_columns(spark, sf):
+    a = _aligned_customers(spark, sf)
+    return spark.createDataFrame([(t, c, (t, c) in a) for t, c in a.colnames()], "category string, name string, held boolean")
+
+
 # ragged and enumerated columns
 
 
+@registered("SELECT c_custkey AS id, c_name, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
+def add_ragged_column(spark, sf):
+    """A ragged column made of flat data and end offsets."""
+    flat, ends = ragged.encode(_customer_orders(spark, sf).df, "orders")
+    t = table(spark, sf, "customer", "c_custkey", "c_name").add_ragged_column(ColumnSpec("orders"), flat, ends)
+    return t.df.select("id", "c_name", F.array_join(F.col("orders").cast("array<string>"), ",").alias("orders"))
+
+
+@registered("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '|1,2|3,4,5' WHEN 1 THEN '1|2|3,4,5' ELSE '1,2||3,4,5' END AS cells FROM nation")
+def ragged_slices(spark, sf):
+    k = F.col("n_nationkey") % 3
+    cut = ragged.slice_by_ends(F.sequence(F.lit(1), F.lit(5)), F.array(k, F.lit(2), F.lit(5)))
+    return read(spark, sf, "nation", "n_nationkey").select("n_nationkey", F.array_join(F.transform(cut, lambda c: F.array_join(c.cast("array<string>"), ",")), "|").alias("cells"))
+
+
+@registered("SELECT 'event_type' AS \"column\", count(DISTINCT event_type) AS n_elements, CASE WHEN count(DISTINCT event_type) <= 256 THEN 8 WHEN count(DISTINCT event_type) <= 65536 THEN 16 ELSE 32 END AS bits FROM events UNION ALL SELECT 'event_id', count(DISTINCT event_id), CASE WHEN count(DISTINCT event_id) <= 256 THEN 8 WHEN count(DISTINCT event_id) <= 65536 THEN 16 ELSE 32 END FROM events")
+def enum_widths(spark, sf):
+    return ragged.code_widths(read(spark, sf, "events", "event_id", "event_type"), "event_type", "event_id")
+
+
 @registered("SELECT c_custkey AS _pos, CAST(sum(n) OVER (ORDER BY c_custkey) AS BIGINT) AS \"end\" FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
 def ragged_ends(spark, sf):
     return ragged.ends(_customer_orders(spark, sf).df, "orders")
@@ -290,13 +431,14 @@ def ragged_round_trip(spark, sf):
 
 @registered("SELECT count(DISTINCT n) > 1 AS ragged FROM (SELECT count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
 def is_ragged(spark, sf):
-    return spark.createDataFrame([(ragged.is_ragged(_customer_orders(spark, sf).df, "orders"),)], "ragged boolean")
+    return _customer_orders(spark, sf).df.agg(ragged.lengths_differ("orders").alias("ragged"))
 
 
 @registered("SELECT e.event_id, e.event_type, CAST(d.code AS INTEGER) AS event_type_code FROM events e JOIN (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)) d USING (event_type)")
 def enum_encode(spark, sf):
     df = read(spark, sf, "events", "event_id", "event_type")
-    return ragged.enum_encode(df, "event_type", ragged.elements_of(df, "event_type"))
+    coded = ragged.enum_encode(df, "event_type", ragged.elements_of(df, "event_type"))
+    return coded.withColumn("event_type_code", F.col("event_type_code").cast("int"))
 
 
 @registered("SELECT event_id, event_type AS decoded FROM events")
@@ -473,9 +615,7 @@ def type_closure(spark, sf):
 
 @registered("SELECT r_name AS name, count(*) AS n_children FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def tree_children(spark, sf):
-    n = _tree(spark, sf)[0]
-    kids = n.groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_children"))
-    return n.where("data_type = 'Region'").join(kids, "node_id").select("name", "n_children")
+    return nodes.child_counts(_tree(spark, sf)[0]).where("data_type = 'Region'").select("name", "n_children")
 
 
 # chunks, streams and sparse matrices
@@ -509,6 +649,48 @@ def latest_chunk_wins(spark, sf):
     return ingest.latest(e.select(F.col("user_id").alias(POS), F.col("event_id").alias("_batch"), "event_type"))
 
 
+@registered("SELECT o_orderstatus AS status, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_orderstatus")
+def fold(spark, sf):
+    """A user's fold over batches: partial results, then one merge for each key."""
+    rows = read(spark, sf, "orders", "o_orderkey", "o_orderstatus").withColumnRenamed("o_orderstatus", "status")
+    partial = lambda f: f.groupby("status", as_index=False).agg(n=("o_orderkey", "size"), keys=("o_orderkey", "sum"))
+    merge = lambda f: f.groupby("status", as_index=False).sum()
+    return ingest.process(rows, partial, merge, "status string, n long, keys long", "status")
+
+
+@registered("SELECT max(event_id) + 1 AS length FROM events")
+def chunk_extent(spark, sf):
+    return ingest.extent(read(spark, sf, "events", "event_id").select(F.col("event_id").alias(POS)))
+
+
+def _tile_value(bounds):
+    import numpy as np
+
+    (a, b), (c, d) = bounds
+    return np.add.outer(1000 * np.arange(a, b), np.arange(c, d))
+
+
+@registered("SELECT i // 10 AS tile_row, j // 20 AS tile_col, count(*) AS n, CAST(sum(1000 * i + j) AS DOUBLE) AS total FROM range(37) a(i), range(50) b(j) GROUP BY ALL")
+def array_tiles(spark, sf):
+    """An N-d array read in tiles, one partition each."""
+    spark.dataSource.register(chunks.source_of(_tile_value))
+    cells = spark.read.format("array_tiles").option("shape", "37,50").option("tile", "10,20").load()
+    return cells.groupBy(F.col("tile")[0].alias("tile_row"), F.col("tile")[1].alias("tile_col")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@registered("SELECT user_id AS _pos, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def streamed_chunks(spark, sf):
+    """Two streams of chunks drained side by side into one target each; the last write of a position wins."""
+    folder = scratch(spark, "stream")
+    e = read(spark, sf, "events", "event_id", "user_id", "event_type").select(F.col("user_id").alias(POS), "event_id", "event_type")
+    for half in (0, 1):
+        e.where(F.col(POS) % 2 == half).write.parquet(f"{folder}/in{half}")
+    stream = lambda half: spark.readStream.schema(e.schema).parquet(f"{folder}/in{half}")
+    ingest.exhaust(spark, [lambda half=half: ingest.write_chunks(stream(half), f"{folder}/out{half}", f"{folder}/log{half}") for half in (0, 1)])
+    both = ingest.read_chunks(spark, f"{folder}/out0").unionByName(ingest.read_chunks(spark, f"{folder}/out1"))
+    return ingest.latest(both.drop("_batch"), "event_id")
+
+
 _CSR = "WITH c AS (SELECT c_nationkey AS r, c_custkey % 7 AS c, count(*) AS v FROM customer GROUP BY ALL) "
 
 
@@ -523,3 +705,18 @@ def csr_build(spark, sf):
 def sparse_multiply(spark, sf):
     cells = read(spark, sf, "customer", "c_custkey", "c_nationkey").groupBy(F.col("c_nationkey").cast("long").alias("row"), F.pmod("c_custkey", F.lit(7)).cast("long").alias("col")).agg(F.count(F.lit(1)).alias("value"))
     return sparse.multiply(cells, cells.select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
+
+
+@registered("SELECT CAST(c_nationkey AS BIGINT) AS row, CAST(c AS BIGINT) AS col, v AS value FROM (SELECT c_nationkey, c_custkey % 3 AS c, count(*) AS v FROM customer GROUP BY ALL)")
+def sparse_from_dense(spark, sf):
+    """The non-zero cells of rows held as arrays."""
+    k = F.pmod("c_custkey", F.lit(3))
+    dense = read(spark, sf, "customer", "c_custkey", "c_nationkey").groupBy(F.col("c_nationkey").cast("long").alias(POS)).agg(F.array(*[F.count(F.when(k == i, 1)) for i in range(3)]).alias("v"))
+    return sparse.from_dense(dense, "v")
+
+
+@registered(_CSR + "SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, v AS value FROM c")
+def sparse_round_trip(spark, sf):
+    """Cells as compressed rows and back."""
+    cells = read(spark, sf, "customer", "c_custkey", "c_nationkey").groupBy(F.col("c_nationkey").cast("long").alias("row"), F.pmod("c_custkey", F.lit(7)).cast("long").alias("col")).agg(F.count(F.lit(1)).alias("value"))
+    return sparse.to_cells(sparse.csr_rows(cells, 25))

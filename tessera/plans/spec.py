@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from tessera.functions import dtypes
 
 MANY = ("*", "+")
+#: Quantities in words.
+QUANTITIES = {"zero_or_one": "?", "zero_or_many": "*", "one_or_many": "+"}
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,7 @@ class Spec:
     overridden: bool = False
 
     def __post_init__(self):
+        object.__setattr__(self, "quantity", QUANTITIES.get(self.quantity, self.quantity))
         if self.name is None and self.type_def is None and self.type_inc is None:
             raise ValueError("a specification needs a name or a type")
         if self.name is not None and self.quantity in MANY:
@@ -321,6 +324,85 @@ class NamespaceCatalog:
         Path(folder, f"{name}.namespace.yaml").write_text(yaml.safe_dump({"namespaces": [head]}, sort_keys=False))
 
 
+@dataclass
+class NamespaceBuilder:
+    """Authoring of a namespace: its types by source file, and what it includes of others."""
+
+    name: str
+    version: str
+    doc: str = ""
+    author: str = ""
+    sources: dict[str, list[Spec]] = field(default_factory=dict)
+    included: list[tuple[str, str | None]] = field(default_factory=list)  # (namespace, type or None for all)
+
+    def __post_init__(self):
+        if not self.version:
+            raise ValueError("a namespace needs a version")
+
+    def add_source(self, source: str) -> None:
+        self.sources.setdefault(source, [])
+
+    def add_spec(self, source: str, spec: Spec) -> None:
+        if spec.type_def is None:
+            raise ValueError("only a specification that defines a type can be added")
+        self.sources.setdefault(source, []).append(spec)
+
+    def include_type(self, data_type: str, namespace: str) -> None:
+        self.included.append((namespace, data_type))
+
+    def include_namespace(self, namespace: str) -> None:
+        self.included.append((namespace, None))
+
+    def export(self, folder: str) -> str:
+        """Writes a file for each source and the namespace file, whose path it returns."""
+        import yaml
+
+        schema: list[dict] = []
+        for ns in dict.fromkeys(n for n, _ in self.included):
+            types = [t for n, t in self.included if n == ns]
+            schema.append({"namespace": ns} if None in types else {"namespace": ns, "data_types": types})
+        for source, specs in self.sources.items():
+            words = {"group": "groups", "dataset": "datasets"}
+            doc = {word: [to_dict(s.own_parts()) for s in specs if s.kind == kind] for kind, word in words.items()}
+            Path(folder, source).write_text(yaml.safe_dump({k: v for k, v in doc.items() if v}, sort_keys=False))
+            schema.append({"source": source})
+        path = Path(folder, f"{self.name}.namespace.yaml")
+        head = {"name": self.name, "version": self.version, "doc": self.doc, "author": self.author, "schema": schema}
+        path.write_text(yaml.safe_dump({"namespaces": [head]}, sort_keys=False))
+        return str(path)
+
+
+def problems(d: dict, kind: str = "group", keys: dict[str, str] | None = None, path: str = "") -> list[str]:
+    """What is wrong with the structure of a specification as a dict, each with where it stands."""
+    k = {**DEFAULT_KEYS, **(keys or {})}
+    here = f"{path}/{d.get('name') or d.get(k['type_def']) or d.get(k['type_inc']) or d.get('target_type') or '?'}"
+    out = []
+    if not any(d.get(x) for x in ("name", k["type_def"], k["type_inc"], "target_type")):
+        out.append(f"{here}: neither a name nor a type")
+    if not isinstance(d.get("doc"), str):
+        out.append(f"{here}: no doc")
+    if kind == "link" and not d.get("target_type"):
+        out.append(f"{here}: a link without a target_type")
+    quantity = d.get("quantity", 1)
+    if quantity not in ("?", "*", "+", *QUANTITIES) and not (isinstance(quantity, int) and quantity > 0):
+        out.append(f"{here}: quantity {quantity!r}")
+    for a in d.get("attributes", ()):
+        if not a.get("name"):
+            out.append(f"{here}: an attribute without a name")
+        dtype = a.get("dtype")
+        if isinstance(dtype, str) and dtype not in dtypes.CANONICAL or isinstance(dtype, dict) and "target_type" not in dtype:
+            out.append(f"{here}.{a.get('name')}: dtype {dtype!r}")
+    dtype = d.get("dtype")
+    if isinstance(dtype, str) and dtype not in dtypes.CANONICAL:
+        out.append(f"{here}: dtype {dtype!r}")
+    for inner, word in (("group", "groups"), ("dataset", "datasets"), ("link", "links")):
+        if kind == "dataset" and d.get(word):
+            out.append(f"{here}: a dataset with {word}")
+        for c in d.get(word, ()):
+            out += problems(c, inner, keys, here)
+    return out
+
+
 def latest_versions(specs: DataFrame) -> DataFrame:
     """Of rows (namespace, version, ...) those of the last version by text order; `unversioned` and
     `None` count only where there is no other."""

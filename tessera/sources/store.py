@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera.operators import nodes as N
 from tessera.plans.spec import Namespace, from_dict, latest_versions, to_dict
 
+#: The writer's names of gzip levels 0 to 9.
+GZIP_LEVELS = ["NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION"]
 #: Mode letters and what they mean for an existing store.
 MODES = {"w": "overwrite", "w-": "error", "x": "error", "a": "append", "r": None, "r+": "append"}
 
@@ -24,7 +26,7 @@ def write_options(compression: str = "snappy", level: int | None = None, row_gro
         raise ValueError(f"{compression} has no level {level}")
     out = {"compression": compression}
     if level is not None:
-        out["parquet.compression.codec.zstd.level" if compression == "zstd" else "zlib.compress.level"] = str(level)
+        out |= {"parquet.compression.codec.zstd.level": str(level)} if compression == "zstd" else {"zlib.compress.level": GZIP_LEVELS[level]}
     if row_group_bytes:
         out["parquet.block.size"] = str(row_group_bytes)
     return out | ({"_partitions": partitions} if partitions else {})
@@ -37,6 +39,7 @@ class Store:
         if mode not in MODES:
             raise ValueError(f"mode is one of {sorted(MODES)}")
         self.spark, self.uri, self.mode = spark, uri.rstrip("/"), mode
+        self.options: dict[str, dict] = {}
         if mode in ("r", "r+") and not self.exists():
             raise FileNotFoundError(uri)
         if mode in ("w-", "x") and self.exists():
@@ -47,6 +50,10 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.uri}/nodes")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def set_options(self, path: str, **options) -> None:
+        """Writer options of one dataset (see `write_options`), in place of those given for all."""
+        self.options[path] = write_options(**options)
+
     def _readable(self):
         if self.mode in ("w", "w-", "x"):
             raise ValueError(f"a store opened with {self.mode} can't be read")
@@ -63,7 +70,7 @@ class Store:
         self._write(nodes, "nodes")
         self._write(attrs, "attrs")
         for path, df in (datasets or {}).items():
-            self._write(df, f"data{path}", options)
+            self._write(df, f"data{path}", self.options.get(path, options))
         if namespaces:
             self.write_specs(namespaces)
 
@@ -103,14 +110,36 @@ class Store:
         """Copies the whole hierarchy, ids included; links stay links unless expanded."""
         nodes = self.nodes()
         target.write(N.materialise_links(nodes) if expand_links else nodes, self.attrs())
-        for r in nodes.where("kind = 'dataset'").select("path").toLocalIterator():
-            if self.has_data(r["path"]):
-                target._write(self.spark.read.parquet(f"{self.uri}/data{r['path']}"), f"data{r['path']}")
-        if expand_links:
-            for r in N.resolve_links(nodes).where("target_path is not null").select("path", "target_path").toLocalIterator():
-                if self.has_data(r["target_path"]):
-                    target._write(self.spark.read.parquet(f"{self.uri}/data{r['target_path']}"), f"data{r['path']}")
-
-    def has_data(self, path: str) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/data{path}")
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        held = self.data_paths()
+        for path in held:
+            target._write(self.spark.read.parquet(f"{self.uri}/data{path}"), f"data{path}")
+        if expand_links and held:
+            links = N.resolve_links(nodes).select("path", "target_path").where(F.col("target_path").isin(held))
+            for r in links.toLocalIterator():
+                target._write(self.spark.read.parquet(f"{self.uri}/data{r['target_path']}"), f"data{r['path']}")
+
+    def link_references(self, references) -> None:
+        """Keeps a reference store with the hierarchy."""
+        if self.mode == "r":
+            raise ValueError("the store is open for reading")
+        references.write(f"{self.uri}/references")
+
+    def linked_references(self):
+        """The reference store that is kept with the hierarchy."""
+        from tessera.operators.references import ReferenceStore
+
+        self._readable()
+        return ReferenceStore.read(self.spark, f"{self.uri}/references")
+
+    def data_paths(self) -> list[str]:
+        """The paths of datasets whose data is in the store."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/data")
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(top):
+            return []
+        root, found, files = str(fs.getFileStatus(top).getPath().toString()), set(), fs.listFiles(top, True)
+        while files.hasNext():
+            path = files.next().getPath()
+            if path.getName().startswith("part-"):
+                found.add(path.getParent().toString().removeprefix(root))
+        return sorted(found)

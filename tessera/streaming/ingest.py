@@ -38,6 +38,21 @@ def extent(chunks: DataFrame) -> DataFrame:
     return chunks.agg((F.max(POS) + 1).alias("length"))
 
 
+def exhaust(spark: SparkSession, starts: list[Callable], concurrent: bool = True) -> None:
+    """Drains several chunk streams: side by side in scheduler pools of their own, which share the
+    executors in turn, or one after the other."""
+    running = []
+    for n, start in enumerate(starts):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"drain-{n}" if concurrent else None)
+        query = start()
+        if concurrent:
+            running.append(query)
+        else:
+            query.awaitTermination()
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+    drain(*running)
+
+
 def drain(*queries) -> None:
     """Waits for queries that run side by side."""
     for q in queries:
