@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import oracles
+
 N_SHARDS = 8
 
 
@@ -95,4 +97,4 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_lm": op3_lm, "op5_fmindex": op5_fmindex, "op2_suffixes": op2_suffixes, "op10_html": op10_html, "op8_decontaminate": op8_decontaminate, "op7_langid": op7_langid, "op4_simhash": op4_simhash, "op9_media": op9_media, "op6_bpe": op6_bpe, "op1_sharding": op1_sharding}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_sharding": oracles.SHARDING, "op2_suffixes": oracles.SUFFIXES, "op5_fmindex": oracles.FM_INDEX}
