@@ -2,9 +2,10 @@
 
 Payload bytes become 8-bit grey frames, each a lossless JPEG (ITU-T T.81 annex H: predictor 1,
 Huffman-coded differences, one restart interval a row), in a RIFF AVI with an `idx1` index. The
-reader walks the RIFF tree, finds frames through the index, and decodes all rows of all frames
-of a batch side by side, one sample of each at a time. Shots are cut where the grey histogram
-changes by more than is usual around it.
+reader walks the RIFF tree, finds frames through the index, and decodes all rows of all such frames
+of a batch side by side, one sample of each at a time. Baseline frames, which cameras and other
+writers make, are decoded one by one (see `jpeg`). Shots are cut where the grey histogram changes by
+more than is usual around it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import jpeg
 from tessera.llm import text as T
 
 SIDE, FPS = 24, 25
@@ -156,11 +158,9 @@ def _tables(head: bytes):
         if marker == 0xC3:
             precision, height, width, parts = struct.unpack_from(">BHHB", body)
             if precision != 8 or parts != 1:
-                raise ValueError("only grey frames of 8 bits are read")
-        elif 0xC0 <= marker <= 0xCF and marker != 0xC4:
-            raise ValueError("only lossless (SOF3) frames are read")
+                raise ValueError("lossless frames must be grey and of 8 bits")
         elif marker == 0xDD and struct.unpack(">H", body)[0] != width and width:
-            raise ValueError("a restart interval must be a row")
+            raise ValueError("a lossless frame's restart interval must be a row")
         elif marker == 0xC4:
             symbol, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
             code, k = 0, 17
@@ -171,16 +171,34 @@ def _tables(head: bytes):
                     code, k = code + 1, k + 1
                 code <<= 1
         elif marker == 0xDA and body[3] != 1:
-            raise ValueError("only predictor 1 is read")
+            raise ValueError("lossless frames must have predictor 1")
         at += 2 + size
     return width, height, symbol, length
 
 
+def _kind(frame: bytes) -> int:
+    """The marker of a frame's coding process (0xC0 to 0xCF), 0 if there is none."""
+    at = 2
+    while at + 4 <= len(frame) and frame[at] == 0xFF and frame[at + 1] != 0xDA:
+        if 0xC0 <= frame[at + 1] <= 0xCF and frame[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return frame[at + 1]
+        at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
+    return 0
+
+
+def grey(pixels: np.ndarray) -> np.ndarray:
+    """Frames of three colours as their luma; grey ones as they are."""
+    return np.rint(pixels @ np.array([0.299, 0.587, 0.114])).astype(np.uint8) if pixels.ndim == 4 else pixels
+
+
 def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
-    """The samples of each frame, height x width."""
+    """The samples of each frame, height x width (x 3 for frames in colour)."""
     out: list = [None] * len(frames)
     by_head: dict[bytes, list[int]] = {}
     for i, f in enumerate(frames):
+        if _kind(f) != 0xC3:
+            out[i] = jpeg.decode(f)
+            continue
         end = f.index(b"\xff\xda")
         by_head.setdefault(f[: end + 2 + struct.unpack_from(">H", f, end + 2)[0]], []).append(i)
     for head, members in by_head.items():
@@ -265,7 +283,10 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row a shot: (id, clip, first_frame, n_frames, start_s, end_s, mean_level). Null media have none."""
+    """One row a shot: (id, clip, first_frame, n_frames, start_s, end_s, mean_level). Null media have none.
+
+    Frames are baseline JPEG, grey or in colour, or lossless as `store` makes them; frames of one clip
+    have one size. Others are an error."""
     rows = df.where(F.col(media_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -273,7 +294,7 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
         for batch in batches:
             for i, media in enumerate(batch.column("media")):
                 fps, frames = read_avi(media.as_py())
-                pixels = np.array(decode_frames(frames))
+                pixels = grey(np.array(decode_frames(frames)))
                 found = shots(pixels)
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, fmindex, html, langid, lm, media, sharding, simhash, suffixes
+from tessera.llm import bpe, decontaminate, fmindex, html, jpeg, langid, lm, media, sharding, simhash, suffixes
 from tessera.llm import text as T
 from tessera.llm.graph import components
 
@@ -509,6 +509,130 @@ def test_frames_are_lossless(data, size):
     assert fps == 25 and (np.array(media.decode_frames(frames)).ravel() == x).all()
 
 
+class BaselineWriter:
+    """A plain baseline encoder with the standard tables, for tests."""
+
+    def __init__(self):
+        self.bits = []
+        self.codes = {}
+        for name, (counts, symbols) in jpeg.STANDARD.items():
+            code = at = 0
+            for n, count in enumerate(counts, 1):
+                for _ in range(count):
+                    self.codes[*name, symbols[at]] = format(code, f"0{n}b")
+                    code, at = code + 1, at + 1
+                code <<= 1
+
+    def number(self, v):
+        size = int(abs(v)).bit_length()
+        return size, format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def block(self, pixels, before, table, quant):
+        c = np.rint(jpeg.COSINES @ (pixels.astype(float) - 128) @ jpeg.COSINES.T / quant).astype(int).ravel()[jpeg.ZIGZAG].tolist()
+        size, text = self.number(c[0] - before)
+        self.bits.append(self.codes[0, table, size] + text)
+        run = 0
+        for v in c[1:]:
+            if v == 0:
+                run += 1
+                continue
+            while run > 15:
+                self.bits.append(self.codes[1, table, 0xF0])
+                run -= 16
+            size, text = self.number(v)
+            self.bits.append(self.codes[1, table, run * 16 + size] + text)
+            run = 0
+        if run:
+            self.bits.append(self.codes[1, table, 0])
+        return c[0]
+
+    def flush(self):
+        text = "".join(self.bits)
+        text += "1" * (-len(text) % 8)
+        self.bits = []
+        return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\x00")
+
+    def frame(self, planes, factors, width, height, restart=0, quant=1, tables=True):
+        """planes: full-size components; factors: sampling of each."""
+        segment = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+        out = b"\xff\xd8" + segment(0xFE, b"comment") + segment(0xDB, b"\0" + bytes([quant] * 64))
+        if tables:
+            for (kind, n), (counts, symbols) in jpeg.STANDARD.items():
+                out += segment(0xC4, bytes([kind * 16 + n]) + counts + symbols)
+        if restart:
+            out += segment(0xDD, restart.to_bytes(2, "big"))
+        parts = len(planes)
+        out += segment(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([parts]) + b"".join(bytes([k + 1, h * 16 + v, 0]) for k, (h, v) in enumerate(factors)))
+        out += segment(0xDA, bytes([parts]) + b"".join(bytes([k + 1, 17 * (k > 0)]) for k in range(parts)) + bytes([0, 63, 0]))
+        across, down = max(h for h, _ in factors), max(v for _, v in factors)
+        columns, lines = -(-width // (8 * across)), -(-height // (8 * down))
+        scaled = []
+        for p, (h, v) in zip(planes, factors):
+            full = np.pad(p, ((0, lines * 8 * down - height), (0, columns * 8 * across - width)), mode="edge").astype(float)
+            scaled.append(full.reshape(lines * 8 * v, down // v, columns * 8 * h, across // h).mean((1, 3)))
+        last, marks = [0] * parts, 0
+        for unit in range(lines * columns):
+            if restart and unit and unit % restart == 0:
+                out += self.flush() + bytes([0xFF, 0xD0 + marks % 8])
+                last, marks = [0] * parts, marks + 1
+            line, column = divmod(unit, columns)
+            for k, (h, v) in enumerate(factors):
+                for y in range(v):
+                    for x in range(h):
+                        a, b = (line * v + y) * 8, (column * h + x) * 8
+                        last[k] = self.block(scaled[k][a : a + 8, b : b + 8], last[k], int(k > 0), quant)
+        return out + self.flush() + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("size", "restart", "tables"), [((16, 16), 0, True), ((37, 21), 2, True), ((8, 40), 1, False)])
+def test_baseline_frames_in_grey(size, restart, tables):
+    w, h = size
+    rng = np.random.default_rng(w)
+    pixels = rng.integers(0, 256, (h, w)).astype(np.uint8)
+    got = jpeg.decode(BaselineWriter().frame([pixels], [(1, 1)], w, h, restart, tables=tables))
+    assert got.shape == (h, w) and np.abs(got.astype(int) - pixels).max() <= 2
+
+
+@pytest.mark.parametrize("factors", [[(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 1), (1, 1), (1, 1)]])
+def test_baseline_frames_in_colour(factors):
+    w, h = 45, 30
+    x, y = np.meshgrid(np.arange(w), np.arange(h))
+    rgb = np.stack([2 * x + 40, 3 * y + 60, 200 - x - y], axis=-1).astype(float)
+    luma = rgb @ [0.299, 0.587, 0.114]
+    planes = [luma, 128 + (rgb[..., 2] - luma) / 1.772, 128 + (rgb[..., 0] - luma) / 1.402]
+    got = jpeg.decode(BaselineWriter().frame(planes, factors, w, h, restart=3))
+    assert got.shape == (h, w, 3) and np.abs(got - rgb).max() <= 6
+
+
+def test_clips_of_a_camera(spark):
+    """Baseline colour frames in an AVI: two scenes, cut where they change."""
+    make = lambda level: BaselineWriter().frame([np.full((16, 24), level), np.full((16, 24), 100), np.full((16, 24), 150)], [(2, 2), (1, 1), (1, 1)], 24, 16)
+    film = media.to_avi([make(40)] * 6 + [make(200)] * 5, 24, 16, fps=10)
+    df = spark.createDataFrame([(1, film), (2, None), (1, film)], "doc_id long, media binary")
+    rows = media.clips(df).orderBy("doc_id", "clip").collect()
+    assert [(r["clip"], r["first_frame"], r["n_frames"], r["end_s"]) for r in rows] == [(0, 0, 6, 0.6)] * 2 + [(1, 6, 5, 1.1)] * 2
+    with pytest.raises(ValueError):
+        jpeg.decode(make(1).replace(b"\xff\xc0", b"\xff\xc2"))
+
+
+def test_stored_form_and_feature(docs, rows):
+    """media_bytes and media_sha256 are those of the stored column; equal texts have equal values."""
+    stored = media.store(docs)
+    held = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    got = {r["doc_id"]: r for r in media.read_back(stored).collect()}
+    text = {i: t or "" for i, t, *_ in rows}
+    by_text = {}
+    for i, r in got.items():
+        assert (r["media_bytes"], r["media_sha256"]) == (len(held[i]), hashlib.sha256(held[i]).hexdigest())
+        _, frames = media.read_avi(held[i])
+        pixels = np.array(media.decode_frames(frames))
+        assert pixels.tobytes() == text[i].encode().ljust(max(1, -(-len(text[i].encode()) // 576)) * 576, b"\xff")
+        cuts = media.shots(pixels)
+        want = f"{len(frames)} frames, {len(cuts)} shots: " + ";".join(f"{a}-{b - 1}@{a / 25:.2f}s,{int(pixels[a:b].sum(dtype=np.int64) // pixels[a:b].size)}" for a, b in cuts)
+        assert r["feature"] == want
+        assert by_text.setdefault(text[i], (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
+
+
 def test_media(docs, rows):
     stored = media.store(docs)
     got = {r["doc_id"]: r for r in media.read_back(stored).collect()}
