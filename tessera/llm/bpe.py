@@ -210,7 +210,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     one row for each row of `df`, repeated ids included. A null text is an empty one and has no
     tokens; other columns are left out. An empty table gives an empty one.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     out_schema = f"id {id_type}, {DIGESTS if digests else VALUES}"
     fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
@@ -240,13 +240,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
         for batch in batches:
-            for i, row, text in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text"))):
+            for i, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("id", "h1", "h2", "text"))):
                 if _is_long(text, split_words(text), long_text, long_word):
                     parts = list(codec.units(text, long_text, long_word)) or [("words", -1, "")]
                     n = len(parts)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i] * n, batch.column("id").type), pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.string())],
-                        ["id", "row", "part", "piece", "unit"],
+                        [pa.array([i] * n, batch.column("id").type), pa.array([h1] * n, pa.int64()), pa.array([h2] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.string())],
+                        ["id", "h1", "h2", "part", "piece", "unit"],
                     )
 
     def encode_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     out.append(codec.tokenize(unit))
                 else:
                     out.append(codec.ids_of(split_words(unit)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "part", "piece")), pa.array(out, pa.list_(pa.int32()))], ["id", "row", "part", "piece", "ids"])
+            keep = ["id", "h1", "h2", "part", "piece", "copies"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.int32()))], [*keep, "ids"])
 
     def assemble(table: pa.Table) -> pa.Table:
         codec = Codec.load(path)
@@ -275,12 +276,16 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         total += codec.concatenate(leaves)
         decoded = codec.decode(total)
         values = [len(total), _sha(" ".join([codec.spelt[i] for i in total])), _sha(decoded)] if digests else [total, decoded]
-        return pa.Table.from_batches([_batch([table.column("id").slice(0, 1).combine_chunks(), *([v] for v in values)], ["id", *fields], digests)])
+        one = pa.Table.from_batches([_batch([table.column("id").slice(0, 1).combine_chunks(), *([v] for v in values)], ["id", *fields], digests)])
+        return one.take(pa.array([0] * table.column("copies")[0].as_py()))
 
     whole = rows.select("id", "text").mapInArrow(short, out_schema)
-    parts = rows.where(F.length("text") > min(long_text, long_word)).mapInArrow(cut, f"id {id_type}, row long, part int, piece int, unit string")
-    coded = parts.repartition("row", "part").mapInArrow(encode_units, f"id {id_type}, row long, part int, piece int, ids array<int>")
-    return whole.unionByName(coded.groupBy("row").applyInArrow(assemble, out_schema)).withColumnRenamed("id", id_col)
+    # equal rows are one here, told apart by 96 bits of hashes that don't change when a task runs again
+    keyed = rows.where(F.length("text") > min(long_text, long_word)).select("id", "text", F.xxhash64("id", "text").alias("h1"), F.hash("text", "id").alias("h2"))
+    parts = keyed.mapInArrow(cut, f"id {id_type}, h1 long, h2 int, part int, piece int, unit string")
+    parts = parts.groupBy("h1", "h2", "part").agg(F.first("id").alias("id"), F.first("piece").alias("piece"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"))
+    coded = parts.mapInArrow(encode_units, f"id {id_type}, h1 long, h2 int, part int, piece int, copies long, ids array<int>")
+    return whole.unionByName(coded.groupBy("h1", "h2").applyInArrow(assemble, out_schema)).withColumnRenamed("id", id_col)
 
 
 def _batch(columns: list, names: list[str], digests: bool) -> pa.RecordBatch:

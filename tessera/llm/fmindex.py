@@ -38,7 +38,7 @@ class WaveletMatrix:
             padded = np.zeros((n // 64 + 1) * 64, np.uint8)
             padded[:n] = bit
             words = np.packbits(padded, bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]])
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.int32)
             self.levels.append((words, before))
             self.zeros.append(n - int(bit.sum()))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
@@ -65,7 +65,7 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, weight: np.ndarray, n_symbols: int, reach: int, first: int):
-        self.text = text
+        self.text = text.astype(np.int32)
         n = len(text)
         rank = text.astype(np.int64)
         span, self.first = 1, 1
@@ -79,11 +79,11 @@ class FMIndex:
                 look_up, self.first = rank, span
         suffixes = np.argsort(rank, kind="stable")
         self.total = np.concatenate([[0], np.cumsum(weight[suffixes])])
-        self.group = look_up
+        self.group = look_up.astype(np.int32)
         groups = look_up[suffixes]
         self.edges = np.searchsorted(groups, np.arange(int(groups.max(initial=0)) + 2)) if n else np.zeros(2, np.int64)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])[:-1]
-        self.breaks = np.concatenate([[0], np.cumsum(text == 0)])  # a pattern holds no separator
+        self.breaks = np.concatenate([[0], np.cumsum(text == 0)]).astype(np.int32)  # a pattern holds no separator
         self.matrix = WaveletMatrix(text[suffixes - 1], n_symbols)  # text[-1] is a separator
 
     def begin(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from tessera.llm import blocks as B
 from tessera.llm import text as T
 
 ORDERS = (3, 4)
@@ -106,7 +108,7 @@ def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     return Model([k for k, _ in found], np.array(logs, np.float32))
 
 
-def mixtures(model: Model, data: np.ndarray, off: np.ndarray, rounds: int, penalty: float, most: int) -> np.ndarray:
+def mixtures(model: Model, data: np.ndarray, off: np.ndarray, rounds: int, penalty: float) -> np.ndarray:
     """Proportions of the languages in each document; zero for those not selected.
 
     Languages join a document's set in order of their share in the full mixture, as long as the
@@ -135,16 +137,15 @@ def mixtures(model: Model, data: np.ndarray, off: np.ndarray, rounds: int, penal
     mixed = np.flatnonzero(most_gain > penalty * np.log1p(n))
     if len(mixed):
         words = T.expand(first[mixed], np.diff(first)[mixed])
-        pi[:, mixed] = _select(single[:, mixed], p[:, words].astype(np.float32), top[words], n[mixed], rounds, penalty, most)
+        pi[:, mixed] = _select(single[:, mixed], p[:, words].astype(np.float32), top[words], n[mixed], rounds, penalty)
     return pi
 
 
-def _select(single, p, top, n, rounds: int, penalty: float, most: int) -> np.ndarray:
+def _select(single, p, top, n, rounds: int, penalty: float) -> np.ndarray:
     """Proportions within the chosen set of languages of documents that may have several; n are their
     numbers of words, one at least."""
     n_lang, n_docs = single.shape
     starts = np.cumsum(n) - n
-    allowed = np.argsort(np.argsort(-single, axis=0), axis=0) < most
 
     def fit(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pi = mask / np.maximum(mask.sum(0), 1)
@@ -156,13 +157,13 @@ def _select(single, p, top, n, rounds: int, penalty: float, most: int) -> np.nda
         mixed = (np.repeat(pi.astype(np.float32), n, axis=1) * p).sum(0, dtype=np.float64)
         return pi, np.add.reduceat(np.log(np.maximum(mixed, 1e-300)) + top, starts)
 
-    share, _ = fit(allowed)
+    share, _ = fit(np.ones((n_lang, n_docs), bool))
     order = np.argsort(-share, axis=0, kind="stable")
     chosen = np.zeros((n_lang, n_docs), bool)
     chosen[single.argmax(0), np.arange(n_docs)] = True
     pi, score = chosen.astype(float), single.max(0)
     growing = np.ones(n_docs, bool)
-    for rank in range(min(most, n_lang)):
+    for rank in range(n_lang):
         wider = chosen.copy()
         wider[order[rank], np.arange(n_docs)] = True
         if (same := (wider == chosen).all(0)).all():
@@ -176,26 +177,25 @@ def _select(single, p, top, n, rounds: int, penalty: float, most: int) -> np.nda
     return pi
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, penalty: float = 3.0, most: int = 6) -> DataFrame:
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8, penalty: float = 3.0) -> DataFrame:
     """Adds lang_pred, score and lang_mix to all columns of `df`.
 
     lang_pred is the language of the largest proportion, score that proportion, lang_mix the
     selected languages with their proportions. A text that is null or has no letter gets `und`
-    and score 0. At most the `most` languages of best likelihood compete within a document.
-    Columns of the three names are replaced; repeated rows stay.
+    and score 0. All languages compete within a document. Columns of the three names are replaced; repeated rows stay.
     """
-    df = df.drop("lang_pred", "score", "lang_mix")
+    df = df.select(*(f"`{c}`" for c in df.columns if c not in ("lang_pred", "score", "lang_mix")))
+    rows = df.select(df[f"`{text_col}`"].alias("text"), B.folded(df).alias("row"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x a fixed number of buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            data, off = T.text_bytes(texts)
+            data, off = T.text_bytes(batch.column("text"))
             for i, j in T.doc_slices(off):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                pi = mixtures(model, part, o, rounds, penalty, most) if model.languages else np.zeros((1, j - i))
+                pi = mixtures(model, part, o, rounds, penalty) if model.languages else np.zeros((1, j - i))
                 plain = np.concatenate([[0], np.cumsum(_LETTER[part] & (part < 128))])
                 letters = plain[o[1:]] > plain[o[:-1]]
                 for d in np.flatnonzero(~letters & (np.diff(o) > 0)):
@@ -204,14 +204,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 pred = np.where(known, pi.argmax(0), len(names) - 1)
                 score = np.where(known, np.clip(pi.max(0), 0, 1), 0.0)
                 mix = ["" if not k else ",".join(f"{names[x]}:{pi[x, d]:.3f}" for x in np.argsort(-pi[:, d], kind="stable") if pi[x, d] >= 0.0005) for d, k in enumerate(known)]
-                columns = [c.slice(i, j - i) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names[pred].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], [*batch.schema.names, "lang_pred", "score", "lang_mix"])
-
-    added = df.limit(0).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lang_mix": F.lit("")})
-    return df.mapInArrow(run, _nullable(added.schema))
-
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), pa.array(names[pred].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], ["row", "lang_pred", "score", "lang_mix"])
 
-def _nullable(schema):
-    for f in schema.fields:
-        f.nullable = True
-    return schema
+    added = StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL("lang_pred string, score double, lang_mix string").fields])
+    found = rows.mapInArrow(run, added)
+    return found.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)), "lang_pred", "score", "lang_mix")

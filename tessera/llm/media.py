@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from tessera.llm import blocks as B
 from tessera.llm import jpeg
 from tessera.llm import text as T
 
@@ -316,9 +318,10 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
 def read_back(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """What the stored media hold: (id, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature). `feature` lists the shots as first-last frame @ start time, mean level."""
-    keep = [c for c in df.columns if c not in (id_col, media_col)]
-    rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *keep)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    new = [x.split()[0] for x in added.split(", ")]
+    keep = df.select(*(f"`{c}`" for c in df.columns if c not in (id_col, media_col, *new)))
+    rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), B.folded(keep).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +340,8 @@ def read_back(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                     feature = f"{len(frames)} frames, {len(cut)} shots: " + ";".join([f"{a}-{b - 1}@{a / fps:.2f}s,{v}" for (a, b), v in zip(cut, level.tolist())])
                     values.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
                 columns = [pa.array(c, k) for c, k in zip(zip(*values), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), *(batch.column(c).slice(i, j - i) for c in keep), *columns], ["id", *keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("row").slice(i, j - i), *columns], ["id", "row", *new])
 
-    schema = f"id {kinds['id']}, " + "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    return rows.mapInArrow(run, schema + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("row", rows.schema["row"].dataType), *StructType.fromDDL(added).fields])
+    out = rows.mapInArrow(run, schema)
+    return out.select(F.col("id").alias(id_col), *(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(keep.columns)), *new)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm import blocks as B
+
 U64 = np.uint64
 ROWS_PER_RANGE = 100_000
 MOST_RANGES = 10_000
@@ -47,16 +49,19 @@ def assign_shards(df: DataFrame, key: str, n_shards: int, rows_per_range: int =
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    integral = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    number = F.coalesce(F.col(key).cast("long"), F.lit(0)) if integral else F.xxhash64(F.col(key))
-    df = df.drop("shard", "grown_shard", "slot").withColumn("__key", number)
-    n = df.count()
+    names = [c for c in df.columns if c not in ("shard", "grown_shard", "slot")]
+    integral = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    column = df[f"`{key}`"]
+    number = F.coalesce(column.cast("long"), F.lit(0)) if integral else F.xxhash64(column)
+    others = [df[f"`{c}`"] for c in names if not _has_map(df.schema[c].dataType)]
+    rows = df.select(number.alias("key"), F.pmod(F.xxhash64(*others), F.lit(1 << 16)).alias("salt"), B.folded(df.select(*(f"`{c}`" for c in names))).alias("row"))
+    n = rows.count()
     rows_per_range = max(rows_per_range, -(-n // MOST_RANGES))  # the cuts stay small enough for any task
     ranges = max(1, -(-n // rows_per_range))
     cuts: list[int] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(df.agg(F.percentile_approx("__key", shares, 20 * ranges)).first()[0]))
+        cuts = sorted(set(rows.agg(F.percentile_approx("key", shares, 20 * ranges)).first()[0]))
 
     def place(keys: pd.Series) -> pd.DataFrame:
         k = keys.to_numpy(np.int64)
@@ -64,31 +69,21 @@ def assign_shards(df: DataFrame, key: str, n_shards: int, rows_per_range: int =
         u = k.view(U64)
         return pd.DataFrame({"shard": jump_hash(u, n_shards), "grown": jump_hash(u, n_shards + 1), "range": at})
 
-    placed = F.pandas_udf(place, "shard int, grown int, range int")("__key")
-    others = [c for c in df.columns if c != "__key" and not _has_map(df.schema[c].dataType)]
-    salt = F.pmod(F.xxhash64(*others), F.lit(1 << 16)) if others else F.lit(0)
-    df = df.withColumn("__place", placed).withColumn("__salt", salt)
-    group = [F.col("__place.shard").alias("__shard"), F.col("__place.range").alias("__range")]
+    placed = F.pandas_udf(place, "shard int, grown int, range int")("key")
+    rows = rows.withColumn("place", placed)
     part = F.lit(0)
-    hot = df.groupBy("__key").count().where(F.col("count") > rows_per_range)
+    hot = rows.groupBy("key").count().where(F.col("count") > rows_per_range)
     if not hot.isEmpty():  # rows of a hot key are dealt into parts of about rows_per_range
-        hot = hot.select(F.col("__key").alias("__hot"), F.ceil(F.col("count") / rows_per_range).cast("int").alias("__parts"))
-        df = df.join(hot, F.col("__key") == F.col("__hot"), "left")
-        part = F.when(F.col("__parts").isNull(), 0).otherwise(1 + F.pmod(F.col("__salt"), F.col("__parts")))
-    df = df.select("*", *group, part.cast("int").alias("__part"))
-    sizes = df.groupBy("__shard", "__range", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__shard").orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy("__shard", "__range", "__part").orderBy("__key", "__salt")
-    ranked = df.withColumn("__rank", F.row_number().over(inside) - 1)
-    out = ranked.join(starts, ["__shard", "__range", "__part"])
-    keep = [c for c in df.columns if not c.startswith("__")]
-    return out.select(
-        *keep,
-        F.col("__shard").alias("shard"),
-        F.col("__place.grown").alias("grown_shard"),
-        (F.col("__start") + F.col("__rank")).cast("long").alias("slot"),
-    )
+        hot = hot.select(F.col("key").alias("hot"), F.ceil(F.col("count") / rows_per_range).cast("int").alias("parts"))
+        rows = rows.join(hot, F.col("key") == F.col("hot"), "left")
+        part = F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.col("salt"), F.col("parts")))
+    rows = rows.select("key", "salt", "row", F.col("place.shard").alias("shard"), F.col("place.grown").alias("grown"), F.col("place.range").alias("range"), part.cast("int").alias("part"))
+    sizes = rows.groupBy("shard", "range", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy("shard", "range", "part").orderBy("key", "salt")
+    out = rows.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["shard", "range", "part"])
+    return out.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)), "shard", F.col("grown").alias("grown_shard"), (F.col("start") + F.col("rank")).cast("long").alias("slot"))
 
 
 def _has_map(kind) -> bool:

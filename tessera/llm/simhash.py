@@ -33,6 +33,8 @@ BANDS, ROWS = 40, 8
 #: How many shingle hashes of one loose component a task takes at once.
 SET_HASHES = 2_000_000
 BUCKET = 20_000
+#: How many rows of whole buckets a task takes at once.
+ROWS_AT_ONCE = 500_000
 
 
 def shingle_hashes(column, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +110,8 @@ def plan(n: int, bits: int, radius: int, bucket: int = BUCKET) -> list[tuple[int
     A segment is wide enough that a value is rarely shared by chance. The balls' radii sum to
     radius - segments + 1, which by the pigeonhole principle misses no link. Rows are dealt by the
     segment's low or high half (0, 1) where the ball has one bit and such buckets are small; by its
-    value (2) where the ball has none; and else by every value of the ball (3).
+    value (2) where the ball has none; and else by every value of a ball of half the radius (3), in
+    which any two rows within the whole radius meet.
     """
     want = min(32, max(8, math.ceil(math.log2(max(n, 2))) + 1))
     m = min(max(1, bits // want), radius + 1)
@@ -207,6 +210,28 @@ def _spread(fp: np.ndarray, at: np.ndarray, rows: np.ndarray, radius: int, fores
             left = left[~near]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole groups of equal keys, of about `rows` rows or one group each."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        same = np.ones(n, bool)
+        for k in keys:
+            column = table.column(k).to_numpy()
+            same &= column == column[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+            held, n = table.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links whose components are those of all pairs of `fps.fp` within `radius` bits.
 
@@ -224,14 +249,14 @@ def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET) -> DataF
                 if how < 2:
                     low = width // 2
                     value = value & T.U64((1 << low) - 1) if how == 0 else value >> T.U64(low)
-                for mask in _ball(width, ball) if how == 3 else (T.U64(0),):
+                for mask in _ball(width, (ball + 1) // 2) if how == 3 else (T.U64(0),):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array((value ^ mask).astype(np.int64)), batch.column("fp")], ["t", "key", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
+        for table in whole_groups(batches, ["t", "key", "chunk"], ROWS_AT_ONCE):
+            yield found_in(table)
+
+    def found_in(table: pa.Table) -> pa.RecordBatch:
         raw = b"".join(table.column("fp").to_pylist())
         fp = np.frombuffer(raw, ">u8").reshape(-1, bits // 64).astype(T.U64)
         t, key, chunk = (table.column(c).to_numpy() for c in ("t", "key", "chunk"))
@@ -248,7 +273,7 @@ def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET) -> DataF
             _bucket_links(fp[own], group.ravel(), value, np.array([1 << x for x in span], np.int64), width if how < 3 else 0, radius, forest, same[own])
         pairs = np.array(forest.links, np.int64).reshape(-1, 2)
         cut = lambda x: raw[at[x] * n_bytes : (at[x] + 1) * n_bytes]
-        yield pa.RecordBatch.from_arrays([pa.array([cut(a) for a in pairs[:, 0]], pa.binary()), pa.array([cut(b) for b in pairs[:, 1]], pa.binary())], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([cut(a) for a in pairs[:, 0]], pa.binary()), pa.array([cut(b) for b in pairs[:, 1]], pa.binary())], ["u", "v"])
 
     placed = fps.mapInArrow(place, "t int, key long, fp binary")
     sizes = placed.groupBy("t", "key").count().where(F.col("count") > bucket)
@@ -260,7 +285,7 @@ def links(fps: DataFrame, bits: int, radius: int, bucket: int = BUCKET) -> DataF
         pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c.cast("long"), F.col("own")) * F.col("chunks") + F.greatest(c.cast("long"), F.col("own")))
         hot = placed.join(sizes, ["t", "key"]).withColumn("own", own).select("t", "key", "fp", F.explode(pair).alias("chunk"))
         dealt = placed.join(sizes, ["t", "key"], "left_anti").withColumn("chunk", F.lit(0).cast("long")).unionByName(hot)
-    return dealt.select("t", "key", "chunk", "fp").repartition("t", "key", "chunk").mapInArrow(search, "u binary, v binary").distinct()
+    return dealt.select("t", "key", "chunk", "fp").repartition("t", "key", "chunk").sortWithinPartitions("t", "key", "chunk").mapInArrow(search, "u binary, v binary").distinct()
 
 
 def near_duplicates(df: DataFrame, k: int = 5, radius: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:

@@ -721,3 +721,77 @@ def test_html_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<div>" * 5000 + "deep", "x"), (4, "<p>" + "long " * 50_000, "x")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
     assert got[1] is None and got[2] == "" and got[3] == "deep" and len(got[4]) == 249_999
+
+
+# edge cases of all operators
+
+
+def edge_rows(spark):
+    """Repeated ids and whole rows, null ids and texts, ties, and columns named like those of results."""
+    long = "".join(random.Random(2).choice("abcde ") for _ in range(40_000))
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (1, "other words here"), (None, "a b c d e f g h"), (None, None), (2, None), (3, ""), (4, " \n"), (5, long), (5, long), (None, long), (6, "x" * 9000)]
+    df = spark.createDataFrame([(i, t, "en" if n % 2 else None) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    names = "score fp component_id kept kept_sha256 n_removed n_words ids decoded media n_bytes covered item_id block part row key shard slot __key __place a.b h seeds".split()
+    return rows, df.select("*", *(F.lit("keep").alias(n) for n in names))
+
+
+def by_row(found, columns):
+    """What each (id, ...) got, as a sorted list."""
+    return sorted([tuple(r[c] for c in columns) for r in found], key=repr)
+
+
+def test_edge_cases_of_every_operator(spark):
+    rows, df = edge_rows(spark)
+    ids = sorted([i for i, _ in rows], key=repr)
+    found = {
+        "sharding": sharding.assign_shards(df, "doc_id", 3, rows_per_range=4),
+        "suffixes": suffixes.remove_repeats(df, 5, block_bytes=5000),
+        "lm": lm.score(df, F.lit(True)),
+        "simhash": simhash.near_duplicates(df, 4, 4),
+        "similar": simhash.similar_groups(df),
+        "fmindex": fmindex.remove_repeats(df, 5, block_bytes=5000),
+        "cut": fmindex.cut_repeats(df, 5),
+        "bpe": bpe.encode(df, TOKENIZER, long_text=5000, long_word=100),
+        "langid": langid.predict(df, langid.train(df)),
+        "media": media.read_back(media.store(df)),
+        "html": html.extract(df, "text", "h"),
+    }
+    for name, out in found.items():
+        got = out.collect()
+        assert sorted([r["doc_id"] for r in got], key=repr) == ids, name
+        # equal rows get equal results, whatever else a row has
+        groups = collections.defaultdict(set)
+        if name not in ("sharding", "cut", "html"):
+            for r in got:
+                groups[r["doc_id"]].add(repr({k: v for k, v in r.asDict().items() if k != "lang"}))
+            if name not in ("suffixes",):
+                assert len(groups[5]) == 1, name
+    kept = found["sharding"].first()
+    assert kept["__key"] == kept["a.b"] == kept["__place"] == "keep" and found["cut"].columns == df.columns
+    tokenizer = bpe.Codec.load(TOKENIZER).tokenizer
+    want = sorted(tokenizer.encode(t or "", add_special_tokens=False).ids for _, t in rows)
+    assert sorted(list(r["ids"]) for r in found["bpe"].collect()) == want
+    judged = {r["doc_id"]: r for r in decontaminate.judge(df, spark.createDataFrame([(7, "b c d e f g"), (8, None)], "item_id long, text string")).collect()}
+    assert judged[1]["contaminated"] and judged[None]["contaminated"] and not judged[2]["contaminated"] and set(judged) == set(ids)
+
+
+def test_empty_tables_of_every_operator(spark):
+    _, df = edge_rows(spark)
+    none = df.limit(0)
+    assert bpe.encode(none, TOKENIZER).count() == media.read_back(media.store(none)).count() == media.clips(media.store(none)).count() == 0
+    assert html.extract(none, "text").count() == sharding.assign_shards(none, "doc_id", 3).count() == simhash.near_duplicates(none).count() == 0
+    assert decontaminate.leaks(none, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    assert decontaminate.leaks(df, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    assert fmindex.cut_repeats(none).count() == suffixes.remove_repeats(none).count() == lm.score(none, F.lit(True)).count() == 0
+
+
+def test_minority_language_of_many(spark):
+    """Of ten languages any may be a document's second."""
+    rng = random.Random(12)
+    words_of = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k * 2 : k * 2 + 6]) for _ in range(6)) for _ in range(12)] for k in range(10)}
+    say = lambda lang, n: " ".join(rng.choice(words_of[lang]) for _ in range(n))
+    rows = [(k * 100 + i, say(f"l{k}", 40), f"l{k}") for k in range(10) for i in range(12)]
+    rows += [(5000 + k, say("l0", 60) + " " + say(f"l{k}", 25), None) for k in range(3, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_mix"] for r in langid.predict(df, langid.train(df)).where("lang is null").collect()}
+    assert all(f"l{k}:" in got[5000 + k] and "l0:" in got[5000 + k] for k in range(3, 10)), got
