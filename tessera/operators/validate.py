@@ -179,8 +179,9 @@ def assign(nodes: DataFrame, duties: DataFrame, slots: DataFrame, closure: DataF
     pairs = pairs.join(closure.withColumnsRenamed({"_sub": "child_type", "_super": "slot_type"}).withColumn("_is", F.lit(True)), ["child_type", "slot_type"], "left").where("slot_type is null or _is")
     child = ["node_id", "part", "child_id", "child_kind", "real_id"]
     offers = pairs.groupBy(*child).agg(F.array_sort(F.collect_list(F.struct("slot_no", "slot", "need"))).alias("offers"))
-    offers = offers.withColumn("turns", F.when(F.size("offers") > 1, F.aggregate("offers", F.lit(0), lambda n, o: n + o["need"])).otherwise(0))
-    several = offers.where("turns > 0").withColumn("_order", F.struct(F.when(F.col("child_kind") == "dataset", 0).when(F.col("child_kind") == "group", 1).otherwise(2).alias("k"), F.col("child_id").alias("c")))
+    offers = offers.withColumn("turns", F.aggregate("offers", F.lit(0), lambda n, o: n + o["need"]))
+    contested = offers.where("size(offers) > 1 and turns > 0").select("node_id", "part").distinct()
+    several = offers.where("turns > 0").join(contested, ["node_id", "part"], "left_semi").withColumn("_order", F.struct(F.when(F.col("child_kind") == "dataset", 0).when(F.col("child_kind") == "group", 1).otherwise(2).alias("k"), F.col("child_id").alias("c")))
     alike = ["node_id", "part", "offers"]
     salted = Window.partitionBy(*alike, F.pmod(F.xxhash64("child_id"), F.lit(SALTS))).orderBy("_order")
     early = several.withColumn("_n", F.row_number().over(salted)).where("_n <= turns")
