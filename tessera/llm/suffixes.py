@@ -6,7 +6,7 @@ A block sorts its suffixes into a run and sends each range its part of the run,
 length of the prefix shared with the suffix before, and the rest. A range merges the runs with a
 loser tree that carries these lengths along, so that no known prefix is compared again. In the
 merged order equal passages and passages of one k-gram are neighbours; windows that only part of
-a passage's neighbours share are told apart by 64-bit fingerprints.
+a passage's neighbours share are found by 64-bit fingerprints and compared byte by byte.
 """
 
 from __future__ import annotations
@@ -226,6 +226,12 @@ def _repeats_within(keys: list[bytes], family, ids, where, window: int) -> tuple
     return left, right
 
 
+def _equal_windows(raw: np.ndarray, a: np.ndarray, b: np.ndarray, window: int, at_once: int = 1 << 15) -> np.ndarray:
+    """Whether the windows at a and b have the same bytes."""
+    reach = np.arange(window)
+    return np.concatenate([np.zeros(0, bool), *((raw[a[i : i + at_once, None] + reach] == raw[b[i : i + at_once, None] + reach]).all(1) for i in range(0, len(a), at_once))])
+
+
 def _family_repeats(keys, family, ids, where, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(keys)
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -247,7 +253,9 @@ def _family_repeats(keys, family, ids, where, window: int) -> tuple[np.ndarray,
     rank = np.empty(n, np.int64)
     rank[np.lexsort((where, ids))] = np.arange(n)
     order = np.lexsort((rank[owner], h))
-    repeated = order[1:][h[order][1:] == h[order][:-1]]
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    repeated = order[1:][same]
+    repeated = repeated[_equal_windows(raw, start[repeated], start[order[:-1][same]], window)]
     low, high = np.full(n, 1 << 40), np.full(n, -(1 << 40))
     np.minimum.at(low, owner[repeated], shift[repeated])
     np.maximum.at(high, owner[repeated], shift[repeated])
