@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tessera.operators.position import POS
 
 CHUNK_MB, BUFFER_GB = 10.0, 1.0
+PART = 1_000_000  # positions whose islands one task finds
 
 
 def chunk_shape(shape: Sequence[int], itemsize: int, chunk_mb: float = CHUNK_MB) -> tuple[int, ...]:
@@ -101,12 +102,15 @@ def blocks(df: DataFrame, column: str, size: int, by: Sequence[str] = ()) -> Dat
     """
     there = df.where(F.col(column).isNotNull())
     w = Window.partitionBy(*by, "_part").orderBy(POS)
-    # islands within parts of the positions, so that no task holds them all; parts end where a buffer may
-    part = there.withColumn("_part", F.floor(F.col(POS) / F.lit(1_000_000)))
-    islands = part.withColumn("_run", F.col(POS) - F.row_number().over(w)).groupBy(*by, "_part", "_run").agg(F.min(POS).alias("start"), (F.max(POS) + 1).alias("stop"))
+    # islands within parts of the positions, so that no task holds them all
+    part = there.withColumn("_part", F.floor(F.col(POS) / F.lit(PART)))
+    runs = part.withColumn("_run", F.col(POS) - F.row_number().over(w)).groupBy(*by, "_part", "_run").agg(F.min(POS).alias("start"), (F.max(POS) + 1).alias("stop"))
+    # only those that touch an edge of their part, two a part at most, can go on in the next
+    edge = (F.col("start") == F.col("_part") * PART) | (F.col("stop") == (F.col("_part") + 1) * PART)
     over = Window.partitionBy(*by).orderBy("start")
-    islands = islands.withColumn("_new", (F.col("start") != F.lag("stop", 1, -1).over(over)).cast("int"))
-    islands = islands.withColumn("_g", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    open_runs = runs.where(edge).withColumn("_new", (F.col("start") != F.lag("stop", 1, -1).over(over)).cast("int"))
+    joined = open_runs.withColumn("_g", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    islands = runs.where(~edge).select(*by, "start", "stop").unionByName(joined.select(*by, "start", "stop"))
     cut = islands.select(*by, "stop", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(size).cast("long"))).alias("start"))
     return cut.select(*by, "start", F.least("stop", F.col("start") + size).alias("stop")).withColumn("n", F.col("stop") - F.col("start"))
 

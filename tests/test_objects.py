@@ -11,6 +11,7 @@ from tessera.operators.position import POS
 from tessera.operators.references import ReferenceStore
 from tessera.operators.table import ColumnSpec, Table, table_of
 from tessera.operators.vocabulary import Vocabulary, check_configured
+from tessera.sources import chunks
 from tessera.plans.spec import Attribute, Catalog, NamespaceBuilder, NamespaceCatalog, Spec, from_dict, problems, to_dict
 
 
@@ -159,6 +160,14 @@ def test_references_refuse_and_settle(spark, tmp_path):
         store.to_zip(str(tmp_path / "s.zip"), most_rows=3)
 
 
+def test_chunks_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "PART", 4)
+    there = [0, 1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 15, 16, 19, 20, 21, 22, 23, 24, 30]
+    df = spark.createDataFrame([(i, 1) for i in there], f"{POS} long, v int")
+    got = sorted((r["start"], r["stop"]) for r in chunks.blocks(df, "v", 3).collect())
+    assert got == [(0, 3), (3, 6), (6, 9), (11, 13), (15, 17), (19, 22), (22, 25), (30, 31)]
+
+
 def test_unsigned_ranges(spark):
     df = spark.createDataFrame([(-1,), (0,), (255,), (256,)], "v long")
     assert [r[0] for r in df.select(dtypes.cast(F.col("v"), "uint8", strict=False)).collect()] == [None, 0, 255, None]
