@@ -205,6 +205,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 score = np.where(known, np.clip(pi.max(0), 0, 1), 0.0)
                 mix = ["" if not k else ",".join(f"{names[x]}:{pi[x, d]:.3f}" for x in np.argsort(-pi[:, d], kind="stable") if pi[x, d] >= 0.0005) for d, k in enumerate(known)]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), pa.array(names[pred].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], ["row", "lang_pred", "score", "lang_mix"])
+            B.release()
 
     added = StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL("lang_pred string, score double, lang_mix string").fields])
     found = rows.mapInArrow(run, added)

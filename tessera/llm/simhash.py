@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as T
+from tessera.llm.blocks import release
 from tessera.llm.graph import checkpoint, components, join_aggregate
 
 #: For each byte, its bits as eight byte lanes of a word (bit 0 in the lowest lane).
@@ -408,6 +409,7 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
                 fp = _digests(hashes, off)
                 keys = pa.ListArray.from_arrays(np.arange(0, len(fp) * BANDS + 1, BANDS, dtype=np.int32), bands(hashes, off).ravel().view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(fp, pa.binary()), pa.array(np.diff(off)), keys], ["id", "row", "fp", "n", "keys"])
+            release()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -424,6 +426,8 @@ def similar_groups(df: DataFrame, k: int = 5, similarity: float = 0.8, id_col: s
             now, held = held.slice(0, cut), held.slice(cut)
             hashes, off = _sets(*shingle_hashes(now.column("text"), k))
             fp, pairs = _digests(hashes, off), similar_links(hashes, off, similarity)
+            del hashes, off, now
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([fp[a] for a, _ in pairs], pa.binary()), pa.array([fp[b] for _, b in pairs], pa.binary())], ["u", "v"])
 
     kind = docs.schema["id"].dataType.simpleString()
