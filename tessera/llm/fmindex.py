@@ -3,8 +3,9 @@
 The corpus is indexed in shards by content: a shard holds the passages (see `passages`) whose
 anchors fall into its range, each distinct passage once with its number of occurrences, so that
 all occurrences of a window are in one shard. A shard's index is the wavelet matrix of the
-Burrows-Wheeler transform of its passages. Passages are then streamed through backward search;
-from their matching statistics follow the intervals of `window` words or more that repeat.
+Burrows-Wheeler transform of its passages. Passages are then streamed through backward search, word
+by word from their end; from their matching statistics follow the intervals of `window` words or more
+that repeat.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from tessera.llm import passages as P
 from tessera.llm import text as T
 
 GRAM = 16
-FIRST = 16  # words whose interval is looked up before backward search begins
 
 
 class WaveletMatrix:
@@ -64,32 +64,20 @@ class FMIndex:
     by their first `reach` symbols at least, which is enough for patterns of that length.
     """
 
-    def __init__(self, text: np.ndarray, weight: np.ndarray, n_symbols: int, reach: int, first: int):
+    def __init__(self, text: np.ndarray, weight: np.ndarray, n_symbols: int, reach: int):
         self.text = text.astype(np.int32)
         n = len(text)
-        rank = text.astype(np.int64)
-        span, self.first = 1, 1
-        look_up = rank
+        rank, span = text.astype(np.int64), 1
         while span < reach:
             ahead = np.zeros(n, np.int64)
             ahead[:-span] = rank[span:] + 1
             _, rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)
             span *= 2
-            if span <= first:
-                look_up, self.first = rank, span
         suffixes = np.argsort(rank, kind="stable")
         self.total = np.concatenate([[0], np.cumsum(weight[suffixes])])
-        self.group = look_up.astype(np.int32)
-        groups = look_up[suffixes]
-        self.edges = np.searchsorted(groups, np.arange(int(groups.max(initial=0)) + 2)) if n else np.zeros(2, np.int64)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])[:-1]
-        self.breaks = np.concatenate([[0], np.cumsum(text == 0)]).astype(np.int32)  # a pattern holds no separator
         self.matrix = WaveletMatrix(text[suffixes - 1], n_symbols)  # text[-1] is a separator
 
-    def begin(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of the `first` symbols from each position on."""
-        return self.edges[self.group[at]], self.edges[self.group[at] + 1]
-
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of the pattern with a symbol put before it."""
         both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
@@ -100,22 +88,17 @@ class FMIndex:
 
     def matching_statistics(self, end: np.ndarray, stop: np.ndarray, least: int = 2) -> np.ndarray:
         """The leftmost start, at `stop` or after, of a match that ends before each `end` and
-        occurs `least` times; `end` itself where not even its last symbols do."""
-        at = end - self.first
-        out = end.copy()
-        lo, hi = self.begin(at)
-        live = np.flatnonzero((at >= stop) & (self.breaks[end] == self.breaks[at]) & (self.count(lo, hi) >= least))
-        lo, hi, at = lo[live], hi[live], at[live]
-        out[live] = at
+        occurs `least` times; `end` itself where not even its last symbol does."""
+        out, live = end.copy(), np.flatnonzero(end > stop)
+        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.text), np.int64)
         while len(live):
-            go = np.flatnonzero(at > stop[live])
-            live, lo, hi, at = live[go], lo[go], hi[go], at[go]
-            if not len(live):
-                break
-            lo, hi = self.extend(lo, hi, self.text[at - 1])
-            keep = np.flatnonzero((self.text[at - 1] > 0) & (self.count(lo, hi) >= least))
-            live, lo, hi, at = live[keep], lo[keep], hi[keep], at[keep] - 1
-            out[live] = at
+            symbol = self.text[out[live] - 1].astype(np.int64)
+            lo, hi = self.extend(lo, hi, symbol)
+            keep = np.flatnonzero((symbol > 0) & (self.count(lo, hi) >= least))  # no match holds a separator
+            live, lo, hi = live[keep], lo[keep], hi[keep]
+            out[live] -= 1
+            go = np.flatnonzero(out[live] > stop[live])
+            live, lo, hi = live[go], lo[go], hi[go]
         return out
 
 
@@ -199,7 +182,7 @@ def _resolve(window: int):
         begin = first[:-1] + np.arange(n)
         text[T.expand(begin, n_words)] = alive[symbol]
         owner = np.repeat(np.arange(n), n_words + 1)
-        index = FMIndex(text, weight[owner], int(alive.max(initial=0)) + 1, int(n_words.max(initial=1)), min(FIRST, window))
+        index = FMIndex(text, weight[owner], int(alive.max(initial=0)) + 1, int(n_words.max(initial=1)))
         lo, hi = repeated_intervals(index, begin, begin + n_words, window)
         lo, hi = lo - begin, hi - begin
         out = []
