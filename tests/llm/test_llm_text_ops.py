@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, fmindex, html, jpeg, langid, lm, media, sharding, simhash, suffixes
+from tessera.llm import blocks as B
 from tessera.llm import text as T
 from tessera.llm.graph import components
 
@@ -170,6 +171,46 @@ def test_word_dedup(docs, rows, hot, block_bytes, window, fan):
         assert (r["n_words"], r["n_removed"], r["kept"]) == (len(w), int(gone.sum()), kept), i
 
 
+def test_blocks_keep_their_size(spark):
+    """Ten times the texts make ten times the blocks, and no larger ones."""
+    text = F.repeat(F.lit("some words "), 50)
+    largest = []
+    for n in (400, 4000):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+        count = B.block_count(df, "text", 11_000)
+        assert count == n * 550 // 11_000
+        largest.append(B.deal(df, "doc_id", "text", count).groupBy("block").agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0])
+    assert largest[1] < 1.5 * largest[0] < 60_000
+
+
+@pytest.mark.parametrize("fan", [100, 3])
+def test_look_ups_add_up(spark, fan):
+    """Sums of two spaces of keys over blocks, directly and by way of groups."""
+    rng = random.Random(9)
+    rows = [(b, rng.randrange(40)) for b in range(10) for _ in range(60)]
+    df = spark.createDataFrame([(b, b, str(k)) for b, k in rows], "block int, id long, text string")
+    hashed = lambda k: T.mix(np.array(k, np.uint64) + T.U64(1))
+
+    def keys_of(table):
+        k = np.array([int(x) for x in table.column("text").to_pylist()])
+        out = []
+        for bits, values in ((64, hashed(k)), (20, hashed(k % 7) >> T.U64(44))):
+            distinct, counts = np.unique(values, return_counts=True)
+            out.append(B.Keys(distinct, [counts.astype(np.uint32)], bits))
+        return out
+
+    found = B.look_up(df, 10, keys_of, [1, 1], [64, 20], lambda space, sums: [sums[0], sums[0] * 2], lambda spaces: [len(x[0]) for x in spaces], lambda block: [True, block % 2 == 0], fan)
+    assert found.agg(F.sum(F.col("sums")[0]), F.sum(F.col("sums")[1])).first()[:] == (len({k for _, k in rows}), 7)
+    total, weekly = collections.Counter(k for _, k in rows), collections.Counter(k % 7 for _, k in rows)
+    for block in range(10):
+        own = sorted({k for b, k in rows if b == block}, key=lambda k: int(hashed([k])[0]))
+        days = sorted({k % 7 for k in own}, key=lambda k: int(hashed([k])[0] >> T.U64(44)))
+        parts = [B.split_parts(r["data"]) for r in found.where(F.col("block") == block).orderBy("part").collect()]
+        column = lambda n: [int(x) for p in parts for x in (B.unpack(p[n]) if p[n] else [])]
+        assert column(0) == [total[k] for k in own] and column(2) == [weekly[k] for k in days]
+        assert column(1) == ([2 * total[k] for k in own] if block % 2 == 0 else [])
+
+
 def test_dedup_of_nothing(spark, docs):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
     assert fmindex.remove_repeats(docs.limit(0)).count() == 0
