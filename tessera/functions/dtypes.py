@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.local import small_frame
+
 # Type names with their synonyms, as the schema language has them.
 SYNONYMS = {
     "float": ["float", "float32"],
@@ -87,7 +89,7 @@ def refines(base: str, new: str) -> bool:
 def lattice(spark) -> DataFrame:
     """(expected, received): all accepted pairs, as a small table to join with."""
     rows = [(e, r) for e in CANONICAL for r in CANONICAL if accepts(e, r)]
-    return spark.createDataFrame(rows, "expected string, received string")
+    return small_frame(spark, rows, "expected string, received string")
 
 
 def conversions(spark) -> DataFrame:
@@ -99,7 +101,7 @@ def conversions(spark) -> DataFrame:
         except ValueError:
             return (g, w, None, None)
 
-    return spark.createDataFrame([row(g, w) for g in STORAGE for w in STORAGE], "given string, wanted string, result string, warns boolean")
+    return small_frame(spark, [row(g, w) for g in STORAGE for w in STORAGE], "given string, wanted string, result string, warns boolean")
 
 
 def cast(column: Column, dtype: str, strict: bool = True) -> Column:

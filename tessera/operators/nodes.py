@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.local import small_frame
+
 NODES = "node_id long, parent_id long, path string, kind string, name string, namespace string, data_type string, object_id string, dtype string, shape array<long>, link_target long"
 ATTRS = "node_id long, name string, dtype string, shape array<long>, value string, ref_target long"
 
@@ -33,7 +35,7 @@ def from_tree(spark: SparkSession, tree: dict, namespace: str = "core") -> tuple
 
     walk(tree, None, "")
     rows = [(*r[:10], by_path[r[10]] if r[10] is not None else None) for r in nodes]
-    return spark.createDataFrame(rows, NODES), spark.createDataFrame(attrs, ATTRS)
+    return small_frame(spark, rows, NODES), small_frame(spark, attrs, ATTRS)
 
 
 def at_path(nodes: DataFrame, path: str) -> DataFrame:

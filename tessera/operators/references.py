@@ -14,9 +14,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tessera.lineage import checkpoint
+from tessera.local import small_frame
 from tessera.operators import position
 from tessera.operators.position import POS
 
@@ -49,11 +49,11 @@ class ReferenceStore:
 
     @classmethod
     def empty(cls, spark: SparkSession) -> ReferenceStore:
-        return cls(**{n: spark.createDataFrame([], StructType.fromDDL(f"{POS} long, {s}")) for n, s in SCHEMAS.items()}, counts=dict.fromkeys(SCHEMAS, 0))
+        return cls(**{n: small_frame(spark, [], f"{POS} long, {s}") for n, s in SCHEMAS.items()}, counts=dict.fromkeys(SCHEMAS, 0))
 
     @classmethod
     def from_rows(cls, spark: SparkSession, **rows: list) -> ReferenceStore:
-        return cls(**{n: spark.createDataFrame([(i, *r) for i, r in enumerate(rows.get(n, []))], StructType.fromDDL(f"{POS} long, {s}")) for n, s in SCHEMAS.items()})
+        return cls(**{n: small_frame(spark, [(i, *r) for i, r in enumerate(rows.get(n, []))], f"{POS} long, {s}") for n, s in SCHEMAS.items()})
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in SCHEMAS}

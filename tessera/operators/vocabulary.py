@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.local import small_frame
+
 #: A vocabulary up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_TERMS = 100_000
 
@@ -23,7 +25,7 @@ class Vocabulary:
 
     @classmethod
     def from_rows(cls, spark: SparkSession, name: str, rows: list[tuple], prefixes: dict[str, str] | None = None) -> Vocabulary:
-        return cls(name, spark.createDataFrame(rows, "term string, id string, description string, meaning string"), prefixes or {}, len(rows))
+        return cls(name, small_frame(spark, rows, "term string, id string, description string, meaning string"), prefixes or {}, len(rows))
 
     @classmethod
     def from_frame(cls, name: str, terms: DataFrame, prefixes: dict[str, str] | None = None) -> Vocabulary:
@@ -129,7 +131,7 @@ def check_configured(cells: DataFrame, config: dict, vocabularies: dict[str, Voc
     field, and (namespace, data_type) of cells that it says nothing of, which deserve a warning.
     """
     spark = cells.sparkSession
-    found = F.broadcast(spark.createDataFrame(rules(config), "namespace string, data_type string, field string, _vocabulary string"))  # the size of the configuration
+    found = F.broadcast(small_frame(spark, rules(config), "namespace string, data_type string, field string, _vocabulary string"))  # the size of the configuration
     known = found.select("namespace", "data_type").distinct()
     governed = cells.join(found, ["namespace", "data_type", "field"])
     bad = [v.violations(governed.where(F.col("_vocabulary") == path), "value") for path, v in vocabularies.items()]

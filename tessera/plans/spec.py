@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.functions import dtypes
+from tessera.local import small_frame
 
 MANY = ("*", "+")
 #: Quantities in words.
@@ -193,7 +194,7 @@ class Catalog:
     def closure(self, spark: SparkSession) -> DataFrame:
         """(data_type, ancestor, distance): a type is its own ancestor at distance 0."""
         rows = [(t, a, i) for t in self.specs for i, a in enumerate(self.hierarchy(t))]
-        return spark.createDataFrame(rows, "data_type string, ancestor string, distance int")
+        return small_frame(spark, rows, "data_type string, ancestor string, distance int")
 
     def parts(self, spark: SparkSession) -> tuple[dict[str, DataFrame], int]:
         """All parts of the resolved specifications as tables, and how deep parts without a type of their own nest.
@@ -222,9 +223,9 @@ class Catalog:
         for t in self.specs:
             walk(t, self.resolved(t), t, t, 0)
         return {
-            "parts": spark.createDataFrame(parts, "part string, data_type string, part_kind string, part_path string, want string, compound boolean, want_shape string, want_shape_text string"),
-            "attributes": spark.createDataFrame(attributes, "part string, attr string, want string, target_type string, want_shape string, want_shape_text string, required boolean"),
-            "slots": spark.createDataFrame(slots, "part string, slot_no int, slot string, slot_kind string, slot_path string, slot_name string, slot_type string, quantity string, exact int, need int, required boolean, many boolean, linkable boolean, content boolean"),
+            "parts": small_frame(spark, parts, "part string, data_type string, part_kind string, part_path string, want string, compound boolean, want_shape string, want_shape_text string"),
+            "attributes": small_frame(spark, attributes, "part string, attr string, want string, target_type string, want_shape string, want_shape_text string, required boolean"),
+            "slots": small_frame(spark, slots, "part string, slot_no int, slot string, slot_kind string, slot_path string, slot_name string, slot_type string, quantity string, exact int, need int, required boolean, many boolean, linkable boolean, content boolean"),
         }, deepest
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
@@ -239,8 +240,8 @@ class Catalog:
                 kids.append((t, i, c.kind, c.name, c.data_type, str(c.quantity), c.dtype, _shape_text(c.shape), c.required, c.many, c.linkable))
                 attrs += [(t, c.name, a.name, a.dtype, _shape_text(a.shape), a.required, a.inherited, a.overridden) for a in c.attributes if c.name and not c.data_type]
         return {
-            "attributes": spark.createDataFrame(attrs, "data_type string, child string, name string, dtype string, shape string, required boolean, inherited boolean, overridden boolean"),
-            "children": spark.createDataFrame(kids, "data_type string, slot int, kind string, name string, child_type string, quantity string, dtype string, shape string, required boolean, many boolean, linkable boolean"),
+            "attributes": small_frame(spark, attrs, "data_type string, child string, name string, dtype string, shape string, required boolean, inherited boolean, overridden boolean"),
+            "children": small_frame(spark, kids, "data_type string, slot int, kind string, name string, child_type string, quantity string, dtype string, shape string, required boolean, many boolean, linkable boolean"),
         }
 
 
