@@ -145,7 +145,9 @@ def leaks(df: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = C
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     known = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").select("item", "text", hashed)
     item_texts = known.groupBy("h").agg(F.first("text").alias("item_text"))
-    item_seeds = checkpoint(_seeds_of(item_texts.select("h", F.col("item_text").alias("text")), seed).select(F.col("h").alias("item_h"), F.explode(F.array_distinct("seeds")).alias("seed")))
+    seeds = _seeds_of(item_texts.select("h", F.col("item_text").alias("text")), seed)
+    seeds = seeds.select(F.col("h").alias("item_h"), (F.size("seeds") + seed - 1).alias("n_words"), F.explode("seeds").alias("seed"))
+    item_seeds = checkpoint(seeds.groupBy("item_h", "n_words", "seed").agg(F.count(F.lit(1)).alias("times")))
     shared = df.sparkSession.sparkContext.broadcast(sieve(item_seeds))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,9 @@ def leaks(df: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = C
 
     hits = checkpoint(rows.mapInArrow(find, f"id {rows.schema['id'].dataType.simpleString()}, text string, seeds array<long>").select("id", "text", "seeds", hashed))
     texts = hits.groupBy("h").agg(F.first("text").alias("text"), F.first("seeds").alias("seeds"))
-    pairs = texts.select("h", F.explode(F.array_distinct("seeds")).alias("seed")).join(item_seeds, "seed").select("h", "item_h").distinct()
+    # tiles of `seed` words or more that cover enough of an item begin at so many of its seeds at least
+    pairs = texts.select("h", F.explode(F.array_distinct("seeds")).alias("seed")).join(item_seeds, "seed").groupBy("h", "item_h", "n_words").agg(F.sum("times").alias("places"))
+    pairs = pairs.where(F.col("places") * seed >= coverage * F.col("n_words") - 1e-6).select("h", "item_h")
     cases = texts.select("h", "text").join(pairs, "h").join(item_texts.withColumnRenamed("h", "item_h"), "item_h")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
