@@ -291,7 +291,7 @@ def region_size(spark, sf):
     return region.cells(_customers_by_key(spark, sf), "orders").agg(F.count(F.lit(1)).alias("n_references"))
 
 
-@registered("SELECT c_custkey AS id, n_name AS nation, count(o_orderkey) AS n_orders, coalesce(sum(o_orderkey), 0) AS sum_of_ids FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+@registered("SELECT c_custkey AS id, n_name AS nation, count(o_orderkey) AS n_orders, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS sum_of_ids FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 def nested_tables(spark, sf):
     """All region cells as nested rows."""
     rows = region.nest_all(_customers_by_key(spark, sf))
@@ -649,7 +649,7 @@ def latest_chunk_wins(spark, sf):
     return ingest.latest(e.select(F.col("user_id").alias(POS), F.col("event_id").alias("_batch"), "event_type"))
 
 
-@registered("SELECT o_orderstatus AS status, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_orderstatus")
+@registered("SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY o_orderstatus")
 def fold(spark, sf):
     """A user's fold over batches: partial results, then one merge for each key."""
     rows = read(spark, sf, "orders", "o_orderkey", "o_orderstatus").withColumnRenamed("o_orderstatus", "status")

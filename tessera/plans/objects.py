@@ -243,7 +243,7 @@ def region_references(spark, sf):
     return compound.resolve_regions(*_regions(spark, sf), "region")
 
 
-@registered("SELECT l_linenumber AS _pos, l_quantity FROM lineitem WHERE l_orderkey = 5 AND l_linenumber IN (1, 3)")
+@registered("SELECT CAST(l_linenumber AS BIGINT) AS _pos, l_quantity FROM lineitem WHERE l_orderkey = 5 AND l_linenumber IN (1, 3)")
 def region_slice(spark, sf):
     return compound.slice_region(_regions(spark, sf)[1], 61, [3, 1, 3]).select(POS, "l_quantity")
 
