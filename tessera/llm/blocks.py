@@ -42,14 +42,14 @@ def deal(df: DataFrame, id_col: str, text_col: str, n_blocks: int, *others: Colu
     return df.select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
 
 
-def folded(df: DataFrame) -> Column:
-    """All columns of `df` as one struct of numbered fields, so that no name clashes with one in use here."""
-    return F.struct(F.lit(None).cast("int").alias("none"), *(df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(df.columns)))
+def folded(df: DataFrame, without: str | None = None) -> Column:
+    """All columns of `df` but `without` as one struct of numbered fields, so that no name clashes with one in use here."""
+    return F.struct(F.lit(None).cast("int").alias("none"), *(df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(df.columns) if c != without))
 
 
 def unfolded(df: DataFrame, names: list[str], row: str, **changed: Column) -> DataFrame:
     """The columns behind `row`, made by `folded`; those in `changed` get new values."""
-    return df.select(*(changed.get(c, F.col(row)[f"c{i}"]).alias(c) for i, c in enumerate(names)))
+    return df.select(*(changed[c].alias(c) if c in changed else F.col(row)[f"c{i}"].alias(c) for i, c in enumerate(names)))
 
 
 def in_order(table: pa.Table) -> pa.Table:

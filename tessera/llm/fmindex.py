@@ -254,7 +254,7 @@ def cut_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_co
     stay as they are. Rows of repeated ids stay apart; a null id is the least.
     """
     n_blocks = B.block_count(df, text_col, block_bytes)
-    long = P.long_ids(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), B.folded(df).alias("row")), "id")
+    long = P.long_ids(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), B.folded(df, text_col).alias("row")), "id")
     docs = B.deal(long.select("id", "text"), "id", "text", n_blocks)
     whole = B.deal(long, "id", "text", n_blocks, F.col("row"), F.col("text").isNull().alias("null"))
 

@@ -185,7 +185,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     and score 0. All languages compete within a document. Columns of the three names are replaced; repeated rows stay.
     """
     df = df.select(*(f"`{c}`" for c in df.columns if c not in ("lang_pred", "score", "lang_mix")))
-    rows = df.select(df[f"`{text_col}`"].alias("text"), B.folded(df).alias("row"))
+    rows = df.select(df[f"`{text_col}`"].alias("text"), B.folded(df, text_col).alias("row"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages x a fixed number of buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +204,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 pred = np.where(known, pi.argmax(0), len(names) - 1)
                 score = np.where(known, np.clip(pi.max(0), 0, 1), 0.0)
                 mix = ["" if not k else ",".join(f"{names[x]}:{pi[x, d]:.3f}" for x in np.argsort(-pi[:, d], kind="stable") if pi[x, d] >= 0.0005) for d, k in enumerate(known)]
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), pa.array(names[pred].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], ["row", "lang_pred", "score", "lang_mix"])
+                yield pa.RecordBatch.from_arrays([batch.column("text").slice(i, j - i), batch.column("row").slice(i, j - i), pa.array(names[pred].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], ["text", "row", "lang_pred", "score", "lang_mix"])
             B.release()
 
-    added = StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL("lang_pred string, score double, lang_mix string").fields])
+    added = StructType([StructField("text", rows.schema["text"].dataType), StructField("row", rows.schema["row"].dataType), *StructType.fromDDL("lang_pred string, score double, lang_mix string").fields])
     found = rows.mapInArrow(run, added)
-    return found.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)), "lang_pred", "score", "lang_mix")
+    kept = (F.col("text") if c == text_col else F.col("row")[f"c{i}"] for i, c in enumerate(df.columns))
+    return found.select(*(k.alias(c) for k, c in zip(kept, df.columns)), "lang_pred", "score", "lang_mix")
