@@ -78,7 +78,7 @@ def order_catalog() -> Catalog:
 
 
 def _violations(spark, sf, error: str) -> DataFrame:
-    return validate.validate(*order_tree(spark, sf), order_catalog()).where(F.col("error") == error)
+    return validate.validate(*map(checkpoint, order_tree(spark, sf)), order_catalog()).where(F.col("error") == error)
 
 
 def _rows(error: str, name: str, location: str, reason: str, where: str) -> str:
