@@ -1,8 +1,8 @@
 """As much of style sheets as decides what a page shows: display and visibility, by the cascade.
 
 A sheet is read forward once. Selectors have types, ids, classes, attributes, :root, :first-child,
-:last-child, :not() of one compound, and all four combinators; rules of others never apply. Of
-several values the important one wins, then the inline one, the more specific, the later.
+:last-child, :not() of one compound, and all four combinators; rules of others never apply, nor do
+selectors of more parts than elements nest. Of several values the important one wins, then the inline one, the more specific, the later.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from typing import NamedTuple
 
 SCREEN_WIDTH = 1280  # pixels, for min-width and max-width
+MOST_PARTS = 200  # of a selector
 _VALUE = re.compile(r"[a-z-]+(?: +[a-z-]+)*")
 _WIDTH = re.compile(r"\((min|max)-width\s*:\s*(\d+(?:\.\d+)?)(px|em|rem)\)")
 _PART = re.compile(
@@ -52,12 +53,13 @@ class Compound(NamedTuple):
 
 
 class Rule(NamedTuple):
-    """A selector as (combinator before, compound) from right to left, and what it sets."""
+    """A selector as (combinator before, compound) from right to left, and what it sets: for each property
+    whether it is important, the number of the rule that it comes from, and the value."""
 
     parts: tuple[tuple[str, Compound], ...]
     weight: tuple[int, int, int]
     order: int
-    values: dict[str, tuple[bool, str]]
+    values: dict[str, tuple[bool, int, str]]
 
 
 def screen(media: str) -> bool:
@@ -182,7 +184,10 @@ def _attribute(name: str, op: str | None, value: str | None):
 def selector(s: str) -> tuple[tuple[tuple[str, Compound], ...], tuple[int, int, int]] | None:
     """The parts of a selector from right to left, each with the combinator on its left, and the weight."""
     parts, weight, combinator = [], (0, 0, 0), ""
-    for text, after in steps(s.strip(), False):
+    found = steps(s.strip(), False)
+    if len(found) > MOST_PARTS:
+        return None
+    for text, after in found:
         piece = compound(text)
         if piece is None:
             return None
@@ -198,6 +203,7 @@ class Styles:
         self.by: dict[tuple[str, str], list[Rule]] = {}
         self.known: dict[tuple[int, int, int], bool] = {}
         self.first: dict[tuple[int, int, int], int] = {}
+        same: dict[tuple, Rule] = {}  # rules of one selector are one
         n = 0
         for sheet in sheets:
             for selectors, values in rules(sheet):
@@ -206,7 +212,12 @@ class Styles:
                         parts, weight = found
                         last = parts[0][1]
                         key = ("#", last.ids[0]) if last.ids else (".", min(last.classes)) if last.classes else ("", last.tag)
-                        self.by.setdefault(key, []).append(Rule(parts, weight, n, values))
+                        if parts not in same:
+                            same[parts] = Rule(parts, weight, n, {})
+                            self.by.setdefault(key, []).append(same[parts])
+                        for name, (important, value) in values.items():
+                            held = same[parts].values
+                            held[name] = max(held.get(name, (False, -1, "")), (important, n, value))
                         n += 1
 
     def of(self, node) -> tuple[str, str]:
@@ -219,8 +230,8 @@ class Styles:
         for key in keys:
             for rule in self.by.get(key, ()):
                 if self.matches(rule, 0, node):
-                    for name, (important, value) in rule.values.items():
-                        best[name] = max(best.get(name, ((-1,), "")), ((important, False, rule.weight, rule.order), value))
+                    for name, (important, order, value) in rule.values.items():
+                        best[name] = max(best.get(name, ((-1,), "")), ((important, False, rule.weight, order), value))
         for name, (important, value) in declarations(style).items() if style else ():
             best[name] = max(best.get(name, ((-1,), "")), ((important, True, (0, 0, 0), 0), value))
         return tuple(best[name][1] if name in best else "" for name in ("display", "visibility"))

@@ -722,6 +722,7 @@ def test_shots():
         ("<style>/* c */ .h /* d */ {display:none}</style>a<i class=h>no</i>", "a"),
         ("<style>nav > ul li:first-child, [data-a~=q]{display:none} p + p{display:none} h1 ~ b{display:none} i:not(.k){display:none} a:hover{display:none}</style><nav><ul><li>no<li>yes</ul></nav><u data-a='p q'>no</u><p>1<p>no<h1>H</h1><b>no</b><i class=k>k</i><i>no</i><a>z</a>", "* yes\n\n1\n\nH\n\nkz"),
         ("<p hidden style='display:block'>x</p>", "x"),
+        ("<style>i{display:none!important} i{display:block} b{display:none} b{display:block} u{display:block} b,u{display:none}</style><i>no</i><b>no</b><u>no</u>a", "a"),
         ("<table><tr><td rowspan=2>A<td>B1<td>C<tr><td>B2<td rowspan=0>D<tr><td>E</table>", "A  B1  C\n   B2  D\nE"),
         ("<table><tr><td colspan=1000>wide<td>end<tr><td>a<td>b</table>", "wide  end\na  b"),
         ("<table><tr><td colspan=2>long heading<td>end<tr><td>a<td>b<td>c</table>", "long heading  end\na  b          c"),
@@ -757,6 +758,15 @@ def test_selectors_are_matched_once():
     assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize("mark", [" + ", " ~ ", " > ", " ", ","])
+def test_selectors_of_any_length(mark):
+    page = lambda n: f"<style>{mark.join(['b'] * n)}{{display:none}}</style>" + "<b>x</b>" * 3000
+    began = time.process_time()
+    html.Page(page(3000)).render()
+    assert html.Page(page(150)).render() == {" + ": "x" * 149, " ~ ": "x" * 149, ",": ""}.get(mark, "x" * 3000)
+    assert time.process_time() - began < 20
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<div>" * 5000 + "deep", "x"), (4, "<p>" + "long " * 50_000, "x")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
